@@ -8,20 +8,23 @@ similarity 0.8 misses all bands with probability 5e-6. Shingles are 64-bit ids.
 Within a band bucket each member is paired with the bucket's smallest id, never with all others. A
 one-bit-per-minimum signature drops pairs far below the threshold, and each document's best partner
 is confirmed on full sets. Buckets that still hold several components are then taken up again: only
-members of different components are paired there, so that no link is lost, and confirmed alike.
+members of different components are paired there, each pair once, so that no link is lost. Their documents
+get a wide sketch first (4096 bits), which leaves pairs near the threshold to the full sets.
 Components come from alternating large-star and small-star rounds over tables in the shared folder.
 
-Repeated ids keep their smallest text; null ids have no place in a component and are left out.
+Repeated ids keep their smallest text (null only if all are); null ids have no place in a component and are left out.
 Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from speechtab.llm.common import U64, distinct_per_doc, mix, small, stage, words
@@ -32,12 +35,18 @@ MINIMA = BANDS * ROWS
 NUM = 80
 #: Signature bits that must agree: six deviations under the mean at similarity 0.8.
 AGREE = int(MINIMA * 0.9 - 6 * (MINIMA * 0.09) ** 0.5)
+#: Further partners confirmed, per document, before buckets are taken up again.
+SECOND = 3
 #: Ids up to this count (16 MB) are broadcast to pick candidate texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64) * U64(2) + U64(1)
 _B = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64)
 SIGN = ["s0", "s1", "s2", "s3"]
+#: Minima of the wide sketch, its columns, and the bits that must agree: four and a half deviations under the mean (5e-6, as the bands).
+WIDE = 4096
+WIDE_COLS = [f"w{i}" for i in range(WIDE // 64)]
+WIDE_AGREE = int(WIDE * 0.9 - 4.5 * (WIDE * 0.09) ** 0.5)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -89,6 +98,26 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def sketch(docs: DataFrame) -> DataFrame:
+    """doc_id, w0..: one bit of each of ``WIDE`` further minima, for the few documents of open buckets."""
+    mult, plus = (np.random.default_rng(55).integers(0, 2**63, (2, WIDE), dtype=np.uint64)) * U64(2) + U64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, doc, ids in shingle_sets(b.column(1)):
+                has, begin = np.unique(doc, return_index=True)
+                out = np.zeros((len(WIDE_COLS), hi - lo), np.uint64)
+                v = np.empty_like(ids)
+                for k in range(WIDE if len(has) else 0):
+                    np.multiply(ids, mult[k], out=v)
+                    np.add(v, plus[k], out=v)
+                    low = np.minimum.reduceat(v, begin) >> U64(32)
+                    out[k // 64, has] |= (low & U64(1)) << U64(k % 64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(x.view(np.int64)) for x in out)], ["doc_id", *WIDE_COLS])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in WIDE_COLS))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -133,8 +162,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def agreement(x: str, y: str):
-    differ = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SIGN[1:]), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
-    return F.lit(MINIMA) - differ
+    return F.lit(MINIMA) - differing(x, y, SIGN)
+
+
+def differing(x: str, y: str, cols: list[str]):
+    bits = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in cols]
+    return reduce(lambda a, b: a + b, bits)
 
 
 def close(x: str, y: str):
@@ -157,11 +190,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     row = info.select("doc_id", F.explode("bands").alias("band"))
     shared = row.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
     bucket = stage(row.join(shared, "band"), "buckets")
-    info = info.drop("bands")
+    bands, info = info.select("doc_id", "bands"), info.drop("bands")
 
     pairs = bucket.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     judged = pairs.join(info.alias("x"), F.col("a") == F.col("x.doc_id")).join(info.alias("y"), F.col("b") == F.col("y.doc_id")).where(close("x", "y"))
-    best = stage(judged.groupBy("b").agg(F.max_by("a", F.struct(agreement("x", "y"), -F.col("a"))).alias("a")).select("a", "b"), "best")
+    judged = stage(judged.select("a", "b", agreement("x", "y").alias("agree")), "judged")
+    best = stage(judged.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b"), "best")
 
     def texts_of(chosen: DataFrame) -> DataFrame:
         ids = chosen.select(F.col("a").alias("doc_id")).unionByName(chosen.select(F.col("b").alias("doc_id"))).distinct()
@@ -170,14 +204,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stage(confirm(best, texts_of(best)), "links")
     found = components(links)
 
-    labelled = info.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    def labels(ids: DataFrame, key: str, name: str) -> DataFrame:
+        named = found.select(F.col("node").alias(key), F.col("component").alias(name))
+        return ids.join(named, key, "left").withColumn(name, F.coalesce(name, key))
+
+    rest = labels(labels(judged.join(best, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb")
+    turn = F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))
+    second = stage(rest.withColumn("turn", turn).where(F.col("turn") <= SECOND).select("a", "b"), "second")
+    late = stage(confirm(second, texts_of(second)), "links")
+    if late.limit(1).count():
+        links = links.unionByName(late)
+        found = components(links)
+    tried = best.unionByName(second)
+
+    labelled = labels(info, "doc_id", "component")
     open_ = bucket.select("band", "doc_id").join(labelled, "doc_id")
     several = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     open_ = stage(open_.join(several, "band"), "open")
+    ids = open_.select("doc_id").distinct()
+    wide = sketch(docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")).join(bands, "doc_id")
+    open_ = stage(open_.join(wide, "doc_id"), "wide")
     x, y = open_.alias("x"), open_.alias("y")
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & close("x", "y")
-    more = x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = stage(more.join(best, ["a", "b"], "left_anti"), "more")
+    wider = differing("x", "y", WIDE_COLS) <= WIDE - WIDE_AGREE
+    shared_band = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    once = F.get(shared_band, F.lit(0)) == F.col("x.band")  # a pair counts in its first common bucket
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & close("x", "y") & wider & once
+    more = x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    more = stage(more.join(tried, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
         late = stage(confirm(more, texts_of(more)), "links")
         if late.limit(1).count():
