@@ -2,9 +2,12 @@
 
 A document is the set of its terms: letter runs with A-Z folded, hashed to ``DIM`` buckets. The machine
 adds a weight per term and, through ``RANK`` factors per term, a weight for each pair of terms in the
-same text, so that an insult near a group's name counts beyond the two alone. It is fitted by AdaGrad on
-the logistic loss over at most ``TRAIN_ROWS`` labelled documents (those of smallest id hash), in one
-task of bounded size. The model (DIM * (RANK + 1) floats) goes to the scorers as a broadcast value.
+same text, so that an insult near a group's name counts beyond the two alone. A term's value is its
+association with the label: the squared z-score of the two classes' document frequencies over the
+``Z_TOP``-th largest one's, at most 1 and at least ``Z_LEAST``, so that the thousands of other words of a long text do not drown an insult.
+The machine is fitted by AdaGrad on the logistic loss over at most ``TRAIN_ROWS`` labelled documents
+(those of smallest id hash), in one task of bounded size. The model (DIM * (RANK + 2) floats) goes to the
+scorers as a broadcast value.
 
 Null and empty texts score the bias alone. Without labelled rows the score is 0. Ids that repeat in the
 labels count by their largest label. Null labels are no labels. Other columns are never read.
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from speechtab.llm.common import LETTERS, distinct_per_doc, small, words
 
-DIM, RANK, TRAIN_ROWS, EPOCHS, BATCH = 1 << 17, 8, 20_000, 8, 256
+DIM, RANK, TRAIN_ROWS, EPOCHS, BATCH = 1 << 17, 8, 20_000, 12, 256
+Z_TOP, Z_LEAST, RATE, UPDATES = 10, 0.01, 0.3, 300
 THRESHOLD = 0.3
 BROADCAST_IDS = 2_000_000
 
@@ -46,18 +50,31 @@ def raw_scores(doc: np.ndarray, term: np.ndarray, n: int, bias: float, w: np.nda
     return out
 
 
-def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seed: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors, from (document, distinct term) pairs sorted by document and labels 0/1."""
+def association(doc: np.ndarray, term: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Value of each term in 0..1 from (document, distinct term) pairs and labels; 0 for terms of under three documents."""
+    one, all_ = np.bincount(term, y[doc], minlength=DIM), np.bincount(term, minlength=DIM)
+    n, n1 = len(y), y.sum()
+    p = all_ / max(1, n)
+    spread = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / max(n1, 1) + 1 / max(n - n1, 1)))
+    z = np.abs(one / max(n1, 1) - (all_ - one) / max(n - n1, 1)) / spread
+    z[all_ < 3] = 0
+    top = max(1e-9, np.partition(z, -Z_TOP)[-Z_TOP])
+    return np.where(all_ >= 3, np.clip((z / top) ** 2, Z_LEAST, 1), 0)
+
+
+def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, value: np.ndarray | None = None, seed: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors (times the terms' values), from (document, distinct term) pairs sorted by document and labels 0/1."""
     rng = np.random.default_rng(seed)
     n = len(y)
-    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    value = np.ones(DIM) if value is None else value
+    keep = value[term] > 0
+    doc, term = doc[keep], term[keep]
+    rate = np.clip(y.mean(), 1e-3, 1 - 1e-3) if n else 0.5
     bias = float(np.log(rate / (1 - rate)))
     w, v = np.zeros(DIM), rng.normal(0, 0.01, (DIM, RANK))
     gw, gv = np.full(DIM, 1e-6), np.full((DIM, RANK), 1e-6)
-    seen = np.bincount(term, minlength=DIM)
-    v[seen < 3] = 0  # a term of one or two documents has no pairs to learn from
     begin = np.searchsorted(doc, np.arange(n + 1))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES * BATCH // max(1, n)))):  # small samples get as many steps as large ones
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             rows = order[at : at + BATCH]
@@ -67,21 +84,21 @@ def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, seed: int = 3) -> tu
                 continue
             local = np.repeat(np.arange(len(rows)), size)
             t = term[np.repeat(begin[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            vt, first = v[t], np.cumsum(size) - size
+            x = value[t]
+            vt, first = v[t] * x[:, None], np.cumsum(size) - size
             total = np.add.reduceat(vt, first)
-            z = bias + np.add.reduceat(w[t], first) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vt**2).sum(1), first))
+            z = bias + np.add.reduceat(w[t] * x, first) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vt**2).sum(1), first))
             err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]
-            e = err[local] / len(rows)
+            e = err[local] * x / len(rows)
             u, inv = np.unique(t, return_inverse=True)
-            dw = np.bincount(inv, e) + 1e-5 * w[u]
-            dv = np.stack([np.bincount(inv, e * (total[local, f] - vt[:, f])) for f in range(RANK)], 1) + 1e-5 * v[u]
-            dv[seen[u] < 3] = 0
+            dw = np.bincount(inv, e) + 1e-6 * w[u]
+            dv = np.stack([np.bincount(inv, e * (total[local, f] - vt[:, f])) for f in range(RANK)], 1) + 1e-6 * v[u]
             gw[u] += dw**2
             gv[u] += dv**2
-            w[u] -= 0.1 * dw / np.sqrt(gw[u])
-            v[u] -= 0.01 * dv / np.sqrt(gv[u])
+            w[u] -= RATE * dw / np.sqrt(gw[u])
+            v[u] -= 0.1 * RATE * dv / np.sqrt(gv[u])
             bias -= 0.02 * float(err.mean())
-    return bias, w, v
+    return bias, w * value, v * value[:, None]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
@@ -102,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
         part = part.sort_values("doc_id")
         size = part["terms"].map(len).to_numpy()
         term = np.concatenate(part["terms"].to_list()).astype(np.int64) if size.sum() else np.zeros(0, np.int64)
-        bias, w, v = train(np.repeat(np.arange(len(part)), size), term, part["y"].to_numpy(np.float64))
+        doc, y = np.repeat(np.arange(len(part)), size), part["y"].to_numpy(np.float64)
+        bias, w, v = train(doc, term, y, association(doc, term, y))
         used = np.flatnonzero((w != 0) | (v != 0).any(1))
         values = np.column_stack([w[used], v[used]]).astype(np.float32)
         return pd.DataFrame({"at": np.append(-1, used), "values": [np.full(1, bias, np.float32), *values]})
