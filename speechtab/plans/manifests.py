@@ -183,7 +183,7 @@ def trim_to_supervisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.trim_to_supervisions(cuts_of(spark, sf_dir)).select("cut_id", F.round("start", 6).alias("start"), F.round("duration", 6).alias("duration"))
 
 
-@query("SELECT role AS setting, count(*) AS n, sum(len(ref)) AS words FROM (SELECT c.role, list_filter(regexp_split_to_array(c.text, '[ \\t\\r\\n]+'), lambda w: w <> '') AS ref FROM conversations c) GROUP BY role")
+@query("SELECT role AS setting, count(*) AS n, CAST(sum(len(ref)) AS BIGINT) AS words FROM (SELECT c.role, list_filter(regexp_split_to_array(c.text, '[ \\t\\r\\n]+'), lambda w: w <> '') AS ref FROM conversations c) GROUP BY role")
 def pair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.pairs(spark, sf_dir)
     both, _ = C.pair_results(p.select("setting", "cut_id", "ref"), p.select("setting", "cut_id", "hyp"))
