@@ -23,7 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; texts without words stay as they link with nothing."""
+    """One document of each near-duplicate group stays; texts without words stay as they link with nothing.
+
+    Of rows with one id the one of smallest text stays; rows without an id stay.
+    """
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        row = F.struct(*docs.columns)
+        one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.min_by(row, "text"), F.first(row)).alias("row")).select("row.*")
+        docs = one.unionByName(docs.where("doc_id is null"))
     gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
@@ -34,7 +41,10 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once per epoch in which the mix takes it; the one on a source's cut with the words before the cut."""
+    """Each document once per epoch in which the mix takes it; the one on a source's cut with the words before the cut.
+
+    Rows without an id are not in the mix.
+    """
     taken = mixing.mix(docs).where("taken > 0").select("doc_id", "size", "taken")
     copies = F.transform(
         F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size"))),

@@ -43,3 +43,9 @@ def test_odd_rows_and_empty_tables(spark, sf_dir):
         for _, step in corpus_pipeline.STAGES:
             rows = step(spark, rows, sf_dir)
         rows.count()
+
+
+def test_repeated_rows_leave_once(spark, sf_dir):
+    docs = spark.createDataFrame([(3, "a b c", "s"), (3, "a b c", "s"), (3, None, "s"), (4, "a b c", "t"), (None, "x", "t")], "doc_id long, text string, source string")
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf_dir).collect()
+    assert sorted(map(tuple, out), key=str) == [(3, "a b c", "s"), (None, "x", "t")]
