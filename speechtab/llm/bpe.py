@@ -26,6 +26,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from speechtab.llm.common import release
+
 #: The published word pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same words by the faster standard matcher, for texts without ODD characters.
@@ -43,8 +45,8 @@ LONG = 96
 #: Documents encoded together.
 TOGETHER = 256
 NONE = 1 << 30
-#: Words that a worker remembers before it starts its map afresh.
-REMEMBERED = 600_000
+#: Words that a worker remembers before it starts its map afresh; each task ends by forgetting them, as workers live on.
+REMEMBERED = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -226,6 +228,8 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "ids"])
+        c.known.clear()
+        release()
 
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -257,6 +261,8 @@ def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
                     ids_sha.append(sha(ids.tobytes()).hexdigest())
                     text_sha.append(sha(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.known.clear()
+        release()
 
     source = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     return source.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass covers; a longer document is a pass of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- staged tables
@@ -58,6 +58,11 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def release() -> None:
+    """Gives Arrow's freed memory back at the end of a task: Python workers live on and serve later stages."""
+    pa.default_memory_pool().release_unused()
+
+
 # ---------------------------------------------------------------- word hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (xor-shift, multiply)."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import U64, distinct_per_doc, mix, small, stage, words
+from speechtab.llm.common import U64, distinct_per_doc, mix, release, small, stage, words
 
 BANDS, ROWS = 40, 6
 MINIMA = BANDS * ROWS
@@ -93,6 +93,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 as_list = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(bands[banded].ravel().view(np.int64)))
                 cols = [pa.array(x.view(np.int64)) for x in (*d, *s)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), *cols, as_list], ["doc_id", "n_shingles", "d0", "d1", *SIGN, "bands"])
+        release()
 
     schema = "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"{s} long" for s in SIGN) + ", bands array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -138,6 +139,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (ids[1:] == ids[:-1])], minlength=b.num_rows)
                 keep = pa.array((100 * both >= NUM * (n[0] + n[1] - both)) & (both > 0))
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+        release()
 
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 

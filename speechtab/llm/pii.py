@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from speechtab.llm.common import release
+
 KINDS = ("email", "ip", "card", "phone", "other")
 #: Fixed patterns; each gives the leftmost non-overlapping matches of its base kind.
 AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -216,6 +218,7 @@ def redact(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = [redacted(t, w) if t else t for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+        release()
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import LETTERS, distinct_per_doc, small, words
+from speechtab.llm.common import LETTERS, distinct_per_doc, release, small, words
 
-DIM, RANK, TRAIN_ROWS, EPOCHS, BATCH = 1 << 17, 8, 20_000, 12, 256
+DIM, RANK, TRAIN_ROWS, EPOCHS, BATCH = 1 << 17, 8, 12_000, 12, 256
 Z_TOP, Z_LEAST, RATE, UPDATES = 10, 0.01, 0.3, 300
 THRESHOLD = 0.3
 BROADCAST_IDS = 2_000_000
@@ -118,9 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("doc_id")
         size = part["terms"].map(len).to_numpy()
-        term = np.concatenate(part["terms"].to_list()).astype(np.int64) if size.sum() else np.zeros(0, np.int64)
-        doc, y = np.repeat(np.arange(len(part)), size), part["y"].to_numpy(np.float64)
+        term = np.concatenate(part["terms"].to_list()) if size.sum() else np.zeros(0, np.int32)
+        doc, y = np.repeat(np.arange(len(part), dtype=np.int32), size), part["y"].to_numpy(np.float64)
+        del part
         bias, w, v = train(doc, term, y, association(doc, term, y))
+        release()
         used = np.flatnonzero((w != 0) | (v != 0).any(1))
         values = np.column_stack([w[used], v[used]]).astype(np.float32)
         return pd.DataFrame({"at": np.append(-1, used), "values": [np.full(1, bias, np.float32), *values]})
@@ -146,6 +148,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataF
             z = [raw_scores(doc, term, hi - lo, bias, w, v) for lo, hi, doc, term in terms(b.column(1))]
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(z), -30, 30))) if z else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -170,6 +173,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             if z:
                 p = 1 / (1 + np.exp(-np.clip(np.concatenate(z), -30, 30)))
                 yield b.filter(pa.array(p < threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
