@@ -1,32 +1,50 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary score documents.
 
 The target corpus is the documents labelled of good quality, the background all documents. Both models
-have the same order, smoothing and vocabulary: the words most frequent in the corpus, as many counts
-from the top as keep it within ``VOCABULARY``, all others being one unknown word. Counts cover every token of every document. A bigram's probability is
-interpolated with its unigram's by Witten-Bell weights; unigrams are smoothed by one. Bigrams seen under ``MIN_BIGRAM`` times in the whole corpus
-weigh as unseen; of the rest those of the highest counts, within ``MAX_BIGRAMS``, make the table that
-goes to the scorers, so that its size is bounded. Both bounds are sizes of the model; what is counted is all of the corpus. The score is the mean over the tokens of
+have the same order, smoothing and vocabulary: every word of the corpus. Counts cover every token of every
+document and every bigram seen at least ``MIN_BIGRAM`` times, which is all of them. A bigram's probability is
+interpolated with its unigram's by Witten-Bell weights; unigrams are smoothed by one. Counts stay staged tables
+that grow with the corpus; nothing of them goes through the driver. The score is the mean over the tokens of
 -log2 p_target + log2 p_background; lower is closer to the target.
 
-A document starts from the unknown word as history. Null and empty texts have no tokens and null losses
+To score, each (history, word) of a few million tokens is one row with the documents that hold it; it meets the
+table of losses by an equi-join, and the sums per document are a partial aggregate. A bigram's rows are
+therefore as many as these groups of tokens, however often it occurs.
+
+A document starts from the unknown word as history. A word that the model has not seen has the unknown word's
+probability and, as history, leaves all to the unigram. Null and empty texts have no tokens and null losses
 and score. Without labels the target model is uniform. Words fold A-Z. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import small, stage, words
+from speechtab.llm.common import U64, mix, release, small, stage, words
 
-VOCABULARY, MAX_BIGRAMS, MIN_BIGRAM = 1 << 15, 1 << 19, 3
+#: No bound on the words (None) and no least count of a bigram.
+VOCABULARY, MIN_BIGRAM = None, 1
 BROADCAST_IDS = 5_000_000
+#: Tokens that a task holds at a time.
+GROUP = 4_000_000
+
+
+class Model(NamedTuple):
+    """bigrams: h, w, n, t (counts in all and in the target documents). unigrams: w, n, t. histories: h, total, kinds, total_t, kinds_t."""
+
+    bigrams: DataFrame
+    unigrams: DataFrame
+    histories: DataFrame
+    width: int
+    n: int
+    t: int
 
 
 def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
@@ -36,137 +54,115 @@ def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
     return rows.select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
-def _counted(keys: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
-    u, inv = np.unique(keys, return_inverse=True)
-    n, t = np.bincount(inv, minlength=len(u)), np.bincount(inv[target], minlength=len(u))
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], ["key", "n", "t"])
-
-
-def _batches(batches: Iterator[pa.RecordBatch], to_keys) -> Iterator[pa.RecordBatch]:
-    """Counts of keys per few million tokens, so that what a task holds is bounded."""
-    keys, flags, held = [], [], 0
-    for b in batches:
-        target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for lo, hi, h, counts in words(b.column(0)):
-            k = to_keys(h, counts)
-            keys.append(k)
-            flags.append(np.repeat(target[lo:hi], counts))
-            held += len(k)
-            if held >= 4_000_000:
-                yield _counted(np.concatenate(keys), np.concatenate(flags))
-                keys, flags, held = [], [], 0
-    if held:
-        yield _counted(np.concatenate(keys), np.concatenate(flags))
+def histories(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The word before each; unknown (0) at a document's start."""
+    before = np.append(U64(0), ids[:-1]) if len(ids) else ids
+    first = np.cumsum(counts) - counts
+    before[first[counts > 0]] = 0
+    return before
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """key (word id), n, t: occurrences in all and in the target documents."""
-    counted = rows.mapInArrow(lambda it: _batches(it, lambda h, c: h), "key long, n long, t long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit id of a bigram: the history's id, rotated, with the word's."""
+    return ((h << U64(1)) | (h >> U64(63))) ^ w
 
 
-def most_frequent(counts: DataFrame, most: int, least: int = 1) -> pd.DataFrame:
-    """All keys from the lowest count (at least ``least``) at which there are no more than ``most`` of them."""
-    above = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0)
-    levels = counts.where(F.col("n") >= least).groupBy("n").agg(F.count("*").alias("keys")).withColumn("upto", F.sum("keys").over(above))  # one row per count
-    cut = levels.where(F.col("upto") <= most).agg(F.min("n")).first()[0]
-    return counts.where(F.lit(False) if cut is None else F.col("n") >= cut).toPandas()
+def pair_column(h: str, w: str) -> Column:
+    return F.shiftleft(h, 1).bitwiseXOR(F.shiftrightunsigned(h, 63)).bitwiseXOR(F.col(w))
 
 
-def to_ids(h: np.ndarray, vocabulary: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Vocabulary numbers from 1 of word ids; 0: unknown."""
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, place[at], 0)
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the tokens by key, and where each distinct key begins in it."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    return order, np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
 
 
-def histories(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The word before each; unknown at a document's start."""
-    before = np.append(0, ids[:-1]) if len(ids) else ids
-    first = np.cumsum(counts) - counts
-    before[first[counts > 0]] = 0
-    return before
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-class Model:
-    """Unigrams by number and the bigram table of both models, as log2 losses."""
-
-    def __init__(self, words_: np.ndarray, n: np.ndarray, t: np.ndarray, other: tuple[int, int], bigrams: np.ndarray, bn: np.ndarray, bt: np.ndarray) -> None:
-        self.vocabulary, self.place = words_, np.arange(1, len(words_) + 1)
-        self.width = len(words_) + 1
-        by_key = np.argsort(bigrams)
-        self.bigrams = bigrams[by_key]
-        self.unigram, self.back, self.loss = [], [], []
-        for uni, count in ((np.append(other[1], t), bt[by_key]), (np.append(other[0], n), bn[by_key])):
-            p = (uni + 1) / (uni.sum() + self.width)
-            h, w = self.bigrams // self.width, self.bigrams % self.width
-            total = np.bincount(h, count, minlength=self.width)
-            kinds = np.bincount(h[count > 0], minlength=self.width)
-            back = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)  # Witten-Bell share of the unigram
-            both = count / np.maximum(total[h] + kinds[h], 1) + back[h] * p[w]
-            self.unigram.append(-np.log2(p).astype(np.float32))
-            self.back.append(-np.log2(np.maximum(back, 1e-12)).astype(np.float32))
-            self.loss.append(-np.log2(both).astype(np.float32))
-
-    def losses(self, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per token losses of the target and the background model."""
-        ids = to_ids(h, self.vocabulary, self.place)
-        before = histories(ids, counts)
-        key = before * self.width + ids
-        if len(self.bigrams):
-            at = np.minimum(np.searchsorted(self.bigrams, key), len(self.bigrams) - 1)
-            hit = self.bigrams[at] == key
-        else:
-            at, hit = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-        out = []
-        for uni, back, loss in zip(self.unigram, self.back, self.loss):
-            plain = back[before] + uni[ids]
-            out.append(np.where(hit, loss[at], plain) if len(loss) else plain)
-        return out[0], out[1]
-
-
-def fit(docs: DataFrame, good: DataFrame, vocabulary: int = VOCABULARY, max_bigrams: int = MAX_BIGRAMS) -> Model:
-    rows = marked(docs, good)
-    counts = stage(word_counts(rows), "words")
-    top = most_frequent(counts, vocabulary)
-    ids = top["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(ids)
-    vocab, n, t = ids[order], top["n"].to_numpy(np.int64)[order], top["t"].to_numpy(np.int64)[order]
-    place, width = np.arange(1, len(vocab) + 1), len(vocab) + 1
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, place))
-
-    def pair_keys(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        ids = to_ids(h, *shared.value)
-        return histories(ids, c) * width + ids
-
-    pairs = rows.mapInArrow(lambda it: _batches(it, pair_keys), "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    pairs = stage(pairs, "bigrams")
-    kept = most_frequent(pairs, max_bigrams, MIN_BIGRAM)
-    unknown = pairs.where(F.col("key") % width == 0).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    return Model(vocab, n, t, (unknown[0], unknown[1]), kept["key"].to_numpy(np.int64), kept["n"].to_numpy(float), kept["t"].to_numpy(float))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background, score (bits a token); no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, h, counts in words(b.column(1)):
-                a, z = shared.value.losses(h, counts)
-                has = np.flatnonzero(counts)
-                begin = (np.cumsum(counts) - counts)[has]
-                means = [np.full(hi - lo, np.nan) for _ in range(2)]
-                for m, x in zip(means, (a, z)):
-                    if len(has):
-                        m[has] = np.add.reduceat(x.astype(np.float64), begin) / counts[has]
-                none = counts == 0
-                cols = [pa.array(x, pa.float64(), mask=none) for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), *cols], ["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+def _tokens(batches: Iterator[pa.RecordBatch], text: int, other: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """History and word of each token, tokens per document, and the column ``other``, per ``GROUP`` tokens."""
+    held, size = [], 0
+    for b in batches:
+        for lo, hi, ids, counts in words(b.column(text)):
+            held.append((histories(ids, counts), ids, counts, b.column(other).slice(lo, hi - lo)))
+            size += len(ids) + hi - lo
+            if size >= GROUP:
+                yield *(np.concatenate(x) for x in list(zip(*held))[:3]), pa.concat_arrays([x[3] for x in held])
+                held, size = [], 0
+    if held:
+        yield *(np.concatenate(x) for x in list(zip(*held))[:3]), pa.concat_arrays([x[3] for x in held])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for h, w, counts, target in _tokens(batches, 0, 1):
+        flag = np.repeat(target.to_numpy(zero_copy_only=False).astype(np.int64), counts)
+        order, first = _grouped(pair_key(h, w))
+        n = np.diff(np.append(first, len(order)))
+        t = np.add.reduceat(flag[order], first) if len(first) else n
+        at = order[first]
+        yield pa.RecordBatch.from_arrays([_long(h[at]), _long(w[at]), _long(n), _long(t)], ["h", "w", "n", "t"])
+    release()
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bigram of a group of tokens the documents with it, as often as it occurs; and a row per document."""
+    part = TaskContext.get().partitionId()
+    for i, (h, w, counts, doc_id) in enumerate(_tokens(batches, 1, 0)):
+        group = (part << 20) + i
+        key = pair_key(h, w)
+        order, first = _grouped(key)
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
+        bigrams, docs = len(first), len(counts)
+        own = mix((U64(group) << U64(32)) + np.arange(docs, dtype=np.uint64))  # deals the documents' rows out evenly
+        offsets = np.append(first, len(doc) + np.arange(docs + 1)).astype(np.int32)
+        rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.append(doc, np.arange(docs, dtype=np.int32))))
+        ids = pa.concat_arrays([pa.nulls(bigrams, pa.int64()), doc_id.cast(pa.int64())])
+        tokens = pa.concat_arrays([pa.nulls(bigrams, pa.int64()), _long(counts)])
+        cols = [_long(np.append(key[order[first]], own)), pa.array(np.full(bigrams + docs, group, np.int64)), rows, ids, tokens]
+        out = pa.RecordBatch.from_arrays(cols, ["key", "group", "rows", "doc_id", "n_tokens"])
+        yield from (out.slice(at, 100_000) for at in range(0, out.num_rows, 100_000))
+    release()
+
+
+def fit(docs: DataFrame, good: DataFrame) -> Model:
+    pairs = marked(docs, good).mapInArrow(_counted, "h long, w long, n long, t long")
+    bigrams = stage(pairs.groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= MIN_BIGRAM), "bigrams")
+    unigrams = stage(bigrams.groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words")
+    seen = bigrams.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("t").alias("total_t"), F.count_if(F.col("t") > 0).alias("kinds_t"))
+    v, n, t = unigrams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    return Model(bigrams, unigrams, seen, v + 1, n, t)
+
+
+def losses(pairs: DataFrame, model: Model) -> DataFrame:
+    """key, target, background: losses in bits of distinct bigrams (h, w, n, t)."""
+    uni = model.unigrams.select("w", F.col("n").alias("wn"), F.col("t").alias("wt"))
+    rows = pairs.join(model.histories.hint("shuffle_hash"), "h", "left").join(uni.hint("shuffle_hash"), "w", "left")
+
+    def loss(seen: str, word: str, total: str, kinds: str, size: int) -> Column:
+        c, u, t, k = (F.coalesce(F.col(x), F.lit(0)).cast("double") for x in (seen, word, total, kinds))
+        p = (u + 1) / F.lit(float(size + model.width))
+        return (-F.log2(F.when(t > 0, (c + k * p) / (t + k)).otherwise(p))).cast("float")
+
+    return rows.select(pair_column("h", "w").alias("key"), loss("t", "wt", "total_t", "kinds_t", model.t).alias("target"), loss("n", "wn", "total", "kinds", model.n).alias("background"))
+
+
+def score(docs: DataFrame, model: Model, fitted: bool = False) -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background, score (bits a token). ``fitted``: the model is of these documents, so it has all their bigrams."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pairs = model.bigrams
+    if not fitted:
+        own = rows.select("text", F.lit(False).alias("target")).mapInArrow(_counted, "h long, w long, n long, t long").select("h", "w").distinct()
+        pairs = own.join(model.bigrams, ["h", "w"], "left")
+    found = rows.mapInArrow(_inverted, "key long, group long, rows array<int>, doc_id long, n_tokens long").join(losses(pairs, model).hint("shuffle_hash"), "key", "left")
+    bits = [F.when(F.col("n_tokens").isNull(), F.col(c)).cast("double").alias(c) for c in ("target", "background")]  # not of the documents' own rows
+    each = found.select("group", F.explode("rows").alias("row"), "doc_id", "n_tokens", *bits)
+    sums = each.groupBy("group", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("target").alias("a"), F.sum("background").alias("z"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    return sums.select("doc_id", "n_tokens", mean("a").alias("loss_target"), mean("z").alias("loss_background")).withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, labels.where("quality = 1")))
+    return score(docs, fit(docs, labels.where("quality = 1")), fitted=True)

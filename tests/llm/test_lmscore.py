@@ -60,3 +60,24 @@ def test_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert lmscore.cross_entropy_difference(docs, labels).count() == 2
     assert lmscore.cross_entropy_difference(docs.limit(0), labels).count() == 0
+
+
+def test_every_word_and_bigram_counts(spark):
+    """More words than 2^15 and bigrams that occur once still tell target from background."""
+    rows = [(i, " ".join(f"w{(i * 300 + k) % 45_000}" for k in range(300))) for i in range(150)] + [(150, "w7 w7 w8 w3 w44990 w7 new"), (None, "w1 w2"), (150, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    good = spark.createDataFrame([(i,) for i in range(0, 150, 2)], "doc_id long")
+    model = lmscore.fit(docs, good)
+    assert model.unigrams.count() == 45_001 and model.bigrams.count() > 45_000
+    keyed = [(-1 if i is None else i if t else -2, t) for i, t in rows]
+    want = brute(keyed, set(range(0, 150, 2)), None, 1)
+    for scored in (lmscore.score(docs, model, fitted=True), lmscore.score(docs, model)):
+        got = scored.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            n, a, b = want[-1 if r["doc_id"] is None else r["doc_id"] if r["n_tokens"] else -2]
+            assert r["n_tokens"] == n and (n or r["score"] is None)
+            assert not n or math.isclose(r["loss_target"], a, rel_tol=1e-5) and math.isclose(r["loss_background"], b, rel_tol=1e-5)
+    other = lmscore.score(spark.createDataFrame([(1, "never seen")], "doc_id long, text string"), model).first()
+    begin = model.histories.where("h = 0").first()  # the first word's history is known, the second's is not
+    assert math.isclose(other["loss_background"], math.log2(model.n + model.width) + math.log2(1 + begin["total"] / begin["kinds"]) / 2, rel_tol=1e-5)
