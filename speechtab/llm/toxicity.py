@@ -2,9 +2,10 @@
 
 A document is the set of its terms: letter runs with A-Z folded, hashed to ``DIM`` buckets. The machine
 adds a weight per term and, through ``RANK`` factors per term, a weight for each pair of terms in the
-same text, so that an insult near a group's name counts beyond the two alone. A term's value is its
-association with the label: the squared z-score of the two classes' document frequencies over the
-``Z_TOP``-th largest one's, at most 1 and at least ``Z_LEAST``, so that the thousands of other words of a long text do not drown an insult.
+same text, so that an insult near a group's name counts beyond the two alone, and so do two terms that are
+neutral alone. In the linear part a term's value is its association with the label: the squared z-score of the two classes' document frequencies over the
+``Z_TOP``-th largest one's, at most 1 and at least ``Z_LEAST``, so that the thousands of other words of a long text do not drown an insult. The
+pairs are not weighed by it: their sum is over the number of the text's terms.
 The machine is fitted by AdaGrad on the logistic loss over at most ``TRAIN_ROWS`` labelled documents
 (those of smallest id hash), in one task of bounded size. The model (DIM * (RANK + 2) floats) goes to the
 scorers as a broadcast value.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from speechtab.llm.common import LETTERS, distinct_per_doc, release, small, words
 
 DIM, RANK, TRAIN_ROWS, EPOCHS, BATCH = 1 << 17, 8, 12_000, 12, 256
-Z_TOP, Z_LEAST, RATE, UPDATES = 10, 0.01, 0.3, 300
+Z_TOP, Z_LEAST, RATE, UPDATES, PAIR_RATE, PAIR_L2 = 10, 0.01, 0.3, 300, 0.09, 1e-4
 THRESHOLD = 0.3
 BROADCAST_IDS = 2_000_000
 
@@ -43,10 +44,10 @@ def raw_scores(doc: np.ndarray, term: np.ndarray, n: int, bias: float, w: np.nda
     """Bias, linear and pairwise part of each of n documents."""
     out = np.full(n, bias, np.float64)
     if len(term):
-        has, begin = np.unique(doc, return_index=True)
+        has, begin, size = np.unique(doc, return_index=True, return_counts=True)
         vt = v[term]
         total = np.add.reduceat(vt, begin)
-        out[has] += np.add.reduceat(w[term], begin) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vt**2).sum(1), begin))
+        out[has] += np.add.reduceat(w[term], begin) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vt**2).sum(1), begin)) / size
     return out
 
 
@@ -63,10 +64,11 @@ def association(doc: np.ndarray, term: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, value: np.ndarray | None = None, seed: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors (times the terms' values), from (document, distinct term) pairs sorted by document and labels 0/1."""
+    """Bias, weights (times the terms' values) and factors, from (document, distinct term) pairs sorted by document and labels 0/1."""
     rng = np.random.default_rng(seed)
     n = len(y)
     value = np.ones(DIM) if value is None else value
+    terms_of = np.bincount(doc, minlength=n)  # before terms of no value go, as the scorer counts
     keep = value[term] > 0
     doc, term = doc[keep], term[keep]
     rate = np.clip(y.mean(), 1e-3, 1 - 1e-3) if n else 0.5
@@ -84,21 +86,21 @@ def train(doc: np.ndarray, term: np.ndarray, y: np.ndarray, value: np.ndarray |
                 continue
             local = np.repeat(np.arange(len(rows)), size)
             t = term[np.repeat(begin[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            x = value[t]
-            vt, first = v[t] * x[:, None], np.cumsum(size) - size
+            x, share = value[t], 1 / terms_of[rows]
+            vt, first = v[t], np.cumsum(size) - size
             total = np.add.reduceat(vt, first)
-            z = bias + np.add.reduceat(w[t] * x, first) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vt**2).sum(1), first))
+            z = bias + np.add.reduceat(w[t] * x, first) + 0.5 * share * ((total**2).sum(1) - np.add.reduceat((vt**2).sum(1), first))
             err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]
-            e = err[local] * x / len(rows)
+            e, pull = err[local] * x / len(rows), (err * share)[local] / len(rows)
             u, inv = np.unique(t, return_inverse=True)
             dw = np.bincount(inv, e) + 1e-6 * w[u]
-            dv = np.stack([np.bincount(inv, e * (total[local, f] - vt[:, f])) for f in range(RANK)], 1) + 1e-6 * v[u]
+            dv = np.stack([np.bincount(inv, pull * (total[local, f] - vt[:, f])) for f in range(RANK)], 1) + PAIR_L2 * v[u]
             gw[u] += dw**2
             gv[u] += dv**2
             w[u] -= RATE * dw / np.sqrt(gw[u])
-            v[u] -= 0.1 * RATE * dv / np.sqrt(gv[u])
+            v[u] -= PAIR_RATE * dv / np.sqrt(gv[u])
             bias -= 0.02 * float(err.mean())
-    return bias, w * value, v * value[:, None]
+    return bias, w * value, np.where(value[:, None] > 0, v, 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[float, np.ndarray, np.ndarray]:

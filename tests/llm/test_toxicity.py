@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -48,3 +50,16 @@ def test_terms_fold_case_and_ignore_marks():
     parts = list(toxicity.terms(pa.array(["Idiot!! 12 idiot", "idiot", None])))
     doc, term = parts[0][2], parts[0][3]
     assert doc.tolist() == [0, 1] and term[0] == term[1]
+
+
+def test_terms_neutral_alone_are_learnt_as_pairs(spark):
+    """Through fit() and score(), beside terms that tell the label by themselves."""
+    draw, rows = random.Random(5), []
+    for i in range(3200):
+        a, b, bad = draw.randrange(2), draw.randrange(2), draw.random() < 0.15
+        ws = ["left" + "pq"[a], "right" + "pq"[b], *("f" + chr(97 + k % 26) + chr(97 + k // 26) for k in draw.choices(range(300), k=10))]
+        rows.append((i, " ".join(ws + ["bad" + chr(97 + k) for k in draw.sample(range(12), 3 * bad)]), int(bad or a != b)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxicity(d.drop("toxic"), d.drop("text")).where("held_out").collect()
+    y = {i: label for i, _, label in rows}
+    assert len(got) > 600 and sum((r["score"] > 0.5) == y[r["doc_id"]] for r in got) / len(got) > 0.95
