@@ -63,3 +63,14 @@ def test_terms_neutral_alone_are_learnt_as_pairs(spark):
     got = toxicity.toxicity(d.drop("toxic"), d.drop("text")).where("held_out").collect()
     y = {i: label for i, _, label in rows}
     assert len(got) > 600 and sum((r["score"] > 0.5) == y[r["doc_id"]] for r in got) / len(got) > 0.95
+
+
+def test_trains_on_20_000_rows(spark):
+    """A term of three of 20,000 labelled documents has a value wherever they fall in the hash order."""
+    assert toxicity.TRAIN_ROWS == 20_000
+    d = spark.range(30_000).where("crc32(cast(cast(id as string) as binary)) % 4 != 2").limit(20_000).selectExpr("id as doc_id", "'word' as text", "cast(id % 2 as int) as toxic").cache()
+    late = {r["doc_id"] for r in d.selectExpr("doc_id", "xxhash64(doc_id) as o").orderBy("o").tail(6)}
+    docs = d.select("doc_id", "toxic").rdd.map(lambda r: (r[0], "rare word" if r[0] in late else "word", 1 if r[0] in late else 0)).toDF("doc_id long, text string, toxic int")
+    _, w, _ = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    rare = next(toxicity.terms(pa.array(["rare"])))[3][0]
+    assert w[rare] > 0
