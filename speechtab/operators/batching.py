@@ -168,7 +168,7 @@ def span_masks(df: DataFrame, p: float = 0.65, length: int = 10, min_masks: int
     schema = df.withColumn("masked", F.array().cast("array<bigint>")).withColumn("__seed", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (part for whole in batches for _, part in whole.groupby(whole[size].cumsum() // 500_000, sort=False)):  # long rows come together
             masks = [spans(np.random.default_rng(int(s) & (2**63 - 1)), int(n), p, length, min_masks, kind, other, no_overlap, min_space) for s, n in zip(b["__seed"], b[size])]
             yield b.assign(masked=masks)[[f.name for f in schema.fields]]
 

@@ -131,3 +131,15 @@ def test_noise_plan(spark):
     share = sum(r["noise_id"] is not None for r in plan) / 2000
     assert len(plan) == 2000 and 0.45 < share < 0.55 and all(10 <= r["snr"] <= 20 for r in plan if r["noise_id"])
     assert all(r["noise_id"] is None for r in C.noise_mix_plan(cuts, cuts.limit(0)).collect())
+
+
+def test_span_masks_query_keeps_every_document(spark, tmp_path):
+    from speechtab.plans import hyps as plans
+
+    rows = [(i, n, "en", "s") for i, n in enumerate([None, 0, 1, 2, 3, 9, 15, 30, *range(600, 1000, 2)])]
+    docs = spark.createDataFrame(rows, "doc_id long, n_chars long, lang string, source string").withColumn("text", F.expr("repeat('a', cast(n_chars as int))"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = plans.span_masks(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and len({r["cut_id"] for r in got}) == len(rows)
+    kept = {int(r["cut_id"].split("-")[1]): r["n"] for r in got}
+    assert all(kept[i] == 0 for i in range(3)) and sum(kept[i] > 100 for i in range(8, len(rows))) > 150  # one short row does not empty the long ones
