@@ -1,50 +1,84 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from speechtab.llm import lmscore
 
 
-def brute(rows, good, vocabulary, least):
-    """Scores by plain dictionaries."""
-    split = {i: (t or "").lower().split() for i, t in rows}
-    counts = Counter(w for ws in split.values() for w in ws)
-    vocab = set(dict(counts.most_common(vocabulary)))
-    ids = {i: [w if w in vocab else None for w in ws] for i, ws in split.items()}
-    pairs = {i: list(zip([None, *v], v)) for i, v in ids.items()}
-    uni = [Counter(w for i, v in ids.items() if all_ or i in good for w in v) for all_ in (False, True)]
-    bi = [Counter(p for i, v in pairs.items() if all_ or i in good for p in v) for all_ in (False, True)]
-    table = {p for p, n in bi[1].items() if n >= least}
-    out = {}
-    for i, ps in pairs.items():
+def brute(rows):
+    """(n, loss_target, loss_background) of rows (text, target, background), each scored without its own counts."""
+    split = [(t or "").lower().split() for t, *_ in rows]
+    width = len({w for ws in split for w in ws})
+    models = []
+    for m in (1, 2):
+        held = [ws for ws, r in zip(split, rows) if r[m]]
+        models.append((Counter(w for ws in held for w in ws), Counter(p for ws in held for p in zip([None, *ws], ws))))
+    out = []
+    for ws, r in zip(split, rows):
         losses = []
-        for u, b in zip(uni, bi):
-            total, kinds = Counter(), Counter()
-            for p in table:
-                total[p[0]] += b[p]
-                kinds[p[0]] += b[p] > 0
+        for m, (uni, bi) in zip((1, 2), models):
+            u, b = Counter(uni), Counter(bi)
+            if r[m]:
+                u.subtract(ws)
+                b.subtract(zip([None, *ws], ws))
+            total, starts = sum(u.values()), sum(n for (h, _), n in b.items() if h is None)
             loss = 0.0
-            for h, w in ps:
-                prob = (u[w] + 1) / (sum(u.values()) + len(vocab) + 1)
-                back = kinds[h] / (total[h] + kinds[h]) if total[h] else 1.0
-                seen = b[h, w] / max(total[h] + kinds[h], 1) if (h, w) in table else 0.0
-                loss -= math.log2(seen + back * prob)
-            losses.append(loss / len(ps) if ps else None)
-        out[i] = (len(ps), *losses)
+            for h, w in zip([None, *ws], ws):
+                p = (u[w] + 1) / (total + width + 1)
+                loss -= math.log2((b[h, w] + lmscore.MU * p) / ((starts if h is None else u[h]) + lmscore.MU))
+            losses.append(loss / len(ws) if ws else None)
+        out.append((len(ws), *losses))
     return out
 
 
+def equal(got, want):
+    assert got["n_tokens"] == want[0]
+    for c, x in zip(("loss_target", "loss_background"), want[1:]):
+        assert got[c] is None if x is None else math.isclose(got[c], x, rel_tol=1e-9), (got, want)
+    assert (got["score"] is None) == (want[0] == 0)
+
+
+ROWS = ["the cat sat on the mat", "The cat ate the rat", "junk junk words junk", None, "", "the cat sat on the junk", "the mat sat", "a b c d e f g", " \n ", "lone"]
+
+
 def test_equals_brute_force(spark):
-    rows = [(1, "the cat sat on the mat"), (2, "The cat ate the rat"), (3, "junk junk words junk"), (4, None), (5, ""), (6, "the cat sat on the junk"), (7, "the mat sat"), (8, "a b c d e f g")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as n", "true as target")
-    good = spark.createDataFrame([(1,), (2,), (7,), (7,), (None,)], "doc_id long")
-    got = {r["doc_id"]: r for r in lmscore.score(docs, lmscore.fit(docs, good)).collect()}
-    for i, (n, a, b) in brute(rows, {1, 2, 7}, lmscore.VOCABULARY, lmscore.MIN_BIGRAM).items():
-        assert got[i]["n_tokens"] == n
-        if n == 0:
-            assert got[i]["score"] is None
-        else:
-            assert math.isclose(got[i]["loss_target"], a, rel_tol=1e-5) and math.isclose(got[i]["loss_background"], b, rel_tol=1e-5)
-    assert got[2]["score"] < got[3]["score"]
+    flags = [(i, t, i % 3 == 0, i % 4 != 1) for i, t in enumerate(ROWS)]
+    docs = spark.createDataFrame(flags, "doc_id long, text string, target boolean, background boolean").selectExpr("*", "1 as key", "2 as n", "3 as `group`")
+    got = {r["doc_id"]: r for r in lmscore.score(docs).collect()}
+    assert len(got) == len(ROWS)
+    for i, want in enumerate(brute([x[1:] for x in flags])):
+        equal(got[i], want)
+
+
+@pytest.mark.parametrize("group, ranges", [(40, 30), (1 << 20, 2_000_000)])
+def test_any_grouping_gives_the_same(spark, group, ranges):
+    """Many small groups and ranges, long texts in pieces (their own counts are left out piece by piece, so here they are in no model)."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(30))), i % 5 == 0, True) for i in range(120)]
+    rows += [(500, " ".join(f"w{rng.randrange(60)}" for _ in range(500)), False, False), (501, rows[3][1], False, True), (501, rows[3][1], False, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean, background boolean").repartition(3)
+    assert (lmscore.grouped(docs, group).count() > 30) == (group == 40)
+    got = sorted(lmscore.score(docs, group, ranges).collect(), key=lambda r: (r["doc_id"], r["n_tokens"]))
+    assert len(got) == len(rows)
+    for r, want in zip(got, brute([x[1:] for x in rows])):
+        equal(r, want)
+
+
+def test_copies_score_apart_and_target_like_others(spark):
+    """Leaving one out: a text that occurs twice is likely under the background; good documents gain nothing by being labelled."""
+    rng = random.Random(5)
+    style = lambda k: " ".join(f"{k}{rng.randrange(40)}" for _ in range(60))
+    rows = [(i, style("good") if i % 2 else style("bad")) for i in range(200)] + [(900, "q1 q2 q3 q4 q5 q6 q7 q8"), (901, "q1 q2 q3 q4 q5 q6 q7 q8"), (902, "z1 z2 z3 z4 z5 z6 z7 z8")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 101, 2)] + [(1, 1), (None, 1), (2, 0)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs, labels).collect()}
+    mean = lambda ids: np.mean([got[i]["score"] for i in ids])
+    inside, outside, bad = mean(range(1, 100, 2)), mean(range(101, 200, 2)), mean(range(0, 200, 2))
+    assert abs(inside - outside) < 0.1 and bad - outside > 2
+    assert got[902]["loss_background"] - got[900]["loss_background"] > 3
 
 
 def test_good_documents_score_lower(spark):
@@ -56,28 +90,22 @@ def test_good_documents_score_lower(spark):
 
 
 def test_without_labels_or_rows(spark):
-    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "a"), (1, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert lmscore.cross_entropy_difference(docs, labels).count() == 2
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"] is None) for r in lmscore.cross_entropy_difference(docs, labels).collect())
+    assert got == [("1", 2, False), ("1", 2, False), ("2", 0, True), ("None", 1, False)]
     assert lmscore.cross_entropy_difference(docs.limit(0), labels).count() == 0
 
 
 def test_every_word_and_bigram_counts(spark):
-    """More words than 2^15 and bigrams that occur once still tell target from background."""
-    rows = [(i, " ".join(f"w{(i * 300 + k) % 45_000}" for k in range(300))) for i in range(150)] + [(150, "w7 w7 w8 w3 w44990 w7 new"), (None, "w1 w2"), (150, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    good = spark.createDataFrame([(i,) for i in range(0, 150, 2)], "doc_id long")
-    model = lmscore.fit(docs, good)
-    assert model.unigrams.count() == 45_001 and model.bigrams.count() > 45_000
-    keyed = [(-1 if i is None else i if t else -2, t) for i, t in rows]
-    want = brute(keyed, set(range(0, 150, 2)), None, 1)
-    for scored in (lmscore.score(docs, model, fitted=True), lmscore.score(docs, model)):
-        got = scored.collect()
-        assert len(got) == len(rows)
-        for r in got:
-            n, a, b = want[-1 if r["doc_id"] is None else r["doc_id"] if r["n_tokens"] else -2]
-            assert r["n_tokens"] == n and (n or r["score"] is None)
-            assert not n or math.isclose(r["loss_target"], a, rel_tol=1e-5) and math.isclose(r["loss_background"], b, rel_tol=1e-5)
-    other = lmscore.score(spark.createDataFrame([(1, "never seen")], "doc_id long, text string"), model).first()
-    begin = model.histories.where("h = 0").first()  # the first word's history is known, the second's is not
-    assert math.isclose(other["loss_background"], math.log2(model.n + model.width) + math.log2(1 + begin["total"] / begin["kinds"]) / 2, rel_tol=1e-5)
+    """Nothing stops counting: 45,000 words, each in two texts, and bigrams of one occurrence."""
+    rows = [(i, " ".join(f"w{(i * 300 + k) % 45_000}" for k in range(300)), i % 2 == 0, True) for i in range(300)] + [(300, "w7 w7 w8 w3 w44990 w7 new", False, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean, background boolean").repartition(7)
+    got = {r["doc_id"]: r for r in lmscore.score(docs).collect()}
+    for i, want in zip((0, 1, 150, 300), [brute([x[1:] for x in rows])[k] for k in (0, 1, 150, 300)]):
+        equal(got[i], want)
+
+
+def test_packed_arrays():
+    for x in (np.zeros(0, np.uint64), np.array([0, 1, 2**64 - 1], np.uint64), np.arange(5, dtype=np.uint32)):
+        assert (lmscore.unpack(lmscore.pack(x), x.dtype.type) == x).all()
