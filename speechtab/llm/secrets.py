@@ -3,11 +3,13 @@
 Base kinds are fixed patterns. The method adds spans of kind ``markov``: runs of at least ``MIN_TOKEN``
 key characters whose log-likelihood under a character Markov model of random strings exceeds that under
 a model of ordinary identifiers by more than ``MIN_LLR``, and that overlap no base span. Both models are
-first-order, over one alphabet, with additive smoothing, and are fitted to labelled samples: the values
-that base patterns mark (random), and the other words (ordinary), of about ``SAMPLE_DOCS`` documents
-drawn by a hash of their id. The model is a table of fixed size, so it travels as a literal.
+first-order, over one alphabet, with additive smoothing, and are fitted to labelled samples from about ``SAMPLE_DOCS`` documents
+drawn by a hash of their id: the values that base patterns mark (random), and (ordinary) the other words of these documents
+and identifiers, which are words that stood together, written the ways identifiers are (with underscores, hyphens, slashes, in camel case, in
+capitals, numbered). Each distinct sample counts once. The model is a table of fixed size, so it travels as a literal.
 
-Positions come from the pieces between matches: their lengths and those of the matches are summed.
+Positions come from the pieces between matches: their lengths and those of the matches are summed, in blocks of matches, so that a text of very
+many matches takes no square of their number.
 Null and empty texts have no spans; without labelled samples no span is added. Repeated rows are
 scanned each by itself. Columns other than doc_id and text are ignored.
 """
@@ -26,27 +28,41 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]"
-MIN_TOKEN, MIN_LLR, SAMPLE_DOCS, SMOOTHING = 16, 12.0, 20_000, 0.1
+MIN_TOKEN, MIN_LLR, SAMPLE_DOCS, SMOOTHING = 16, 40.0, 20_000, 0.1
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+#: Matches summed together.
+BLOCK = 256
+#: One word group in so many gives an identifier.
+EVERY = 16
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def located(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0) -> Column:
     """Spans (start, kind, end, value of ``group``) of all matches, of which ``group`` has ``least`` characters or more."""
-    between = F.split(text, pattern, -1)
-    found = F.transform(
-        F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"), F.transform(between, F.length).alias("gap")),
-        lambda x: F.struct(x["gap"].cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("n"), x["v"].alias("v")),
+    found = F.zip_with(
+        F.transform(F.split(text, pattern, -1), F.length),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, m: F.when(m.isNotNull(), F.struct(gap.cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("v"))),  # none after the last piece
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["n"]).alias("at"),
-        F.when(
-            F.length(x["v"]) >= max(1, least),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["v"].alias("value")))),
-        ).otherwise(acc["out"]).alias("out"),
+    if group:
+        found = F.zip_with(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x, v: F.when(v.isNotNull(), F.struct(x["gap"].alias("gap"), x["n"].alias("n"), v.alias("v"))))
+    span = lambda start, x, at: F.struct(start.alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["n"]).alias("end"), x["v"].alias("value"))
+    zero, none = F.lit(0).cast("long"), F.array().cast(SPAN)
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(span(acc["at"] + x["gap"], x, acc["at"]))).alias("out"))
+    block = lambda found, i: F.aggregate(F.slice(found, i * BLOCK + 1, F.lit(BLOCK)), F.struct(zero.alias("at"), none.alias("out")), step)
+    blocks = lambda found: F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda i: block(found, i))
+    shift = lambda at, s: F.struct((s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"), s["value"].alias("value"))
+    joined_ = F.aggregate(
+        let(F.filter(found, lambda x: x.isNotNull()), blocks),
+        F.struct(zero.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
+        lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(b["out"], lambda s: shift(acc["at"], s)))).alias("out")),
+        lambda acc: F.flatten(acc["out"]),
     )
-    folded = F.aggregate(F.filter(found, lambda x: x["n"].isNotNull()), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), F.filter(joined_, lambda s: F.length(s["value"]) >= max(1, least))).otherwise(none)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -58,17 +74,36 @@ def codes(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)))
 
 
+def identifiers(words: Column) -> Column:
+    """Identifiers of three words that stand together, one for each ``EVERY`` words, in eight ways of writing by turns."""
+    cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))
+    at = lambda i, k: F.get(words, i * EVERY + k)
+    ways = lambda i: F.array(
+        F.concat_ws("_", at(i, 0), at(i, 1), at(i, 2)),
+        F.concat_ws("-", at(i, 0), at(i, 1), at(i, 2)),
+        F.concat_ws("/", at(i, 0), at(i, 1), at(i, 2)),
+        F.concat(F.lower(at(i, 0)), cap(at(i, 1)), cap(at(i, 2))),
+        F.concat(cap(at(i, 0)), cap(at(i, 1)), cap(at(i, 2))),
+        F.upper(F.concat_ws("_", at(i, 0), at(i, 1), at(i, 2))),
+        F.concat(F.concat_ws("_", at(i, 0), at(i, 1)), (i % 100).cast("string")),
+        F.concat(F.concat_ws("-", at(i, 0), at(i, 1)), F.lit("-"), (2000 + i % 30).cast("string")),
+    )
+    places = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.floor((F.size(words) - 3) / EVERY).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.get(ways(i), F.pmod(F.xxhash64(at(i, 0), at(i, 1)), F.lit(8)).cast("int")))
+
+
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """token, random (boolean): base values, and words outside them (those of three tenths of the sampled documents)."""
+    """token, random (boolean), each once: base values; words outside them and identifiers of such words."""
     n = max(1, docs.count())
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
     rate = min(1.0, sample_docs / n)
     some = docs.select("text", draw.alias("draw")).where((F.col("draw") < int(rate * 1_000_000) + 1) & F.col("text").isNotNull())
     values = some.select(F.explode(F.flatten(F.array(*base_spans(F.col("text"))))).alias("span")).select(F.lit(True).alias("random"), F.col("span.value").alias("token"))
     cleared = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    few = some.where(F.col("draw") < int(rate * (300_000 if n > 2_000 else 1_000_000)) + 1)
-    plain = few.select(F.explode(F.regexp_extract_all(cleared, F.lit(TOKEN + "{4,}"), F.lit(0))).alias("token")).select(F.lit(False).alias("random"), "token")
-    return values.unionByName(plain)
+    words = some.select(F.regexp_extract_all(cleared, F.lit(TOKEN + "{4,}"), F.lit(0)).alias("words"))
+    words = words.withColumn("letters", F.filter("words", lambda w: w.rlike("^[A-Za-z]+$")))
+    plain = words.select(F.explode(F.concat("words", identifiers(F.col("letters")))).alias("token")).select(F.lit(False).alias("random"), "token")
+    return values.unionByName(plain).distinct()
 
 
 def fit(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
