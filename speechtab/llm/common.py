@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of text that one numpy pass covers; a longer document is a pass of its own.
+#: Bytes of text that one numpy pass covers; a longer document is cut at blanks.
 SLICE_BYTES = 1 << 18
 
 
@@ -58,6 +58,12 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """``df`` through a function of record batches that keeps the columns, whatever their names (columns are numbered inside)."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def release() -> None:
     """Gives Arrow's freed memory back at the end of a task: Python workers live on and serve later stages."""
     pa.default_memory_pool().release_unused()
@@ -103,30 +109,58 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
+def _hashed(b: np.ndarray, at: np.ndarray, in_word: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids of the bytes ``b``, and the number of words of each document (``at``: where they begin, and the end)."""
+    inside = in_word[b]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    opens = at[:-1][at[:-1] < at[1:]]
+    first[opens] = inside[opens]
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.searchsorted(starts, at))
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64), counts
+    w = b[inside]
+    begin = np.cumsum(inside)[starts] - 1
+    length = np.diff(np.append(begin, len(w)))
+    within = np.arange(len(w)) - np.repeat(begin, length)
+    h = np.add.reduceat(codes[w] * _powers(int(length.max()))[within], begin)
+    return mix(h ^ (length.astype(np.uint64) * U64(0xD6E8FEB86659FD93))), counts
+
+
+def _ends(b: np.ndarray, in_word: np.ndarray, most: int) -> Iterator[int]:
+    """Cuts of a long document at bytes outside words, about ``most`` apart (farther only where a word is longer)."""
+    at = 0
+    while len(b) - at > most:
+        outside = np.flatnonzero(~in_word[b[at : at + most]])
+        step = most
+        while not len(outside) and at + step < len(b):
+            outside = step + np.flatnonzero(~in_word[b[at + step : at + step + most]])[:1]
+            step += most
+        if not len(outside):
+            break
+        at += int(outside[-1]) + 1
+        yield at
+    yield len(b)
+
+
 def words(texts: pa.Array, in_word: np.ndarray = NON_SPACE, fold: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per slice of documents lo..hi: the word ids in order, and the number of words of each document."""
+    """Per slice of documents lo..hi: the word ids in order, and the number of words of each document.
+
+    A document over ``SLICE_BYTES`` is a slice by itself, hashed piece by piece: what it needs beyond its ids does not grow with it.
+    """
     offs, data = buffers(texts)
     codes, n, lo = (_CODES_FOLDED if fold else _CODES), len(offs) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + SLICE_BYTES, "right")) - 1)
         hi = min(hi, n)
         b, at = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-        inside = in_word[b]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        opens = at[:-1][at[:-1] < at[1:]]
-        first[opens] = inside[opens]
-        starts = np.flatnonzero(first)
-        counts = np.diff(np.searchsorted(starts, at))
-        if len(starts) == 0:
-            yield lo, hi, np.zeros(0, np.uint64), counts
+        if len(b) <= SLICE_BYTES:
+            yield lo, hi, *_hashed(b, at, in_word, codes)
         else:
-            w = b[inside]
-            begin = np.cumsum(inside)[starts] - 1
-            length = np.diff(np.append(begin, len(w)))
-            within = np.arange(len(w)) - np.repeat(begin, length)
-            h = np.add.reduceat(codes[w] * _powers(int(length.max()))[within], begin)
-            yield lo, hi, mix(h ^ (length.astype(np.uint64) * U64(0xD6E8FEB86659FD93))), counts
+            cuts = [0, *_ends(b, in_word, SLICE_BYTES)]
+            ids = np.concatenate([_hashed(b[x:y], np.array([0, y - x]), in_word, codes)[0] for x, y in zip(cuts, cuts[1:])])
+            yield lo, hi, ids, np.array([len(ids)])
         lo = hi
 
 

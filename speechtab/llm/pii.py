@@ -1,11 +1,11 @@
 """Personal data by weak supervision.
 
-Base kinds are fixed patterns and always stay. Further candidates are number and address shapes that
-the base rules do not take whole (digit groups, parts of matches that failed a test). Every candidate gets
-a vote of yes, no or nothing from eight labelers: pattern (regex), word list (gazetteer) and
+Base kinds are fixed patterns and always stay. Further candidates are shapes that the base rules do not take whole: digit groups,
+dates, account numbers, spelt-out mail addresses, names after a title, street addresses. Every candidate gets
+a vote of yes, no or nothing from nine labelers: pattern (regex), word list (gazetteer) and
 neighbourhood (context) ones. Expectation-maximisation over the counts of vote patterns of all
-candidates in the corpus (the patterns are at most 3^8) estimates each labeler's reliability without
-labels. The resulting probabilities train a logistic span classifier over shape features, on the same
+candidates in the corpus (the patterns are at most 3^9) estimates each labeler's reliability without
+labels; each starts as, and is weakly held to be, better than chance, which fixes which class is the private one. The resulting probabilities train a logistic span classifier over shape features, on the same
 counted groups of candidates; candidates it takes for private at ``MIN_PROBABILITY`` or more are added as spans of
 kind ``other``, unless they overlap a base span.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import release
+from speechtab.llm.common import map_rows, release
 
 KINDS = ("email", "ip", "card", "phone", "other")
 #: Fixed patterns; each gives the leftmost non-overlapping matches of its base kind.
@@ -35,13 +35,29 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT = re.compile(r"[0-9@]")
-#: Shapes of further candidates.
-SHAPE = re.compile(r"\+?[0-9]{1,3}\x20?\([0-9]{2,4}\)\x20?[0-9]{3,4}-[0-9]{3,4}(?![0-9])|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])|(?<![0-9])[0-9]{12,19}(?![0-9])")
-#: Gazetteers: words that stand before numbers of a person, and before numbers that are none.
-PRIVATE_WORDS = frozenset("phone tel telefon teléfono téléphone mobile call fax card visa iban ssn account konto cuenta compte ip host mail email contact".split())
-OTHER_WORDS = frozenset("version section chapter page license release isbn doi item token secret password".split())
-MIN_PROBABILITY, EM_ROUNDS, FIT_ROUNDS = 0.5, 50, 200
-LABELERS, FEATURES = 8, 7
+#: Word lists: titles before a name, given names, words before data of a person and before numbers that are none, endings of mail domains, street words.
+TITLES = "Mr Mrs Ms Dr Herr Frau Señor Señora Madame Monsieur Mme".split()
+GIVEN_NAMES = frozenset("Ana Anna Carlos Claire David Elena Emma Hans James Jean John Juan Julia Karl Laura Luis Maria Marie Mary Michael Paul Peter Pierre Robert Sarah Sophie Thomas".split())
+PRIVATE_WORDS = frozenset("phone tel telefon teléfono téléphone mobile call fax card visa iban ssn account konto cuenta compte ip host mail email contact born birth dob geboren address adresse".split())
+OTHER_WORDS = frozenset("version section chapter page license release isbn doi item token secret password order invoice figure table number no nr updated published copyright".split())
+DOMAIN_ENDINGS = frozenset("com org net edu gov io de fr es uk eu info".split())
+STREETS = "Street St Avenue Ave Road Rd Lane Boulevard Straße Strasse Platz Calle Rue".split()
+#: Shapes of further candidates, by name.
+SHAPE = re.compile(
+    r"(?P<grouped>\+?[0-9]{1,3}\x20?\([0-9]{2,4}\)\x20?[0-9]{3,4}-[0-9]{3,4}(?![0-9])|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<date>(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9/-]))"
+    r"|(?P<dotted>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]))"
+    r"|(?P<street>(?<![0-9])[0-9]{1,4}\x20[A-Z][a-zß]+\x20(?:" + "|".join(STREETS) + r")\b)"
+    r"|(?P<number>(?<![0-9])[0-9]{9,19}(?![0-9]))"
+    r"|(?P<account>\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b)"
+    r"|(?P<mail>\b[A-Za-z0-9._-]{2,32}\x20?[(\[]?(?:\x20at\x20|at)[)\]]\x20?[A-Za-z0-9-]{2,32}\x20?[(\[]?(?:\x20dot\x20|dot)[)\]]\x20?[A-Za-z]{2,6}\b)"
+    r"|(?P<name>\b(?:" + "|".join(TITLES) + r")\.?\x20[A-ZÄÖÜÉÑ][a-zäöüßéèñ]+(?:\x20[A-ZÄÖÜÉÑ][a-zäöüßéèñ]+)?)"
+)
+#: What a text needs to hold any candidate.
+MAY_HOLD = r"[0-9]|[\])]\x20?[A-Za-z0-9-]{2,32}\x20?[(\[]?(?:\x20dot\x20|dot)|\b(?:" + "|".join(TITLES) + r")\.?\x20"
+HOLDS = re.compile(MAY_HOLD)
+MIN_PROBABILITY, PRIOR_VOTES, PRIOR_RIGHT, EM_ROUNDS, FIT_ROUNDS = 0.7, 10.0, 0.8, 50, 200
+LABELERS, FEATURES = 9, 11
 
 
 def luhn(digits: str) -> bool:
@@ -49,6 +65,12 @@ def luhn(digits: str) -> bool:
     return sum(int(d) if i % 2 == 0 else double[int(d)] for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def mod_97(account: str) -> bool:
+    """The check of international account numbers."""
+    code = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start."""
     out: list[tuple[int, int, int]] = []
@@ -77,7 +99,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool, tuple[int, ...], tuple[int, ...]]]:
     """(start, end, in a base span, votes -1/0/1 of the labelers, features 0/1) of each candidate shape."""
-    if not HINT.search(text):
+    if not HOLDS.search(text):
         return
     ends = sorted((s, e) for _, s, e in base)
     at = 0
@@ -86,24 +108,27 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
         while at < len(ends) and ends[at][1] <= s:
             at += 1
         inside = at < len(ends) and ends[at][0] < e
-        value, before, after = m.group(), text[max(0, s - 40) : s], text[e : e + 24]
-        digits = "".join(c for c in value if c.isdigit())
+        shape, value, before, after = m.lastgroup, m.group(), text[max(0, s - 40) : s], text[e : e + 24]
+        digits = "".join(c for c in value if "0" <= c <= "9")
         words = [w.strip(".,:;#*%&$!|\"'()").lower() for w in before.split()[-3:]]
-        dotted = "." in value
-        grouped = "(" in value or value.count("-") >= 2
-        octets = dotted and all(int(x) <= 255 for x in value.split("."))
+        private, other = any(w in PRIVATE_WORDS for w in words), any(w in OTHER_WORDS for w in words)
+        octets = shape == "dotted" and all(int(x) <= 255 for x in value.split("."))
+        checked = (shape == "number" and len(digits) >= 12 and luhn(digits)) or (shape == "account" and mod_97(value))
+        can_check = shape == "account" or (shape == "number" and len(digits) >= 12)
+        monotonous = 0 < len(set(digits)) <= 2 and shape != "street"
+        known = (shape == "name" and any(w in GIVEN_NAMES for w in value.split())) or (shape == "mail" and value.rpartition(" ")[2].rpartition("]")[2].rpartition(")")[2].lower() in DOMAIN_ENDINGS)
         votes = (
-            1 if grouped else 0,  # regex: number in telephone groups
-            (1 if octets else -1) if dotted else 0,  # regex: four octets
-            (1 if luhn(digits) else -1) if len(digits) == len(value) and len(digits) >= 12 else 0,  # regex: check digit
-            1 if any(w in PRIVATE_WORDS for w in words) else 0,  # gazetteer
-            -1 if any(w in OTHER_WORDS for w in words) else 0,  # gazetteer
-            1 if re.search(r"[@+][\w.]", before + after) else 0,  # context: other personal data close by
-            -1 if before[-1:] in ("=", ":", "\"", "/", "#") else 0,  # context: a value or a reference
-            -1 if len(set(digits)) <= 2 else 1 if len(set(digits)) >= 5 else 0,  # context: monotonous digits
+            1 if shape in ("grouped", "street") else -1 if shape == "number" and len(digits) < 12 else 0,  # regex: numbers in groups, and short ones without
+            (1 if octets else -1) if shape == "dotted" else 0,  # regex: four octets
+            (1 if checked else -1) if can_check else 0,  # regex: check digits
+            1 if shape in ("name", "mail") else 0,  # regex: a title, a spelt-out address
+            1 if known else -1 if shape == "mail" else 0,  # gazetteer: given names, endings of domains
+            1 if private else -1 if shape == "date" else 0,  # gazetteer: words before data of a person; a date needs one
+            -1 if other else 0,  # gazetteer: words before other numbers
+            1 if re.search(r"[A-Za-z0-9]@[A-Za-z0-9]|\+[0-9]", before + after) else 0,  # context: other personal data close by
+            -1 if before[-1:] in ("=", ":", "\"", "/", "#") or monotonous else 0,  # context: a value, a reference, a filler
         )
-        features = (grouped, dotted, len(digits) >= 12, value[0] == "+", any(w in PRIVATE_WORDS for w in words), any(w in OTHER_WORDS for w in words), len(set(digits)) >= 5)
-        yield s, e, inside, votes, tuple(map(int, features))
+        yield s, e, inside, votes, tuple(map(int, (shape == "grouped", shape == "number", shape == "date" and not private, shape in ("street", "name"), shape == "mail", octets, checked, known, private, other, votes[8] < 0)))
 
 
 def tally(docs: DataFrame) -> DataFrame:
@@ -119,27 +144,26 @@ def tally(docs: DataFrame) -> DataFrame:
                         seen["".join("-0+"[v + 1] for v in votes), "".join(map(str, features))] += 1
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["votes", "features", "n"])
+        release()
 
-    return docs.select("text").where(F.col("text").rlike("[0-9]")).mapInArrow(run, "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n"))
+    return docs.select("text").where(F.col("text").rlike(MAY_HOLD)).mapInArrow(run, "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n"))
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
-    """Probability of each row being private, prior, and (class, labeler, vote) reliabilities, by EM.
+    """Probability of each row being private, the private share of all, and each labeler's reliability (how often its votes are right), by EM.
 
-    Starts from the majority of the votes; the counts are smoothed by one of each vote.
+    Where a labeler does not vote it says nothing. ``PRIOR_VOTES`` made-up votes of each labeler, ``PRIOR_RIGHT`` of them right, hold it to be
+    better than chance. Before any vote the classes are even: an estimated balance would swallow the class with fewer labelers.
     """
-    p = 1 / (1 + np.exp(-votes.sum(1).astype(float)))
-    prior, table = 0.5, np.zeros((2, votes.shape[1], 3))
+    right = np.full(votes.shape[1], PRIOR_RIGHT)
+    p = np.full(len(votes), 0.5)
+    cast = (votes != 0).T @ n
     for _ in range(rounds):
-        weights = np.stack([(1 - p) * n, p * n])
-        prior = float((weights[1].sum() + 1) / (n.sum() + 2))
-        for x in range(3):
-            table[:, :, x] = weights @ (votes == x - 1) + 1
-        table /= table.sum(2, keepdims=True)
-        logs = np.log(table)
-        like = np.stack([sum(logs[c, j, votes[:, j] + 1] for j in range(votes.shape[1])) for c in (0, 1)])
-        p = 1 / (1 + np.exp(np.clip(like[0] - like[1] + np.log((1 - prior) / prior), -50, 50)))
-    return p, prior, table
+        odds = votes @ np.log(right / (1 - right))
+        p = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        agree = ((votes > 0) * p[:, None] + (votes < 0) * (1 - p[:, None])).T @ n
+        right = (agree + PRIOR_VOTES * PRIOR_RIGHT) / (cast + PRIOR_VOTES)
+    return p, float(p @ n / n.sum()), right
 
 
 def train(features: np.ndarray, p: np.ndarray, n: np.ndarray, rounds: int = FIT_ROUNDS) -> np.ndarray:
@@ -180,7 +204,7 @@ def as_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other, n_spans."""
     w = fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,14 +212,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
             counts, sha, spans = [], [], []
             for t in b.column(1):
                 found = all_spans(t.as_py() or "", w)
-                counts.append([sum(k == kind for k, _, _ in found) for kind in range(5)])
+                counts.append([sum(k == kind for k, _, _ in found) for kind in range(5)] + [len(found)])
                 sha.append(hashlib.sha256(as_text([x for x in found if x[0] < 4]).encode()).hexdigest())
                 spans.append(as_text(found))
-            n = np.array(counts, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, k]) for k in range(4)), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(n[:, 4])], names)
+            n = np.array(counts, np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, k]) for k in range(4)), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(n[:, 4]), pa.array(n[:, 5])], names)
+        release()
 
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_other"]
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long"
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_other", "n_spans"]
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long, n_spans long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -220,5 +245,5 @@ def redact(docs: DataFrame) -> DataFrame:
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
         release()
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_rows(docs, run)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from speechtab.llm import lmscore
@@ -106,6 +107,17 @@ def test_every_word_and_bigram_counts(spark):
         equal(got[i], want)
 
 
+def test_words_of_long_texts_in_pieces():
+    """Cut at blanks; a word longer than a piece stays whole."""
+    from speechtab.llm import common
+
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["ab", "Cd", "é" * 9, "x" * 300_000]) + "\n" * rng.randrange(2) for _ in range(40)) + " tail" * 120_000
+    (lo, hi, ids, counts), = common.words(pa.array([text]))
+    one = {w: next(common.words(pa.array([w])))[2][0] for w in set(text.split())}
+    assert (lo, hi) == (0, 1) and counts.tolist() == [len(ids)] and ids.tolist() == [one[w] for w in text.split()]
+
+
 def test_packed_arrays():
     for x in (np.zeros(0, np.uint64), np.array([0, 1, 2**64 - 1], np.uint64), np.arange(5, dtype=np.uint32)):
         assert (lmscore.unpack(lmscore.pack(x), x.dtype.type) == x).all()
