@@ -25,9 +25,10 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 
 
-def sizes(df: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), key: the hash-random order of the documents."""
+def sizes(df: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id, source, size (words), key: the hash-random order of the documents; with ``row`` all columns as a struct."""
     return df.select(
+        *([F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if row else []),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -55,9 +56,9 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     return t.select("source", "source_size", F.when(F.col("open"), F.col("weight") * level).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: words that the mix takes of each document."""
-    s = stage(sizes(docs), "mix-sizes")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, row: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: words that the mix takes of each document; with ``row`` its whole row too."""
+    s = stage(sizes(docs, row), "mix-sizes")
     ranged = s.withColumn("range", F.substring("key", 1, 3))
     by_range = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     by_range = stage(by_range, "mix-ranges")  # at most 4096 rows a source
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return rows.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(*(["row"] if row else []), "doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 ORACLE = r"""

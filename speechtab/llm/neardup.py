@@ -1,7 +1,7 @@
 """MinHash near-duplicates: universal hash minima, banding, signature then full-set verification, components.
 
-Words (blank-separated, A-Z folded) pair into 2-word shingles; a text of one word is one shingle; a text
-without words has none and links with nothing. Documents of one shingle set form a class and only its
+Words (blank-separated, A-Z folded) form shingles of ``width`` words (two for the query, five for the pipeline's stage); a text of
+fewer words is one shingle; a text without words has none and links with nothing. Documents of one shingle set form a class and only its
 smallest id goes on. ``BANDS`` x ``ROWS`` minima of multiply-add hashes give band keys; a pair at
 similarity 0.8 misses all bands with probability 5e-6. Shingles are 64-bit ids.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import U64, distinct_per_doc, mix, release, small, stage, words
+from speechtab.llm.common import U64, buffers, distinct_per_doc, mix, release, small, stage, words
 
 BANDS, ROWS = 40, 6
 MINIMA = BANDS * ROWS
@@ -39,6 +39,10 @@ AGREE = int(MINIMA * 0.9 - 6 * (MINIMA * 0.09) ** 0.5)
 SECOND = 3
 #: Ids up to this count (16 MB) are broadcast to pick candidate texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Bytes of text that are compared together.
+CONFIRM_BYTES = 2 << 20
+#: Tasks over which the members of one class are spread.
+SALTS = 64
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64) * U64(2) + U64(1)
 _B = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64)
@@ -49,27 +53,26 @@ WIDE_COLS = [f"w{i}" for i in range(WIDE // 64)]
 WIDE_AGREE = int(WIDE * 0.9 - 4.5 * (WIDE * 0.09) ** 0.5)
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per slice lo..hi of documents: (document in the slice, shingle id), distinct and sorted."""
+def shingle_sets(texts: pa.Array, width: int = 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Per slice lo..hi of documents: (document in the slice, shingle id), distinct and sorted; fewer than ``width`` words are one shingle."""
     for lo, hi, h, counts in words(texts):
         doc = np.repeat(np.arange(hi - lo), counts)
-        ends = np.cumsum(counts[counts > 0]) - 1
-        last = np.zeros(len(h), bool)
-        last[ends] = True
-        single = np.repeat(counts == 1, counts)
-        after = np.append(h[1:], U64(0)) if len(h) else h
-        after[single] = U64(0x5851F42D4C957F2D)
-        ids = mix(h * U64(0x9E3779B97F4A7C15) + (after ^ (after << U64(21))))
-        keep = ~last | single
+        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(h))  # words from here to the text's end
+        ids = h
+        for j in range(1, width):
+            after = np.append(h[j:], np.zeros(min(j, len(h)), np.uint64))
+            after[left <= j] = U64(0x5851F42D4C957F2D)
+            ids = mix(ids * U64(0x9E3779B97F4A7C15) + (after ^ (after << U64(21))))
+        keep = (left >= width) | ((left == np.repeat(counts, counts)) & (left < width))
         yield lo, hi, *distinct_per_doc(doc[keep], ids[keep])
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, width: int = 2) -> DataFrame:
     """doc_id, n_shingles, d0, d1 (digest of the set), s0..s3 (signature bits), bands (none for sets under 4: they link to equal sets only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, doc, ids in shingle_sets(b.column(1)):
+            for lo, hi, doc, ids in shingle_sets(b.column(1), width):
                 n = np.bincount(doc, minlength=hi - lo).astype(np.int64)
                 has = np.flatnonzero(n)
                 begin = np.searchsorted(doc, has)
@@ -99,13 +102,13 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
     """doc_id, w0..: one bit of each of ``WIDE`` further minima, for the few documents of open buckets."""
     mult, plus = (np.random.default_rng(55).integers(0, 2**63, (2, WIDE), dtype=np.uint64)) * U64(2) + U64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, doc, ids in shingle_sets(b.column(1)):
+            for lo, hi, doc, ids in shingle_sets(b.column(1), width):
                 has, begin = np.unique(doc, return_index=True)
                 out = np.zeros((len(WIDE_COLS), hi - lo), np.uint64)
                 v = np.empty_like(ids)
@@ -119,18 +122,21 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in WIDE_COLS))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, width: int = 2) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            size = sum(np.diff(buffers(batch.column(c))[0]) for c in (2, 3))
+            part = np.cumsum(size) // CONFIRM_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                b = batch.slice(at, to - at)
                 sides = []
                 for col in (2, 3):
-                    parts = [(lo + doc, ids) for lo, _, doc, ids in shingle_sets(b.column(col))]
+                    parts = [(lo + doc, ids) for lo, _, doc, ids in shingle_sets(b.column(col), width)]
                     sides.append([np.concatenate(x) for x in zip(*parts)])
                 n = [np.bincount(doc, minlength=b.num_rows) for doc, _ in sides]
                 doc, ids = (np.concatenate(x) for x in zip(*sides))
@@ -178,15 +184,17 @@ def close(x: str, y: str):
     return sizes & (agreement(x, y) >= AGREE)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each id."""
+def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each id; shingles of ``width`` words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = stage(sign(docs), "signed")
+    signed = stage(sign(docs, width), "signed")
     if signed.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        signed = stage(sign(docs), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"))
-    member = stage(signed.drop("bands", *SIGN).join(classes, ["n_shingles", "d0", "d1"]).select("doc_id", "rep"), "members")
+        signed = stage(sign(docs, width), "signed")
+    sets = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "d0", "d1", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    classes = sets.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))  # only sets that repeat: a large class meets its row in many tasks
+    member = stage(sets.join(classes, ["n_shingles", "d0", "d1", "salt"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = signed.join(member.where("doc_id = rep").select("doc_id"), "doc_id")
     info = stage(reps.select("doc_id", "n_shingles", *SIGN, "bands"), "representatives")
     row = info.select("doc_id", F.explode("bands").alias("band"))
@@ -203,7 +211,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ids = chosen.select(F.col("a").alias("doc_id")).unionByName(chosen.select(F.col("b").alias("doc_id"))).distinct()
         return docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")
 
-    links = stage(confirm(best, texts_of(best)), "links")
+    links = stage(confirm(best, texts_of(best), width), "links")
     found = components(links)
 
     def labels(ids: DataFrame, key: str, name: str) -> DataFrame:
@@ -213,7 +221,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = labels(labels(judged.join(best, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb")
     turn = F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))
     second = stage(rest.withColumn("turn", turn).where(F.col("turn") <= SECOND).select("a", "b"), "second")
-    late = stage(confirm(second, texts_of(second)), "links")
+    late = stage(confirm(second, texts_of(second), width), "links")
     if late.limit(1).count():
         links = links.unionByName(late)
         found = components(links)
@@ -224,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     open_ = stage(open_.join(several, "band"), "open")
     ids = open_.select("doc_id").distinct()
-    wide = sketch(docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi")).join(bands, "doc_id")
+    wide = sketch(docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi"), width).join(bands, "doc_id")
     open_ = stage(open_.join(wide, "doc_id"), "wide")
     x, y = open_.alias("x"), open_.alias("y")
     wider = differing("x", "y", WIDE_COLS) <= WIDE - WIDE_AGREE
@@ -234,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     more = stage(more.join(tried, ["a", "b"], "left_anti"), "more")
     if more.limit(1).count():
-        late = stage(confirm(more, texts_of(more)), "links")
+        late = stage(confirm(more, texts_of(more), width), "links")
         if late.limit(1).count():
             found = components(links.unionByName(late))
     out = signed.select("doc_id", "n_shingles").join(member, "doc_id", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -7,11 +7,11 @@ neutral alone. In the linear part a term's value is its association with the lab
 ``Z_TOP``-th largest one's, at most 1 and at least ``Z_LEAST``, so that the thousands of other words of a long text do not drown an insult. The
 pairs are not weighed by it: their sum is over the number of the text's terms.
 The machine is fitted by AdaGrad on the logistic loss over at most ``TRAIN_ROWS`` labelled documents
-(those of smallest id hash), in one task of bounded size. The model (DIM * (RANK + 2) floats) goes to the
+(those of smallest id hash), in one task of bounded size, for ``EPOCHS`` epochs or ``UPDATES`` batches, whichever is more. The model (DIM * (RANK + 2) floats) goes to the
 scorers as a broadcast value.
 
 Null and empty texts score the bias alone. Without labelled rows the score is 0. Ids that repeat in the
-labels count by their largest label. Null labels are no labels. Other columns are never read.
+labels count by their largest label; of several texts with one id the smallest is learnt from. Null labels are no labels. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import LETTERS, distinct_per_doc, release, small, words
+from speechtab.llm.common import LETTERS, distinct_per_doc, map_rows, release, small, words
 
 DIM, RANK, TRAIN_ROWS, EPOCHS, BATCH = 1 << 17, 8, 20_000, 12, 256
 Z_TOP, Z_LEAST, RATE, UPDATES, PAIR_RATE, PAIR_L2 = 10, 0.01, 0.3, 300, 0.09, 1e-4
@@ -108,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y is not null")
     usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(chosen, train_rows), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(chosen, train_rows), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def as_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,7 +178,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                 yield b.filter(pa.array(p < threshold))
         release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def held_out_remainder(doc_id: int) -> bool:

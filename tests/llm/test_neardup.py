@@ -4,17 +4,17 @@ from speechtab.llm import neardup
 from speechtab.llm.queries import op5_minhash_near_dedup
 
 
-def shingles(text):
+def shingles(text, width=2):
     table = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
     w = [x for x in (text or "").translate(table).replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if x]
-    return set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, width=2):
     sets = {}
     for i, t in rows:
         if i is not None:
-            sets[i] = shingles(min((x for j, x in rows if j == i and x is not None), default=None))
+            sets[i] = shingles(min((x for j, x in rows if j == i and x is not None), default=None), width)
     parent = {i: i for i in sets}
 
     def root(i):
@@ -32,12 +32,12 @@ def brute(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-def check(spark, rows, extra=False):
+def check(spark, rows, extra=False, width=2):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     if extra:
         df = df.selectExpr("*", "1 as n_shingles", "2 as component_id", "3 as kept", "4 as band")
-    got = {r["doc_id"]: r for r in neardup.near_duplicates(df).collect()}
-    want = brute(rows)
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(df, width).collect()}
+    want = brute(rows, width)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
@@ -59,6 +59,15 @@ def test_chains_copies_and_odd_texts(spark):
     rows += [(500 + i, " ".join(base[:60] + [f"y{rng.randrange(10**6)}" for _ in range(60)])) for i in range(40)]
     rng.shuffle(rows)
     check(spark, rows, extra=True)
+    check(spark, rows, width=5)
+
+
+def test_a_very_long_text_and_many_copies(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(9000)}" for _ in range(150_000)]
+    near = [w if i % 40 else "x" for i, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " \n".join(near)), (3, "b" * 600_000), (4, "B" * 600_000)] + [(100 + i, "the same few words in each of these") for i in range(300)]
+    check(spark, rows)
 
 
 def test_open_buckets_lose_no_link(spark):

@@ -34,6 +34,27 @@ def test_pairs_are_learnt_beyond_the_sum():
     assert ((z > 0) == (y == 1)).mean() > 0.95
 
 
+def test_scores_equal_a_double_loop():
+    rng = np.random.default_rng(4)
+    docs = [sorted(set(rng.integers(0, 40, rng.integers(0, 12)).tolist())) for _ in range(30)]
+    w, v = rng.normal(size=toxicity.DIM), rng.normal(size=(toxicity.DIM, toxicity.RANK))
+    doc, term = (np.array(x, np.int64) for x in zip(*[(i, t) for i, ts in enumerate(docs) for t in ts]))
+    got = toxicity.raw_scores(doc, term, len(docs), 0.3, w, v)
+    for i, ts in enumerate(docs):
+        z = 0.3 + sum(w[t] for t in ts)
+        for a in range(len(ts)):
+            for b in range(a + 1, len(ts)):
+                z += float(v[ts[a]] @ v[ts[b]]) / len(ts)
+        assert abs(got[i] - z) < 1e-9
+
+
+def test_one_text_of_a_repeated_id_is_learnt_from(spark):
+    rows = [(i, f"word{chr(97 + i % 7)} other") for i in range(60)] + [(i, f"zzz{chr(97 + i % 5)}") for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    models = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 2), (rows[::-1], 5))]
+    assert models[0][0] == models[1][0] and (models[0][1] == models[1][1]).all() and (models[0][2] == models[1][2]).all()
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "idiot", 5), (3, "idiot " * 50_000, 5), (3, "idiot", 5)], "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (1, None), (4, 0)], "doc_id long, toxic int")
