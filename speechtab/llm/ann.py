@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from speechtab.llm.common import stage
 
 DIMS, CONFIDENCE, BLOCK_ROWS, LEAF_ROWS, SAMPLE_ROWS, SEED = 24, 0.95, 8192, 512, 4096, 4
-STEP, MAX_CELLS, LOT = 16, 1024, 20_000
+STEP, MAX_CELLS, LOT = 64, 1024, 20_000
 
 
 def chi2_quantile(p: float, m: int) -> float:
