@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,10 +15,24 @@ def sort_by_duration(df: DataFrame, key: str = "cut_id") -> DataFrame:
     return df.orderBy(F.desc("duration"), key)
 
 
-def simple_batches(df: DataFrame, max_duration: float, order: list[str], lanes: int = 64, key: str = "cut_id") -> DataFrame:
-    """``df`` with lane, batch_id: consecutive rows of a lane (hash of the id) up to a pooled duration."""
-    rows = df.withColumn("lane", F.pmod(F.xxhash64(key), F.lit(lanes)).cast("long"))
-    return _fold(rows, max_duration, order)
+#: Rows of a lane: what one task folds in order.
+LANE_ROWS = 1 << 16
+
+
+def seeded(key: str, *salt: object) -> Column:
+    """A hash of an id and a salt in 0..2^32 - 1 that any engine with md5 repeats."""
+    text = F.concat_ws(":", F.col(key).cast("string"), *[F.lit(str(s)) if not isinstance(s, Column) else s.cast("string") for s in salt])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def simple_batches(df: DataFrame, max_duration: float, order: list[str], lanes: int | None = None, key: str = "cut_id") -> DataFrame:
+    """``df`` with lane, batch_id: consecutive rows of a lane (hash of the id) up to a pooled duration.
+
+    Without ``lanes`` there are as many as keep one at about ``LANE_ROWS`` rows. Null durations count as 0; a row longer than the limit is a
+    batch of its own. Ties in ``order`` should be broken by it. Empty tables give no batches.
+    """
+    lanes = lanes or max(1, -(-df.count() // LANE_ROWS))
+    return _fold(df.withColumn("lane", F.pmod(seeded(key, "lane"), F.lit(lanes)).cast("long")), max_duration, order)
 
 
 def _fold(rows: DataFrame, max_duration: float, order: list[str]) -> DataFrame:
@@ -29,7 +43,7 @@ def _fold(rows: DataFrame, max_duration: float, order: list[str]) -> DataFrame:
         lane, total, number = None, 0.0, 0
         for b in batches:
             ids = []
-            for own, d in zip(b["lane"], b["duration"]):
+            for own, d in zip(b["lane"].tolist(), b["duration"].fillna(0.0).tolist()):
                 if own != lane:
                     lane, total, number = own, 0.0, 0
                 elif total > 0 and total + d > max_duration:
@@ -44,21 +58,36 @@ def _fold(rows: DataFrame, max_duration: float, order: list[str]) -> DataFrame:
 def bucket_batches(df: DataFrame, buckets: int = 30, max_duration: float = 600.0, seed: int = 0, epoch: int = 0, drop_last: bool = True, key: str = "cut_id") -> DataFrame:
     """``df`` with bucket (equal-count duration quantiles), lane and batch_id; order within a bucket by seeded hash.
 
-    Lanes split a bucket so that no task holds it whole. ``drop_last``: each lane's last batch goes unless it is full
-    (the next row of equal length would not fit).
+    A bucket of more than ``LANE_ROWS`` rows is folded in several lanes, so that no task holds it whole; the last batches of its lanes
+    are folded once more, together. ``drop_last``: of each bucket its one last batch goes, unless it is full (a further row as long as its longest
+    would not fit). Null durations count as 0 and are in the first bucket. Empty tables give no batches.
     """
+    from speechtab.session import checkpointed
+
     edges = df.agg(F.percentile_approx("duration", [i / buckets for i in range(1, buckets)], 10_000).alias("e")).first()["e"] or []
     bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(edges))]), lambda e: e < F.col("duration"))) if edges else F.lit(0)
-    shuffle = F.xxhash64(key, F.lit(seed), F.lit(epoch))
-    rows = df.withColumn("bucket", bucket.cast("long")).withColumn("__o", shuffle).withColumn("lane", F.col("bucket") * 16 + F.pmod("__o", F.lit(16)))
-    out = _fold(rows, max_duration, ["__o", key]).drop("__o")
+    lanes = max(1, -(-df.count() // (buckets * LANE_ROWS)))
+    rows = df.withColumn("bucket", F.greatest(bucket, F.lit(0)).cast("long")).withColumn("__o", seeded(key, seed, epoch))
+    rows = rows.withColumn("lane", F.col("bucket") * (lanes + 1) + F.pmod("__o", F.lit(lanes)))
+    out = checkpointed(_fold(rows, max_duration, ["__o", key]))
+    if lanes > 1:
+        ends = _ends(out)
+        loose = out.join(ends.where("__last"), ["lane", "batch_id"], "left_semi").drop("batch_id").withColumn("lane", F.col("bucket") * (lanes + 1) + lanes)
+        out = checkpointed(out.join(ends.where("not __last"), ["lane", "batch_id"], "left_semi").unionByName(_fold(loose, max_duration, ["__o", key])))
+    out = out.drop("__o")
     if not drop_last:
         return out
-    per = out.groupBy("lane", "batch_id").agg(F.sum("duration").alias("__t"), F.max("duration").alias("__m"))
-    number = F.split("batch_id", "-")[1].cast("long")
-    last = F.max(number).over(W.partitionBy("lane")) == number
-    full = per.withColumn("__keep", ~last | (F.col("__t") + F.col("__m") > max_duration)).where("__keep")
-    return out.join(full.select("lane", "batch_id"), ["lane", "batch_id"], "left_semi")
+    final = F.col("lane") == F.col("bucket") * (lanes + 1) + (lanes if lanes > 1 else 0)
+    gone = _ends(out.where(final)).where(F.col("__last") & (F.col("__total") + F.col("__longest") <= max_duration))
+    return out.join(gone, ["lane", "batch_id"], "left_anti").select(out.columns)
+
+
+def _ends(batches: DataFrame) -> DataFrame:
+    """lane, batch_id, total, longest, and whether it is the lane's last batch."""
+    d = F.coalesce("duration", F.lit(0.0))
+    per = batches.groupBy("lane", "batch_id").agg(F.sum(d).alias("__total"), F.max(d).alias("__longest"))
+    number = F.element_at(F.split("batch_id", "-"), -1).cast("long")
+    return per.withColumn("__last", F.max(number).over(W.partitionBy("lane")) == number)
 
 
 def pessimistic_batches(batches: DataFrame) -> DataFrame:
@@ -69,11 +98,11 @@ def pessimistic_batches(batches: DataFrame) -> DataFrame:
     return per.select("batch_id", criteria.alias("x")).select("batch_id", "x.*").withColumn("r", rank).where("r = 1").select("criterion", "batch_id", "value")
 
 
-def collate(batches: DataFrame, pad: bool = False, cap: int = 10_000, seed: int | None = None, key: str = "cut_id") -> DataFrame:
+def collate(batches: DataFrame, pad: bool = False, cap: int = 10_000, seed: int | None = None, key: str = "cut_id", edge: bool = False) -> DataFrame:
     """(batch_id, key, size, start, length, padding) and, given ``feats``, the cropped and padded arrays.
 
     The batch's size is its least (or, with ``pad``, largest) length, capped; longer rows are cropped at a
-    seeded start (0 without seed), shorter ones padded with zeros that the mask marks.
+    seeded start (0 without seed), shorter ones padded with zeros that the mask marks; ``edge`` repeats the last frame instead.
     """
     w = W.partitionBy("batch_id")
     size = F.least((F.max if pad else F.min)("num_frames").over(w), F.lit(cap)).cast("long")
@@ -83,8 +112,8 @@ def collate(batches: DataFrame, pad: bool = False, cap: int = 10_000, seed: int
     rows = rows.withColumn("start", F.when(over > 0, start).otherwise(0).cast("long")).withColumn("length", F.least("num_frames", "size").cast("long")).withColumn("padding", F.col("size") - F.col("length"))
     if "feats" in batches.columns:
         kept = F.slice("feats", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
-        zero = F.transform(F.col("feats")[0], lambda x: x * 0)
-        rows = rows.withColumn("feats", F.concat(kept, F.array_repeat(zero, F.col("padding").cast("int")))).withColumn("mask", F.concat(F.array_repeat(F.lit(False), F.col("length").cast("int")), F.array_repeat(F.lit(True), F.col("padding").cast("int"))))
+        filler = F.element_at("feats", -1) if edge else F.transform(F.col("feats")[0], lambda x: x * 0)
+        rows = rows.withColumn("feats", F.concat(kept, F.array_repeat(filler, F.col("padding").cast("int")))).withColumn("mask", F.concat(F.array_repeat(F.lit(False), F.col("length").cast("int")), F.array_repeat(F.lit(True), F.col("padding").cast("int"))))
     return rows
 
 
@@ -101,11 +130,18 @@ def collate_labels(batches: DataFrame, ratio: float, classes: int, pad: bool = F
     return rows.withColumn("label_length", F.size("labels").cast("long")).withColumn("labels", padded).drop("__s", "__rest", "__n", "__w")
 
 
-def resample_labels(df: DataFrame, ratio: float, frames: str = "num_frames") -> DataFrame:
-    """``df`` with one label per feature frame, the one at floor(i * ratio); frames without labels go."""
+def resample_labels(df: DataFrame, ratio: float, frames: str = "num_frames", size: str | None = None) -> DataFrame:
+    """``df`` with one label per feature frame, the one at floor(i * ratio); frames without labels go.
+
+    With ``size`` (a batch's padded length, in frames) also ``mask``: true at each frame past the row's own.
+    """
     t = F.when(F.col(frames) * ratio > F.size("labels"), F.floor(F.size("labels") / ratio)).otherwise(F.col(frames)).cast("int")
     steps = F.when(t > 0, F.sequence(F.lit(0), t - 1)).otherwise(F.array().cast("array<int>"))
-    return df.withColumn("num_frames", t.cast("long")).withColumn("labels", F.transform(steps, lambda i: F.get("labels", F.floor(i * ratio).cast("int"))))
+    rows = df.withColumn("num_frames", t.cast("long")).withColumn("labels", F.transform(steps, lambda i: F.get("labels", F.floor(i * ratio).cast("int"))))
+    if size is None:
+        return rows
+    own = F.least("num_frames", F.col(size)).cast("int")
+    return rows.withColumn("mask", F.concat(F.array_repeat(F.lit(False), own), F.array_repeat(F.lit(True), F.col(size).cast("int") - own)))
 
 
 def concat_plan(batches: DataFrame, factor: float = 1.0, gap: float = 1.0, key: str = "cut_id") -> DataFrame:
@@ -184,6 +220,6 @@ def specaug_plan(df: DataFrame, time_masks: int = 2, max_time: int = 100, bins:
     """(key, axis, start, length): time and channel spans of seeded sizes, within the row."""
     specs = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(i).alias("i"), F.lit(m).alias("most"), (F.col(size) if a == "time" else F.lit(bins)).cast("long").alias("whole")) for a, n, m in (("time", time_masks, max_time), ("freq", freq_masks, max_freq)) for i in range(n)])
     rows = df.select(key, F.explode(specs).alias("s"))
-    draw = lambda salt, n: F.pmod(F.xxhash64(key, "s.axis", "s.i", F.lit(seed), F.lit(salt)), n)
+    draw = lambda salt, n: F.pmod(seeded(key, F.col("s.axis"), F.col("s.i"), seed, salt), n)
     rows = rows.withColumn("length", draw("size", F.least("s.most", "s.whole") + 1).cast("long"))
     return rows.select(key, F.col("s.axis").alias("axis"), draw("at", F.col("s.whole") - F.col("length") + 1).cast("long").alias("start"), "length")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from speechtab.session import bounded
 
+#: Between the tokens of a window: no token holds it.
+SEPARATOR = "\u0001"
+#: Needles of ``exclude_source``.
+MAX_NEEDLES = 10_000
 #: Named duration bands in seconds, both ends included.
 BANDS = {"prep": (1.0, 20.0), "train": (1.0, 16.0), "decode": (0.0, 30.0)}
 
@@ -37,10 +41,24 @@ def filter_alignable(df: DataFrame, formula: str = "train", tokens: str = "n_tok
 
 
 def exclude_source(df: DataFrame, needles: DataFrame | str, path: str = "source_path") -> DataFrame:
-    """Rows whose path holds none of the needles: a string, or a table (needle) of checked size."""
+    """Rows whose path holds none of the needles: a string, or a table (needle) of at most ``MAX_NEEDLES`` rows (more raise ValueError).
+
+    Null paths hold nothing and stay; null needles are none.
+    """
     if isinstance(needles, str):
         return df.where(~F.coalesce(F.contains(F.col(path), F.lit(needles)), F.lit(False)))
-    return df.join(bounded(needles.select("needle"), 10_000), F.contains(F.col(path), F.col("needle")), "left_anti")
+    some = needles.select("needle").where("needle is not null").distinct()
+    if some.limit(MAX_NEEDLES + 1).count() > MAX_NEEDLES:
+        raise ValueError(f"more than {MAX_NEEDLES} needles: each row is compared with all of them")
+    return df.join(F.broadcast(some), F.contains(F.col(path), F.col("needle")), "left_anti")
+
+
+def common_ids(parts: list[DataFrame], key: str = "id") -> DataFrame:
+    """The rows of the first part whose id every other part has too."""
+    first, *others = parts
+    for other in others:
+        first = first.join(other.select(key).distinct(), key, "left_semi")
+    return first
 
 
 def filter_report(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
@@ -90,7 +108,10 @@ def fix_manifests(recordings: DataFrame, supervisions: DataFrame) -> tuple[DataF
 
 
 def validate(cuts: DataFrame, rate: int = 16_000, tolerance: float = 0.002) -> DataFrame:
-    """(rule, id) of every violation: repeated ids, durations, rate, channels, supervisions outside their cut."""
+    """(rule, id) of every violation: repeated ids, durations, rate, channels, supervisions outside their cut.
+
+    With a column ``samples`` also amplitude: no samples, one that is null or NaN, or one outside -1..1.
+    """
     repeated = cuts.groupBy("cut_id").count().where("count > 1").select(F.lit("repeated id").alias("rule"), F.col("cut_id").alias("id"))
     outside = F.exists("supervisions", lambda s: (s["start"] < -tolerance) | (s["start"] + s["duration"] > F.col("duration") + tolerance))
     rules = {
@@ -99,6 +120,8 @@ def validate(cuts: DataFrame, rate: int = 16_000, tolerance: float = 0.002) -> D
         "channels": ~F.col("channels").eqNullSafe(1),
         "supervision outside": F.coalesce(outside, F.lit(False)),
     }
+    if "samples" in cuts.columns:
+        rules["amplitude"] = F.coalesce(F.exists("samples", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1)) | (F.size("samples") == 0), F.lit(True))
     tags = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]), lambda x: x.isNotNull())
     return cuts.select(F.explode(tags).alias("rule"), F.col("cut_id").alias("id")).unionByName(repeated)
 
@@ -144,39 +167,51 @@ def spot_phrases(tokens: DataFrame, phrases: DataFrame, threshold: float = 0.0,
 
     A phrase counts where the mean of its token probabilities reaches the threshold and more than
     ``blanks`` blanks follow it (the utterance's end waives that). Left to right, longest first.
-    ``phrases`` (phrase, tokens) is matched on its first token; without ``probs`` and ``trailing`` both tests pass.
+    Windows of the lengths that ``phrases`` (phrase, tokens) has meet them by an equi-join, so a frequent first word costs nothing;
+    without ``probs`` and ``trailing`` both tests pass. Null and empty phrases are none; null ``ys`` hold none.
     """
-    p = bounded(phrases.select("phrase", "tokens", F.col("tokens")[0].alias("first"), F.size("tokens").alias("n")).where("n > 0"))
-    first = p.select("first").distinct()
-    spots = tokens.select("utt_id", F.posexplode("ys").alias("pos", "first"), "ys", *[c for c in ("probs", "trailing") if c in tokens.columns])
-    spots = spots.join(bounded(first), "first", "left_semi").join(p, "first")
-    hit = F.slice("ys", F.col("pos") + 1, F.col("n")) == F.col("tokens")
-    if "probs" in tokens.columns:
-        part = F.slice("probs", F.col("pos") + 1, F.col("n"))
-        hit &= F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / F.col("n") >= threshold
-    if "trailing" in tokens.columns:
-        last = F.col("pos") + F.col("n") == F.size("ys")
-        hit &= last | (F.get("trailing", F.col("pos") + F.col("n") - 1) > blanks)
-    hits = spots.where(hit).groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("m"), "phrase"))).alias("hits"))
-    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<pos:int,phrase:string>>").alias("out"))
-    take = F.aggregate(
+    p = phrases.select("phrase", F.array_join("tokens", SEPARATOR).alias("window"), F.size("tokens").alias("n")).where("n > 0")
+    lengths = sorted(r["n"] for r in p.select("n").distinct().collect())  # one row per length of a phrase
+    size = F.size("ys")
+
+    def windows(n: int) -> Column:
+        at = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+
+        def one(i: Column) -> Column:
+            ok = F.lit(True)
+            if "probs" in tokens.columns:
+                ok &= F.aggregate(F.slice("probs", i + 1, F.lit(n)), F.lit(0.0), lambda a, x: a + x) / n >= threshold
+            if "trailing" in tokens.columns:
+                ok &= (i + n == size) | (F.get("trailing", i + (n - 1)) > blanks)
+            return F.when(ok, F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("ys", i + 1, F.lit(n)), SEPARATOR).alias("window")))
+
+        return F.transform(at, one)
+
+    empty = F.array().cast("array<struct<pos:int,n:int,window:string>>")
+    spots = tokens.select("utt_id", F.explode(F.concat(empty, *map(windows, lengths))).alias("x")).where("x is not null").select("utt_id", "x.*")
+    hits = spots.join(bounded(p), ["window", "n"]).groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("m"), "phrase"))).alias("hits"))
+    kept = F.aggregate(
         "hits",
-        start,
-        lambda acc, h: F.when(h["pos"] >= acc["free"], F.struct((h["pos"] - h["m"]).alias("free"), F.concat(acc["out"], F.array(F.struct(h["pos"].alias("pos"), h["phrase"].alias("phrase")))).alias("out"))).otherwise(acc),
+        F.struct(F.lit(0).alias("free"), F.array().cast("array<boolean>").alias("out")),
+        lambda acc, h: F.struct(F.when(h["pos"] >= acc["free"], h["pos"] - h["m"]).otherwise(acc["free"]).alias("free"), F.concat(acc["out"], F.array(h["pos"] >= acc["free"])).alias("out")),
         lambda acc: acc["out"],
     )
-    return hits.select("utt_id", F.explode(take).alias("h")).select("utt_id", "h.pos", "h.phrase")
+    chosen = F.filter(F.arrays_zip(F.col("hits").alias("h"), kept.alias("k")), lambda x: x["k"])
+    return hits.select("utt_id", F.explode(chosen).alias("x")).select("utt_id", "x.h.pos", "x.h.phrase")
 
 
 def noise_mix_plan(cuts: DataFrame, noise: DataFrame, p: float = 0.5, snr: tuple[float, float] = (10.0, 20.0), seed: int = 0) -> DataFrame:
     """(cut_id, noise_id, snr): seeded hashes choose whether, which noise cut and how loud; ids stay.
 
-    ``noise`` has consecutive numbers from its ids' order; it is broadcast when small.
+    ``noise`` has consecutive numbers from its ids' order; it is broadcast when small. Without noise no cut is mixed.
     """
-    numbered = noise.select(F.col("cut_id").alias("noise_id"), (F.row_number().over(W.orderBy("cut_id")) - 1).cast("long").alias("__k"))
+    from speechtab.operators.batching import seeded
+    from speechtab.sources.manifests import indexed
+
+    numbered = indexed(noise.select(F.col("cut_id").alias("noise_id")), ["noise_id"], "__k")
     n = numbered.count()
-    draw = lambda salt: F.pmod(F.xxhash64("cut_id", F.lit(seed), F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0
-    chosen = cuts.select("cut_id", (F.lit(bool(n)) & (draw("whether") < p)).alias("mixed"), F.pmod(F.xxhash64("cut_id", F.lit(seed), F.lit("which")), F.lit(max(1, n))).alias("__k"), (snr[0] + (snr[1] - snr[0]) * draw("snr")).alias("snr"))
+    draw = lambda salt: seeded("cut_id", seed, salt) / 4294967296.0
+    chosen = cuts.select("cut_id", (F.lit(bool(n)) & (draw("whether") < p)).alias("mixed"), F.pmod(seeded("cut_id", seed, "which"), F.lit(max(1, n))).alias("__k"), (snr[0] + (snr[1] - snr[0]) * draw("snr")).alias("snr"))
     with_noise = chosen.where("mixed").join(bounded(numbered), "__k").select("cut_id", "noise_id", "snr")
     return with_noise.unionByName(chosen.where(~F.col("mixed")).select("cut_id", F.lit(None).cast("string").alias("noise_id"), F.lit(None).cast("double").alias("snr")))
 
@@ -194,6 +229,13 @@ def stripe(df: DataFrame, world: int, order: list) -> DataFrame:
     return indexed(df, order).withColumn("rank", F.col("idx") % world)
 
 
+def index_range(df: DataFrame, start: int, stop: int, order: list) -> DataFrame:
+    """The rows whose place in the order is start..stop - 1, with ``idx``; a range past the end is short or empty."""
+    from speechtab.sources.manifests import indexed
+
+    return indexed(df, order).where((F.col("idx") >= start) & (F.col("idx") < stop))
+
+
 def take_duration(df: DataFrame, hours: float, order: list, millis: str = "duration_ms") -> DataFrame:
     """Rows in order while the running duration stays within ``hours``; per-partition sums, then offsets."""
     from speechtab.session import checkpointed

@@ -14,7 +14,8 @@ from speechtab.session import bounded
 def char_vocab(lines: DataFrame, reserved: tuple[str, ...] = ("<blk>", "<sos/eos>", "<unk>")) -> DataFrame:
     """symbol, id: characters by first occurrence after the reserved symbols. ``lines``: line (order), text."""
     chars = F.filter(F.split(F.regexp_replace("text", r"[ \t\r\n]+", ""), ""), lambda c: c != "")
-    first = lines.select("line", F.posexplode(chars).alias("pos", "symbol")).groupBy("symbol").agg(F.min(F.struct("line", "pos")).alias("at"))
+    own = lines.select("line", chars.alias("chars")).select("line", "chars", F.explode(F.array_distinct("chars")).alias("symbol"))  # a row per distinct character of a line
+    first = own.select("line", "symbol", F.array_position("chars", F.col("symbol")).alias("pos")).groupBy("symbol").agg(F.min(F.struct("line", "pos")).alias("at"))
     first = first.where(~F.col("symbol").isin(*reserved))
     ids = first.select("symbol", (F.row_number().over(W.orderBy("at")) + len(reserved) - 1).cast("long").alias("id"))  # as many rows as there are characters
     head = lines.sparkSession.createDataFrame([(s, i) for i, s in enumerate(reserved)], "symbol string, id long")

@@ -97,7 +97,19 @@ def rescore_grid_ngram_rnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rescored(spark, sf_dir, "ngram_rnn")
 
 
-@query()
+#: Edit distances of ``w`` (id, r, h: word lists) by rows of the cost table.
+DISTANCE = """h AS (SELECT id, j, CASE WHEN j > 0 THEN h[j] END AS y FROM (SELECT id, h, unnest(range(0, len(h) + 1)) AS j FROM w)),
+r AS (SELECT id, i, r[i] AS x FROM (SELECT id, r, unnest(range(1, len(r) + 1)) AS i FROM w)),
+d AS (SELECT id, 0 AS i, j, j AS c FROM h
+  UNION ALL SELECT id, i, j, min(c - j) OVER (PARTITION BY id ORDER BY j) + j FROM (
+    SELECT d.id, r.i, d.j, least(d.c + 1, coalesce(lag(d.c) OVER (PARTITION BY d.id ORDER BY d.j) + CASE WHEN h.y = r.x THEN 0 ELSE 1 END, d.c + 1)) AS c
+    FROM d JOIN r ON r.id = d.id AND r.i = d.i + 1 JOIN h ON h.id = d.id AND h.j = d.j)),
+dist AS (SELECT w.id, d.c AS errors FROM w JOIN d ON d.id = w.id AND d.i = len(w.r) AND d.j = len(w.h))"""
+HYP = "list_transform(list_filter(list_transform(ref, lambda x, i: {'w': x, 'i': i}), lambda z: z.i % 7 <> 0), lambda z: CASE WHEN z.i % 11 = 0 THEN 'x' ELSE z.w END)"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT {{'u': cut_id, 'hyp': k}} AS id, ref AS r, CASE WHEN k = 0 THEN {HYP} ELSE list_reverse(ref) END AS h FROM pairs, (VALUES (0), (1)) AS kk(k)), {DISTANCE}
+SELECT id.u AS utt_id, CAST(arg_min(id.hyp, errors * 2 + id.hyp) AS BIGINT) AS hyp, min(errors) AS errors FROM dist GROUP BY id.u""", "pairs")
 def oracle_hyp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation turn: its garbled text or the turn's reversed words, whichever is closer."""
     p = V.pairs(spark, sf_dir)
@@ -110,7 +122,8 @@ def align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.align(V.pairs(spark, sf_dir)).drop("ref_words", "hyp_words")
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT {{'s': setting, 'u': cut_id}} AS id, ref AS r, {HYP} AS h FROM pairs), {DISTANCE}, t AS (SELECT id.s AS setting, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(len(r)) AS BIGINT) AS n_ref FROM dist JOIN w USING (id) GROUP BY id.s)
+SELECT setting, errors, n_ref, round(100 * errors / n_ref, 6) AS wer FROM t""", "pairs")
 def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.wer(H.align(V.pairs(spark, sf_dir))).withColumn("wer", F.round("wer", 6))
 
@@ -134,14 +147,25 @@ def sort_by_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts(spark, sf_dir).groupBy("batch_id").agg(v.alias("v")).select(F.posexplode("v").alias("place", "x")).select("x.cut_id", (F.col("place") + 1).cast("long").alias("place"))
 
 
-@query()
+#: Batches of rows ``o`` (lane, k: place in the lane) by a fold per lane.
+FOLD = """f AS (SELECT lane, k, 0 AS number, duration AS total FROM o WHERE k = 1
+  UNION ALL SELECT o.lane, o.k, CASE WHEN total > 0 AND total + o.duration > 100 THEN number + 1 ELSE number END, CASE WHEN total > 0 AND total + o.duration > 100 THEN 0.0 ELSE total END + o.duration
+  FROM f JOIN o ON o.lane = f.lane AND o.k = f.k + 1)"""
+HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+
+
+@query(f"WITH RECURSIVE {CUTS}, o AS (SELECT *, 0 AS lane, row_number() OVER (ORDER BY cut_id) AS k FROM cuts), {FOLD} SELECT cut_id, '0-' || number AS batch_id FROM o JOIN f USING (lane, k)", "recordings")
 def simple_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.simple_batches(cuts(spark, sf_dir).drop("batch_id"), 100.0, ["cut_id"])
+    return B.simple_batches(cuts(spark, sf_dir).drop("batch_id"), 100.0, ["cut_id"]).select("cut_id", "batch_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CUTS}, e AS (SELECT unnest(quantile_disc(duration, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edge FROM cuts),
+g AS (SELECT cut_id, duration, (SELECT count(DISTINCT edge) FROM e WHERE edge < duration) AS bucket FROM cuts),
+o AS (SELECT *, 2 * bucket AS lane, row_number() OVER (PARTITION BY bucket ORDER BY {HASH.format("cut_id || ':0:0'")}, cut_id) AS k FROM g), {FOLD},
+b AS (SELECT cut_id, bucket, duration, number, max(number) OVER (PARTITION BY lane) AS final, sum(duration) OVER (PARTITION BY lane, number) + max(duration) OVER (PARTITION BY lane, number) AS more FROM o JOIN f USING (lane, k))
+SELECT cut_id, bucket, 2 * bucket || '-' || number AS batch_id FROM b WHERE number < final OR more > 100""", "recordings")
 def bucket_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.bucket_batches(cuts(spark, sf_dir).drop("batch_id"), 10, 100.0)
+    return B.bucket_batches(cuts(spark, sf_dir).drop("batch_id"), 10, 100.0).select("cut_id", "bucket", "batch_id")
 
 
 @query(f"""WITH {CUTS}, p AS (SELECT batch_id, round(sum(duration), 6) AS total, count(*)::DOUBLE AS rows, max(duration) AS longest FROM cuts GROUP BY batch_id),
@@ -191,7 +215,10 @@ def span_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("cut_id", "batch_id", F.size("masked").cast("long").alias("n"), F.array_join("masked", " ").alias("masked"))
 
 
-@query()
+@query(f"""WITH {CUTS}, s AS (SELECT cut_id, axis, i, least(most, CASE WHEN axis = 'time' THEN num_frames ELSE 80 END) AS most, CASE WHEN axis = 'time' THEN num_frames ELSE 80 END AS whole
+  FROM cuts, (VALUES ('time', 0, 100), ('time', 1, 100), ('freq', 0, 27), ('freq', 1, 27)) AS x(axis, i, most)),
+l AS (SELECT *, {HASH.format("cut_id || ':' || axis || ':' || i || ':0:size'")} % (most + 1) AS length FROM s)
+SELECT cut_id, axis, {HASH.format("cut_id || ':' || axis || ':' || i || ':0:at'")} % (whole - length + 1) AS start, length FROM l""", "recordings")
 def specaug_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.specaug_plan(cuts(spark, sf_dir))
 
@@ -225,14 +252,10 @@ def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, df: DataFrame, plan, name: str) -> DataFrame:
     """``df`` written to the shared folder, replayed as a stream through ``plan``, and the sink read back."""
-    import uuid
-
-    from speechtab.session import checkpointed
+    from speechtab.session import shared_path
     from speechtab.streaming.stateful import STATE_STORE
 
-    checkpointed(spark.range(1))  # sets a folder where none is set
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, f"stream-{name}")
     df.write.parquet(f"{path}/in")
     old = spark.conf.get(STATE_STORE[0], None)
     spark.conf.set(*STATE_STORE)

@@ -10,6 +10,7 @@ from speechtab.operators import cuts as C
 from speechtab.operators import segments as S
 from speechtab.plans import fixtures as V
 from speechtab.plans.fixtures import sql
+from speechtab.session import shared_path
 from speechtab.sources import manifests as M
 
 Q: dict = {}
@@ -190,7 +191,14 @@ def pair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("setting").agg(F.count("*").alias("n"), F.sum(F.size("ref")).alias("words"))
 
 
-@query()
+@query(r"""WITH RECURSIVE b AS (SELECT list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '') AS w FROM benchmark),
+p AS (SELECT DISTINCT array_to_string(list_slice(w, i, i + 2), ' ') AS phrase FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+d AS (SELECT doc_id AS utt_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT utt_id, i - 1 AS pos, array_to_string(list_slice(w, i, i + 2), ' ') AS phrase FROM (SELECT utt_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+h AS MATERIALIZED (SELECT utt_id, pos, phrase FROM x SEMI JOIN p USING (phrase)),
+n AS MATERIALIZED (SELECT a.utt_id, a.pos, min(b.pos) AS next FROM h a JOIN h b ON b.utt_id = a.utt_id AND b.pos >= a.pos + 3 GROUP BY ALL),
+g AS (SELECT utt_id, min(pos) AS pos FROM h GROUP BY utt_id UNION ALL SELECT n.utt_id, n.next FROM g JOIN n ON n.utt_id = g.utt_id AND n.pos = g.pos)
+SELECT h.utt_id, CAST(h.pos AS INTEGER) AS pos, h.phrase FROM g JOIN h ON h.utt_id = g.utt_id AND h.pos = g.pos""")
 def spot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word windows of the benchmark texts in the whole documents."""
     b = V.table(spark, sf_dir, "benchmark").select(X.words(F.col("text")).alias("w"))
@@ -200,10 +208,82 @@ def spot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.spot_phrases(docs, phrases)
 
 
-@query()
+HASH = "CAST('0x' || substr(md5(recording_id || ':0:{}'), 1, 8) AS BIGINT)"
+
+
+@query(f"""WITH n AS (SELECT recording_id AS noise_id, row_number() OVER (ORDER BY recording_id) - 1 AS k, count(*) OVER () AS size FROM recordings WHERE lang = 'de'),
+c AS (SELECT recording_id AS cut_id, {HASH.format("whether")} / 4294967296.0::DOUBLE < 0.5 AS mixed, {HASH.format("which")} % (SELECT count(*) FROM n) AS k, 10 + 10 * ({HASH.format("snr")} / 4294967296.0::DOUBLE) AS snr FROM recordings)
+SELECT cut_id, CASE WHEN mixed THEN noise_id END AS noise_id, CASE WHEN mixed THEN round(snr, 6) END AS snr FROM c LEFT JOIN n USING (k)""", "recordings")
 def noise_mix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = V.recordings(spark, sf_dir).select(F.col("recording_id").alias("cut_id"), "lang")
-    return C.noise_mix_plan(rec, rec.where("lang = 'de'"))
+    return C.noise_mix_plan(rec, rec.where("lang = 'de'")).withColumn("snr", F.round("snr", 6))
+
+
+def manifest_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cut manifest: each document as a cut with one supervision."""
+    sup = F.array(F.struct(F.col("recording_id").alias("id"), "recording_id", F.lit(0.0).alias("start"), "duration", F.lit(0).alias("channel"), F.col("lang").alias("language"), F.col("source").alias("speaker"), "text"))
+    return V.recordings(spark, sf_dir).select(F.concat("recording_id", F.lit("-0")).alias("id"), F.lit(0.0).alias("start"), "duration", F.lit(0).alias("channel"), sup.alias("supervisions"), F.create_map(F.lit("pool"), "source").alias("custom"), "source")
+
+
+@query("SELECT recording_id || '-0' AS id, duration, source AS pool, md5(text) AS text FROM recordings", "recordings")
+def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts written as gzip JSON lines and read back under the declared schema."""
+    path = shared_path(spark, "manifest")
+    M.write_manifest(manifest_cuts(spark, sf_dir).drop("source"), path)
+    back = M.read_manifest(spark, path, "cuts").where("corrupt is null")
+    return back.select("id", "duration", F.col("custom")["pool"].alias("pool"), F.md5(F.get("supervisions", F.lit(0))["text"].cast("binary")).alias("text"))
+
+
+SHARDS = """s AS (SELECT recording_id || '-0' AS id, 'ssl_' || source AS pool, lpad(CAST(doc_id % 2 AS VARCHAR), 8, '0') AS shard FROM recordings)"""
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard files by pool, two versions of labels; the newer one read back."""
+    path = shared_path(spark, "shards")
+    c = manifest_cuts(spark, sf_dir).withColumn("pool", F.concat(F.lit("ssl_"), "source"))
+    c = c.withColumn("shard", F.lpad((F.substring_index(F.substring_index("id", "-", 2), "-", -1).cast("long") % 2).cast("string"), 8, "0")).drop("source")
+    M.write_named_shards(c, path, suffix="_k1")
+    return M.read_shards(spark, path, "ssl_", "_k1")
+
+
+@query(f"WITH {SHARDS} SELECT id, pool, shard FROM s", "recordings")
+def read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(spark, sf_dir).select("id", "pool", "shard")
+
+
+@query(f"WITH {SHARDS} SELECT key, row_number() OVER (ORDER BY md5(key || ':142'), key) AS shard_order, n FROM (SELECT pool || '.' || shard AS key, count(*) AS n FROM s GROUP BY 1)", "recordings")
+def shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = shards(spark, sf_dir).select("id", F.concat_ws(".", "pool", "shard").alias("key"))
+    return M.shuffle_shards(read, 142, "key").groupBy("key", "shard_order").agg(F.count("*").alias("n"))
+
+
+@query("SELECT recording_id, duration FROM recordings", "recordings")
+def write_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second write finds the first one's marker and leaves it."""
+    path, rec = shared_path(spark, "prepared"), V.recordings(spark, sf_dir).select("recording_id", "duration")
+    M.write_if_absent(rec, path)
+    M.write_if_absent(rec.where("duration < 0"), path)
+    return spark.read.parquet(path)
+
+
+@query("""SELECT setting, cut_id || ':\tref=' || CAST(to_json(ref) AS VARCHAR) AS value FROM pairs
+UNION ALL SELECT setting, cut_id || ':\thyp=' || CAST(to_json(list_transform(list_filter(list_transform(ref, lambda x, i: {'w': x, 'i': i}), lambda z: z.i % 7 <> 0), lambda z: CASE WHEN z.i % 11 = 0 THEN 'x' ELSE z.w END)) AS VARCHAR) FROM pairs""", "pairs")
+def write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recognition files of every setting, read back."""
+    path = shared_path(spark, "results")
+    M.write_results(V.pairs(spark, sf_dir), path)
+    return spark.read.text(f"{path}/recogs").select("setting", "value")
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def common_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return C.common_ids([d, V.table(spark, sf_dir, "labels"), d.where("lang = 'en'")], "doc_id").select("doc_id")
+
+
+@query("SELECT recording_id FROM (SELECT recording_id, row_number() OVER (ORDER BY recording_id) - 1 AS k FROM recordings) WHERE k >= 100 AND k < 350", "recordings")
+def index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.index_range(V.recordings(spark, sf_dir).select("recording_id"), 100, 350, ["recording_id"]).select("recording_id")
 
 
 @query("""WITH e AS (SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY start_ms, event_id) - 1 AS BIGINT) AS seg_idx, start_ms, end_ms FROM vad) SELECT recording_id, seg_idx, start_ms, end_ms FROM e""", "vad")

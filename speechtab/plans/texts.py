@@ -12,7 +12,7 @@ from speechtab.plans import fixtures as V
 from speechtab.plans.fixtures import sql
 
 Q: dict = {}
-ORDER = 2
+ORDER = 3
 
 
 def query(body: str | None = None, views: str = ""):
@@ -144,14 +144,14 @@ def add_self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grams_sql(order: int) -> str:
     parts = " UNION ALL ".join(f"SELECT {n} AS n, unnest(list_transform(range(1, len(v) - {n} + 2), lambda i: {{'h': array_to_string(list_slice(v, i, i + {n} - 2), ' '), 'w': v[i + {n} - 1], 'c': {'NULL::VARCHAR' if n == order else 'CASE WHEN i > 1 THEN v[i - 1] END'}}})) AS g FROM m" for n in range(1, order + 1))
-    return f"""m AS (SELECT list_concat(list_concat(['<s>'], words), ['</s>']) AS v FROM lines), gr AS ({parts}),
-cnt AS (SELECT n, g.h AS hist, g.w AS w, count(*) AS c, count(DISTINCT g.c) AS contexts FROM gr GROUP BY ALL),
-dis AS (SELECT n, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, CASE WHEN n = 1 THEN 0 ELSE greatest(0.1::DOUBLE, count(*) FILTER (c = 1)) / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2)) END AS d FROM cnt GROUP BY n),
-tot AS (SELECT cnt.*, d, sum(c) OVER (PARTITION BY cnt.n, hist) AS total, sum(contexts) OVER (PARTITION BY cnt.n, hist) AS stars FROM cnt JOIN dis USING (n)),
-pr AS (SELECT n, hist, w, c, contexts, CASE WHEN n = {order} OR stars = 0 THEN greatest(c - d, 0) / total ELSE greatest(contexts - d, 0) / stars END AS f FROM tot),
-kid AS (SELECT n, hist, w, f, CASE WHEN n = 2 THEN '' ELSE regexp_replace(hist, '^[^ ]+ ', '') END AS tail FROM pr WHERE n > 1),
-su AS (SELECT k.n, k.hist, sum(k.f) AS sf, sum(l.f) AS sl FROM kid k JOIN pr l ON l.n = k.n - 1 AND l.hist = k.tail AND l.w = k.w GROUP BY k.n, k.hist),
-bo AS (SELECT pr.*, CASE WHEN pr.n < {order} AND pr.w <> '</s>' AND sl < 1 - 1e-9 THEN (1 - sf) / (1 - sl) END AS bow FROM pr LEFT JOIN su ON su.n = pr.n + 1 AND su.hist = CASE WHEN pr.n = 1 THEN pr.w ELSE pr.hist || ' ' || pr.w END)"""
+    return f"""m AS MATERIALIZED (SELECT list_concat(list_concat(['<s>'], words), ['</s>']) AS v FROM lines), gr AS MATERIALIZED ({parts}),
+cnt AS MATERIALIZED (SELECT n, g.h AS hist, g.w AS w, count(*) AS c, count(DISTINCT g.c) AS contexts FROM gr GROUP BY ALL),
+dis AS MATERIALIZED (SELECT n, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, CASE WHEN n = 1 THEN 0 ELSE greatest(0.1::DOUBLE, count(*) FILTER (c = 1)) / (count(*) FILTER (c = 1) + 2 * count(*) FILTER (c = 2)) END AS d FROM cnt GROUP BY n),
+tot AS MATERIALIZED (SELECT cnt.*, d, sum(c) OVER (PARTITION BY cnt.n, hist) AS total, sum(contexts) OVER (PARTITION BY cnt.n, hist) AS stars FROM cnt JOIN dis USING (n)),
+pr AS MATERIALIZED (SELECT n, hist, w, c, contexts, CASE WHEN n = {order} OR stars = 0 THEN greatest(c - d, 0) / total ELSE greatest(contexts - d, 0) / stars END AS f FROM tot),
+kid AS MATERIALIZED (SELECT n, hist, w, f, CASE WHEN n = 2 THEN '' ELSE regexp_replace(hist, '^[^ ]+ ', '') END AS tail FROM pr WHERE n > 1),
+su AS MATERIALIZED (SELECT k.n, k.hist, sum(k.f) AS sf, sum(l.f) AS sl FROM kid k JOIN pr l ON l.n = k.n - 1 AND l.hist = k.tail AND l.w = k.w GROUP BY k.n, k.hist),
+bo AS MATERIALIZED (SELECT pr.*, CASE WHEN pr.n < {order} AND pr.w <> '</s>' AND sl < 1 - 1e-9 THEN (1 - sf) / (1 - sl) END AS bow FROM pr LEFT JOIN su ON su.n = pr.n + 1 AND su.hist = CASE WHEN pr.n = 1 THEN pr.w ELSE pr.hist || ' ' || pr.w END)"""
 
 
 @query(f"WITH {grams_sql(3)} SELECT n, hist, w, c, contexts FROM cnt", "lines")
@@ -187,37 +187,39 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(L.kn_model(V.lines(spark, sf_dir), ORDER))
 
 
-LG = f"""lg AS (SELECT n, hist, w, CASE WHEN f > 1e-99 THEN log10(f) ELSE -99 END AS p, CASE WHEN bow IS NOT NULL THEN CASE WHEN bow > 1e-99 THEN log10(bow) ELSE -99 END END AS b FROM bo),
-u AS (SELECT w, p, b FROM lg WHERE n = 1), bi AS (SELECT hist AS h, w, p FROM lg WHERE n = 2)"""
+LG = """lg AS MATERIALIZED (SELECT n, hist, w, CASE WHEN f > 1e-99 THEN log10(f) ELSE -99 END AS p, CASE WHEN bow IS NOT NULL THEN CASE WHEN bow > 1e-99 THEN log10(bow) ELSE -99 END END AS b FROM bo),
+u AS MATERIALIZED (SELECT w, p, b FROM lg WHERE n = 1), bi AS MATERIALIZED (SELECT hist AS h, w, hist || ' ' || w AS g, p, b FROM lg WHERE n = 2), tri AS MATERIALIZED (SELECT hist AS h, w, p FROM lg WHERE n = 3)"""
 BENCH = r"bench AS (SELECT item_id AS line, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '') AS words FROM benchmark)"
-#: Bigram score of (h, w): the bigram, else the history's back-off plus the unigram.
-SCORE = "coalesce(bi.p, coalesce(hu.b, 0) + u.p)"
+#: Scores of q (a: null in a bigram, h, w): the longest gram there is, else the history's back-off and a shorter one.
+SCORED = """z AS (SELECT q.*, coalesce(CASE WHEN a IS NOT NULL THEN tri.p END, CASE WHEN a IS NOT NULL THEN coalesce(bh.b, 0) ELSE 0 END + coalesce(bi.p, coalesce(hu.b, 0) + u.p)) AS s
+  FROM q LEFT JOIN tri ON tri.h = a || ' ' || q.h AND tri.w = q.w LEFT JOIN bi bh ON bh.h = a AND bh.w = q.h LEFT JOIN bi ON bi.h = q.h AND bi.w = q.w LEFT JOIN u AS hu ON hu.w = q.h LEFT JOIN u ON u.w = q.w)"""
 
 
-@query(f"""WITH {grams_sql(2)}, {LG}, {BENCH}, q AS (SELECT DISTINCT words[i] AS h, words[i + 1] AS w FROM (SELECT words, unnest(range(1, len(words))) AS i FROM bench))
-SELECT q.h, q.w, round({SCORE}, 6) AS log_p FROM q LEFT JOIN bi USING (h, w) LEFT JOIN u AS hu ON hu.w = q.h LEFT JOIN u ON u.w = q.w""", "lines")
+@query(f"""WITH {grams_sql(3)}, {LG}, {BENCH}, q AS (SELECT DISTINCT words[i] AS a, words[i + 1] AS h, words[i + 2] AS w FROM (SELECT words, unnest(range(1, len(words) - 1)) AS i FROM bench)), {SCORED}
+SELECT a, h, w, round(s, 6) AS log_p FROM z""", "lines")
 def lm_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct word pairs of the benchmark texts under the corpus model."""
-    b = V.table(spark, sf_dir, "benchmark").select(X.words(F.col("text")).alias("v")).where(F.size("v") > 1)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("v") - 1), lambda i: F.slice("v", i, F.lit(2)))
-    q = b.select(F.explode(pairs).alias("ngram")).distinct()
-    return L.lm_logp(q, model(spark, sf_dir), ORDER).select(F.col("ngram")[0].alias("h"), F.col("ngram")[1].alias("w"), F.round("log_p", 6).alias("log_p"))
+    """Distinct word triples of the benchmark texts under the corpus model."""
+    b = V.table(spark, sf_dir, "benchmark").select(X.words(F.col("text")).alias("v")).where(F.size("v") > 2)
+    triples = F.transform(F.sequence(F.lit(1), F.size("v") - 2), lambda i: F.slice("v", i, F.lit(3)))
+    q = b.select(F.explode(triples).alias("ngram")).distinct()
+    return L.lm_logp(q, model(spark, sf_dir), ORDER).select(*[F.col("ngram")[i].alias(x) for i, x in enumerate("ahw")], F.round("log_p", 6).alias("log_p"))
 
 
-@query(f"""WITH {grams_sql(2)}, {LG}, {BENCH}, s AS (SELECT line, list_concat(list_concat(['<s>'], words), ['</s>']) AS v FROM bench),
-q AS (SELECT line, v[i] AS h, v[i + 1] AS w FROM (SELECT line, v, unnest(range(1, len(v))) AS i FROM s))
-SELECT line, count(*) AS n, round(sum({SCORE}), 6) AS log_p FROM q LEFT JOIN bi USING (h, w) LEFT JOIN u AS hu ON hu.w = q.h LEFT JOIN u ON u.w = q.w GROUP BY line""", "lines")
+@query(f"""WITH {grams_sql(3)}, {LG}, {BENCH}, v AS (SELECT line, list_concat(list_concat(['<s>'], words), ['</s>']) AS v FROM bench),
+q AS (SELECT line, CASE WHEN i > 1 THEN v[i - 1] END AS a, v[i] AS h, v[i + 1] AS w FROM (SELECT line, v, unnest(range(1, len(v))) AS i FROM v)), {SCORED}
+SELECT line, count(*) AS n, round(sum(s), 6) AS log_p FROM z GROUP BY line""", "lines")
 def lm_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line"), X.words(F.col("text")).alias("words"))
     return L.lm_sentence(b, model(spark, sf_dir), ORDER).select("line", "n", F.round("log_p", 6).alias("log_p"))
 
 
-@query(f"WITH {grams_sql(2)}, {LG} SELECT w AS hist, round(p, 6) AS log_joint FROM u WHERE w <> '</s>'", "lines")
+@query(f"""WITH {grams_sql(3)}, {LG} SELECT w AS hist, round(p, 6) AS log_joint FROM u WHERE w <> '</s>'
+UNION ALL SELECT g AS hist, round((SELECT p FROM u WHERE w = '</s>') + p, 6) FROM bi WHERE h = '<s>' AND w <> '</s>' UNION ALL SELECT g, round(u.p + bi.p, 6) FROM bi JOIN u ON u.w = bi.h WHERE bi.h <> '<s>' AND bi.w <> '</s>'""", "lines")
 def lm_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joint probability of every one-word history (that of <s> keeps its own value)."""
+    """Joint probability of every history of one and of two words (that of <s> alone keeps its own value)."""
     m = model(spark, sf_dir)
-    h = m.where("n = 1 and w <> '</s>'").select(F.array("w").alias("hist"))
-    return L.lm_joint(h, m, ORDER).select(F.col("hist")[0].alias("hist"), F.round("log_joint", 6).alias("log_joint"))
+    h = m.where(f"n < {ORDER} and w <> '</s>'").select(F.concat("hist", F.array("w")).alias("hist"))
+    return L.lm_joint(h, m, ORDER).select(F.array_join("hist", " ").alias("hist"), F.round("log_joint", 6).alias("log_joint"))
 
 
 @query()
@@ -226,9 +228,11 @@ def prune_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("n", F.array_join("hist", " ").alias("hist"), "w", F.round("log_p", 6).alias("log_p"), F.round("log_bo", 6).alias("log_bo"))
 
 
-@query(f"""WITH {grams_sql(2)}, {LG}, t AS (SELECT '' AS hist, sum(pow(10, p)) AS total FROM u UNION ALL
-  SELECT h, sum(pow(10, bi.p)) + pow(10, coalesce(any_value(hu.b), 0)) * ((SELECT sum(pow(10, p)) FROM u) - sum(pow(10, u.p))) FROM bi JOIN u ON u.w = bi.w LEFT JOIN u AS hu ON hu.w = bi.h GROUP BY h)
-SELECT hist, round(total, 6) AS total, abs(total - 1) <= 1e-6 AS ok FROM t""", "lines")
+@query(f"""WITH {grams_sql(3)}, {LG}, t0 AS MATERIALIZED (SELECT sum(pow(10, p)) AS total FROM u),
+t1 AS MATERIALIZED (SELECT h AS hist, sum(pow(10, bi.p)) + pow(10, coalesce(any_value(hu.b), 0)) * ((SELECT total FROM t0) - sum(pow(10, u.p))) AS total FROM bi JOIN u ON u.w = bi.w LEFT JOIN u AS hu ON hu.w = bi.h GROUP BY h),
+t2 AS MATERIALIZED (SELECT tri.h AS hist, sum(pow(10, tri.p)) + pow(10, coalesce(any_value(hb.b), 0)) * (coalesce(any_value(t1.total), 1) - sum(pow(10, bi.p))) AS total
+  FROM tri JOIN bi ON bi.h = string_split(tri.h, ' ')[2] AND bi.w = tri.w LEFT JOIN bi AS hb ON hb.g = tri.h LEFT JOIN t1 ON t1.hist = string_split(tri.h, ' ')[2] GROUP BY tri.h)
+SELECT hist, round(total, 6) AS total, abs(total - 1) <= 1e-6 AS ok FROM (SELECT '' AS hist, total FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)""", "lines")
 def validate_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = L.validate_lm(model(spark, sf_dir), ORDER)
     return v.select(F.array_join("hist", " ").alias("hist"), F.round("total", 6).alias("total"), "ok")

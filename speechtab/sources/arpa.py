@@ -18,7 +18,14 @@ def parse_arpa(lines: DataFrame) -> DataFrame:
 
 
 def read_arpa(spark: SparkSession, path: str) -> DataFrame:
-    return parse_arpa(spark.read.text(path))
+    """The first model below ``path``; entries after the first ``\\end\\`` line are another model's and are left out.
+
+    The files' lines are ordered by file name and place, so a model may lie in several part files.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    place = F.struct("file", "block", "row")
+    end = lines.where(F.trim("value") == "\\end\\").agg(F.min(place).alias("end"))  # one row
+    return parse_arpa(lines.crossJoin(F.broadcast(end)).where(F.col("end").isNull() | (place < F.col("end"))).select("value"))
 
 
 def arpa_lines(lm: DataFrame) -> DataFrame:

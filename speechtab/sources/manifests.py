@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,7 @@ def read_shards(spark: SparkSession, root: str, prefix: str = "ssl_", suffix: st
 
 def shuffle_shards(df: DataFrame, seed: int = 142, key: str = "shard") -> DataFrame:
     """``df`` with ``shard_order``: places of its distinct shards in a seeded order that any rerun repeats."""
-    order = W.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
+    order = W.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key)
     return df.join(df.select(key).distinct().withColumn("shard_order", F.row_number().over(order).cast("long")), key)
 
 
@@ -61,8 +62,9 @@ def read_transcripts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     return split_lines(raw.withColumn("dir", F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1)))
 
 
-def wav_header(data: bytes) -> tuple[int, int, int] | None:
-    """(rate, channels, samples per channel) of a PCM RIFF file; None where it is none or cut short."""
+def wav_header(data: bytes, length: int | None = None) -> tuple[int, int, int] | None:
+    """(rate, channels, samples per channel) of a PCM RIFF file from its first bytes; None where it is none or shorter than it says."""
+    length = len(data) if length is None else length
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return None
     at, form = 12, None
@@ -71,23 +73,37 @@ def wav_header(data: bytes) -> tuple[int, int, int] | None:
         if kind == b"fmt " and at + 24 <= len(data):
             form = struct.unpack_from("<HHIIHH", data, at + 8)
         if kind == b"data":
-            if form is None or form[0] != 1 or form[4] == 0 or at + 8 + size > len(data):
+            if form is None or form[0] != 1 or form[4] == 0 or at + 8 + size > length:
                 return None
             return form[2], form[1], size // form[4]
         at += 8 + size + size % 2
     return None
 
 
+#: Bytes of a file that are read for its header.
+HEAD = 1 << 16
+
+
 def audio_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """recordings (id, path, sampling_rate, channels, num_samples, duration) of all ``*.wav`` below root, and the unreadable paths."""
+    """recordings (id, path, sampling_rate, channels, num_samples, duration) of all ``*.wav`` below root, and the unreadable paths.
+
+    Spark lists paths and lengths without the content; each task then reads the first ``HEAD`` bytes of its files. A header that lies farther back
+    counts as unreadable.
+    """
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for b in batches:
-            rows = [(p, *(wav_header(c) or (None, None, None))) for p, c in zip(b["path"], b["content"])]
+            rows = []
+            for path, length in zip(b["path"].tolist(), b["length"].tolist()):
+                store, place = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+                with store.open_input_stream(place) as f:
+                    rows.append((path, *(wav_header(f.read(HEAD), length) or (None, None, None))))
             yield pd.DataFrame(rows, columns=["path", "sampling_rate", "channels", "num_samples"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root)
-    found = files.select("path", "content").mapInPandas(heads, "path string, sampling_rate int, channels int, num_samples long")
+    found = files.select("path", "length").mapInPandas(heads, "path string, sampling_rate int, channels int, num_samples long")
     good = found.where("num_samples is not null and sampling_rate > 0")
     good = good.select(X.derive_id(F.col("path")).alias("id"), "path", "sampling_rate", "channels", "num_samples", (F.col("num_samples") / F.col("sampling_rate")).alias("duration"))
     return good, found.where("num_samples is null or sampling_rate <= 0").select("path")
@@ -151,14 +167,36 @@ def write_lexicon(lexicon: DataFrame, path: str) -> None:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """recogs (ref and hyp lines by cut id), error counts and a WER summary (tab separated), per setting."""
+    """recogs (ref and hyp lines by cut id), error counts and a WER summary (tab separated), per setting.
+
+    Lines of a setting are range-sorted over as many files as they need; file names keep the order.
+    """
     from speechtab.operators import hyps
+    from speechtab.session import checkpointed
 
     lines = F.explode(F.array(F.concat_ws("", "cut_id", F.lit(":\tref="), F.to_json("ref")), F.concat_ws("", "cut_id", F.lit(":\thyp="), F.to_json("hyp"))))
-    results.select("setting", "cut_id", lines.alias("value")).repartition("setting").sortWithinPartitions("setting", "cut_id", F.desc("value")).select("setting", "value").write.partitionBy("setting").text(f"{path}/recogs")
-    scored = hyps.wer(hyps.align(results))
-    scored.select(F.concat_ws("\t", "setting", F.round("wer", 4).cast("string"))).coalesce(1).write.text(f"{path}/wer-summary")
-    hyps.word_errors(hyps.align(results)).select(F.concat_ws("\t", "setting", "word", *[F.col(c).cast("string") for c in ("correct", "substituted", "deleted", "inserted")]).alias("value")).write.text(f"{path}/errs")
+    results.select("setting", "cut_id", lines.alias("value")).orderBy("setting", "cut_id", F.desc("value")).select("setting", "value").write.partitionBy("setting").text(f"{path}/recogs")
+    aligned = checkpointed(hyps.align(results))
+    hyps.wer(aligned).select(F.concat_ws("\t", "setting", F.round("wer", 4).cast("string"))).coalesce(1).write.text(f"{path}/wer-summary")  # a row per setting
+    hyps.word_errors(aligned).select(F.concat_ws("\t", "setting", "word", *[F.col(c).cast("string") for c in ("correct", "substituted", "deleted", "inserted")]).alias("value")).write.text(f"{path}/errs")
+
+
+def write_named_shards(df: DataFrame, root: str, pool: str = "pool", shard: str = "shard", suffix: str = "") -> None:
+    """``<root>/<pool>/x_cuts_<pool without its first four characters><suffix>.<shard>.jsonl.gz`` files that ``read_shards`` finds.
+
+    Rows are written by tasks, a shard to each; the driver then only renames the files.
+    """
+    spark = df.sparkSession
+    tmp = f"{root.rstrip('/')}/_writing"
+    df.repartition(pool, shard).write.partitionBy(pool, shard).option("compression", "gzip").json(tmp)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    store = jpath(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.globStatus(jpath(f"{tmp}/{pool}=*/{shard}=*/part-*")):
+        source = status.getPath()
+        number, name = (x.getName().partition("=")[2] for x in (source.getParent(), source.getParent().getParent()))
+        store.mkdirs(jpath(f"{root}/{name}"))
+        store.rename(source, jpath(f"{root}/{name}/x_cuts_{name[4:]}{suffix}.{number}.jsonl.gz"))
+    store.delete(jpath(tmp), True)
 
 
 def safe_name(setting: str) -> str:

@@ -24,7 +24,7 @@ def _millis(ts: pd.Timestamp) -> int:
 
 
 class _Segments(StatefulProcessor):
-    """State: the open segment of a recording and the number of closed ones."""
+    """State: the open segment of a recording and the number of closed ones; a timer clears it, also of finished recordings."""
 
     def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
@@ -52,10 +52,8 @@ class _Segments(StatefulProcessor):
             n, has = n + 1, False
         if timer >= 0:
             self.handle.deleteTimer(timer)
-        timer = -1
-        if not final:
-            timer = max(_millis(events["ts"].max()), timerValues.getCurrentWatermarkInMs()) + self.idle_ms
-            self.handle.registerTimer(timer)
+        timer = max(_millis(events["ts"].max()), timerValues.getCurrentWatermarkInMs()) + self.idle_ms  # after a final chunk too: then it only forgets the key
+        self.handle.registerTimer(timer)
         self.open.update((n, start, end, has, timer))
         yield _segments(out)
 

@@ -54,6 +54,21 @@ def test_audio_index(spark, tmp_path):
     r = good.collect()
     assert len(r) == 1 and (r[0]["id"], r[0]["sampling_rate"], r[0]["num_samples"], r[0]["duration"]) == ("spk-one.two", 16000, 8000, 0.5)
     assert bad.count() == 1
+    assert "content" not in good._jdf.queryExecution().executedPlan().toString()  # paths and lengths only
+    assert M.wav_header(data[:64], len(data)) == (16000, 1, 8000) and M.wav_header(data[:64], len(data) - 1) is None
+
+
+def test_named_shards_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(f"i{k}", f"ssl_p{k % 3}", f"{k % 2:08d}") for k in range(30)], "id string, pool string, shard string")
+    M.write_named_shards(df, str(tmp_path), suffix="_k7")
+    assert (tmp_path / "ssl_p1/x_cuts_p1_k7.00000001.jsonl.gz").exists() and not (tmp_path / "_writing").exists()
+    assert sorted(map(tuple, M.read_shards(spark, str(tmp_path), "ssl_", "_k7").select("id", "pool", "shard").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_first_of_several_models(spark, tmp_path):
+    one = "\\data\\\nngram 1=1\n\n\\1-grams:\n-1.0\ta\n\n\\end\\\n"
+    (tmp_path / "two.arpa").write_text(one + one.replace("-1.0\ta", "-2.0\tb"))
+    assert [(r["w"], r["log_p"]) for r in arpa.read_arpa(spark, str(tmp_path / "two.arpa")).collect()] == [("a", -1.0)]
 
 
 def test_split_and_write(spark, tmp_path):
