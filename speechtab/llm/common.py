@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,8 +66,10 @@ def map_rows(df: DataFrame, run) -> DataFrame:
 
 
 def release() -> None:
-    """Gives Arrow's freed memory back at the end of a task: Python workers live on and serve later stages."""
+    """Gives freed memory of Arrow, numpy and Python back at the end of a task: Python workers live on and serve later stages."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, memory stays with the worker
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # ---------------------------------------------------------------- word hashing
