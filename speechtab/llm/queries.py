@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.llm import ann, bpe, lmscore, media, mixing, neardup, pii, secrets, toxicity, warc
+from speechtab.llm import ann, bpe, langid, lmscore, media, mixing, neardup, pii, repair, secrets, toxicity, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,9 +75,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_media_columns, op2_secret_scans, op3_toxicity, op4_nearest_neighbours, op5_minhash_near_dedup, op6_warc, op7_bpe, op8_pii, op9_lm_scoring, op10_mixing, pipeline)
+    ops = (op1_media_columns, op2_secret_scans, op3_toxicity, op4_nearest_neighbours, op5_minhash_near_dedup, op6_warc, op7_bpe, op8_pii, op9_lm_scoring, op10_mixing, op11_conversation_repair, op12_prefix_trie, op13_language_id, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": neardup.ORACLE, "op6_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op5_minhash_near_dedup": neardup.ORACLE, "op6_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE, "op11_conversation_repair": repair.ORACLE, "op12_prefix_trie": trie.ORACLE}
