@@ -246,6 +246,19 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.read_shards(spark, path, "ssl_", "_k1")
 
 
+@query("""SELECT coalesce(source, 'none') || '-' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 8000 ELSE 16000 END AS sampling_rate, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS channels,
+  CAST(strlen(text) // CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS num_samples,
+  (strlen(text) // CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END) / CASE WHEN doc_id % 3 = 0 THEN 8000.0::DOUBLE ELSE 16000.0::DOUBLE END AS duration FROM documents""")
+def audio_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WAV file per document (its bytes as 8-bit samples; every tenth with the text as metadata in front), found again by its header."""
+    path = shared_path(spark, "audio")
+    d = V.table(spark, sf_dir, "documents")
+    rate, channels = F.when(F.col("doc_id") % 3 == 0, 8000).otherwise(16000), F.when(F.col("doc_id") % 4 == 0, 2).otherwise(1)
+    rows = d.select(F.concat_ws("/", F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string")).alias("id"), rate.alias("sampling_rate"), channels.alias("channels"), F.lit(8).alias("bits"), F.col("text").cast("binary").alias("data"), F.when(F.col("doc_id") % 10 == 0, F.col("text")).alias("comment"))
+    M.write_audio(rows, path)
+    return M.audio_index(spark, path)[0].drop("path")
+
+
 @query(f"WITH {SHARDS} SELECT id, pool, shard FROM s", "recordings")
 def read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(spark, sf_dir).select("id", "pool", "shard")

@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Iterator
-from urllib.parse import quote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +11,7 @@ from pyspark.sql import types as T
 
 from speechtab import schemas
 from speechtab.functions import text as X
+from speechtab.sources import wav
 
 
 def read_manifest(spark: SparkSession, path: str, kind: str = "cuts", partitions: int | None = None) -> DataFrame:
@@ -62,51 +59,21 @@ def read_transcripts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
     return split_lines(raw.withColumn("dir", F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1)))
 
 
-def wav_header(data: bytes, length: int | None = None) -> tuple[int, int, int] | None:
-    """(rate, channels, samples per channel) of a PCM RIFF file from its first bytes; None where it is none or shorter than it says."""
-    length = len(data) if length is None else length
-    if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        return None
-    at, form = 12, None
-    while at + 8 <= len(data):
-        kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        if kind == b"fmt " and at + 24 <= len(data):
-            form = struct.unpack_from("<HHIIHH", data, at + 8)
-        if kind == b"data":
-            if form is None or form[0] != 1 or form[4] == 0 or at + 8 + size > length:
-                return None
-            return form[2], form[1], size // form[4]
-        at += 8 + size + size % 2
-    return None
-
-
-#: Bytes of a file that are read for its header.
-HEAD = 1 << 16
-
-
 def audio_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """recordings (id, path, sampling_rate, channels, num_samples, duration) of all ``*.wav`` below root, and the unreadable paths.
+    """recordings (id, path, sampling_rate, channels, num_samples, duration) of all ``*.wav`` below root, and the others (path, error).
 
-    Spark lists paths and lengths without the content; each task then reads the first ``HEAD`` bytes of its files. A header that lies farther back
-    counts as unreadable.
+    Headers are read by seeking from chunk to chunk, however far back the samples lie. No file gives no rows.
     """
+    found = wav.register(spark).read.format("wav").load(root)
+    good = found.where("error is null")
+    good = good.select(X.derive_id(F.col("path")).alias("id"), "path", "sampling_rate", "channels", "num_samples", (F.col("num_samples") / F.col("sampling_rate")).alias("duration"))
+    return good, found.where("error is not null").select("path", "error")
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for b in batches:
-            rows = []
-            for path, length in zip(b["path"].tolist(), b["length"].tolist()):
-                store, place = fs.FileSystem.from_uri(quote(path, safe="/:@"))
-                with store.open_input_stream(place) as f:
-                    rows.append((path, *(wav_header(f.read(HEAD), length) or (None, None, None))))
-            yield pd.DataFrame(rows, columns=["path", "sampling_rate", "channels", "num_samples"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root)
-    found = files.select("path", "length").mapInPandas(heads, "path string, sampling_rate int, channels int, num_samples long")
-    good = found.where("num_samples is not null and sampling_rate > 0")
-    good = good.select(X.derive_id(F.col("path")).alias("id"), "path", "sampling_rate", "channels", "num_samples", (F.col("num_samples") / F.col("sampling_rate")).alias("duration"))
-    return good, found.where("num_samples is null or sampling_rate <= 0").select("path")
+def write_audio(df: DataFrame, path: str, mode: str = "append") -> None:
+    """A WAV file below ``path`` for each row (id, sampling_rate, channels, bits, data, perhaps comment)."""
+    wav.register(df.sparkSession)
+    df.write.format("wav").mode(mode).save(path)
 
 
 def indexed(df: DataFrame, order: list, name: str = "idx") -> DataFrame:

@@ -67,11 +67,11 @@ def test_nodes_equal_rebuilt_texts(spark, monkeypatch, piece):
 
 
 def test_a_collision_is_seen_and_drawn_again(spark, monkeypatch):
-    """With multipliers of 0 only the first turn counts, so different conversations share fingerprints."""
-    drawn = trie.multipliers
-    monkeypatch.setattr(trie, "multipliers", lambda draw: [0] * trie.PARTS if draw == 0 else drawn(draw))
-    rows = [(c, t, "user", f"{c * t}") for c in range(12) for t in range(12)]
-    assert rows_of(trie.trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))) == loop(rows)
+    """With a multiplier of 1 a fingerprint is blind to the order of turns, so different conversations share it."""
+    drawn, draws = trie.multipliers, []
+    monkeypatch.setattr(trie, "multipliers", lambda draw: draws.append(draw) or ([1] * trie.PARTS if draw == 0 else drawn(draw)))
+    rows = [(c, t, "user", "abcdefghijkl"[(t * (c % 3 * 2 + 5)) % 12]) for c in range(12) for t in range(12)]
+    assert rows_of(trie.trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))) == loop(rows) and 1 in draws
 
 
 def test_query_equals_sql(same):

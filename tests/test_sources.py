@@ -1,3 +1,4 @@
+import io
 import math
 import struct
 import wave
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from speechtab.functions import text as X
 from speechtab.operators import lm as L
-from speechtab.sources import arpa, manifests as M
+from speechtab.sources import arpa, manifests as M, wav
 
 
 def test_manifest_round_trip_and_bad_lines(spark, tmp_path):
@@ -43,19 +44,72 @@ def test_transcripts(spark, tmp_path):
     assert [r["value"] for r in bad.collect()] == ["u2"]
 
 
+def riff(*parts, size=None):
+    body = b"".join(struct.pack("<4sI", k, len(d) if n is None else n) + d + b"\0" * (len(d) % 2) for k, d, n in parts)
+    return struct.pack("<4sI4s", b"RIFF", 4 + len(body) if size is None else size, b"WAVE") + body
+
+
 def test_audio_index(spark, tmp_path):
     (tmp_path / "spk").mkdir()
     with wave.open(str(tmp_path / "spk/one.two.wav"), "wb") as w:
         w.setnchannels(1), w.setsampwidth(2), w.setframerate(16000)
         w.writeframes(struct.pack("<8000h", *range(8000)))
-    data = (tmp_path / "spk/one.two.wav").read_bytes()
-    (tmp_path / "spk/cut.wav").write_bytes(data[:1000])
+    form = (b"fmt ", struct.pack("<HHIIHH", 1, 2, 8000, 32000, 4, 16), None)
+    extensible = (b"fmt ", struct.pack("<HHIIHHHHIH14s", 0xFFFE, 1, 8000, 16000, 2, 16, 22, 16, 4, 1, b"x" * 14), None)
+    files = {
+        "far back": riff(form, (b"LIST", b"m" * 1_000_001, None), (b"data", b"\0" * 400, None)),
+        "extensible": riff(extensible, (b"data", b"\0" * 10, None)),
+        "cut": (tmp_path / "spk/one.two.wav").read_bytes()[:1000],
+        "float": riff((b"fmt ", struct.pack("<HHIIHH", 3, 1, 8000, 32000, 4, 32), None), (b"data", b"", None)),
+        "early": riff((b"data", b"", None), form),
+        "no samples": riff(form),
+        "short format": riff((b"fmt ", b"12", None)),
+        "long": b"RF64" + riff((b"ds64", struct.pack("<QQQI", 0, 40, 20, 0), None), form, (b"data", b"\0" * 40, 0xFFFFFFFF))[4:],
+        "text": b"no audio",
+        "empty": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / "spk" / f"{name}.wav").write_bytes(data)
+    (tmp_path / "spk/._hidden.wav").write_bytes(b"")
     good, bad = M.audio_index(spark, str(tmp_path))
-    r = good.collect()
-    assert len(r) == 1 and (r[0]["id"], r[0]["sampling_rate"], r[0]["num_samples"], r[0]["duration"]) == ("spk-one.two", 16000, 8000, 0.5)
-    assert bad.count() == 1
-    assert "content" not in good._jdf.queryExecution().executedPlan().toString()  # paths and lengths only
-    assert M.wav_header(data[:64], len(data)) == (16000, 1, 8000) and M.wav_header(data[:64], len(data) - 1) is None
+    got = {r["id"]: (r["sampling_rate"], r["channels"], r["num_samples"], r["duration"]) for r in good.collect()}
+    assert got == {"spk-one.two": (16000, 1, 8000, 0.5), "spk-far back": (8000, 2, 100, 0.0125), "spk-extensible": (8000, 1, 5, 5 / 8000), "spk-long": (8000, 2, 10, 10 / 8000)}
+    errors = {r["path"].rpartition("/")[2][:-4]: r["error"] for r in bad.collect()}
+    assert errors == {"cut": "truncated", "float": "no PCM", "early": "samples before their format", "no samples": "no samples", "short format": "truncated", "text": "no WAVE file", "empty": "no WAVE file"}
+
+
+def test_a_header_far_back_is_read_by_seeking():
+    class Counting(io.BytesIO):
+        total = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.total += len(data)
+            return data
+
+    data = wav.head_bytes(8000, 1, 8, 4, "c" * 3_000_000) + b"abcd"
+    f = Counting(data)
+    assert wav.read_header(f, len(data)) == (8000, 1, 8, 4, len(data) - 4, 4) and f.total < 200
+
+
+def test_audio_round_trip(spark, tmp_path):
+    rows = [("a/x", 8000, 1, 8, b"abc", None), ("a/y z", 16000, 2, 16, b"\0\1\2\3" * 5, "é" * 100_000), ("b/ü", 8000, 1, 8, b"", ""), ("n", 8000, 1, 8, None, "c")]
+    df = spark.createDataFrame(rows, "id string, sampling_rate int, channels int, bits int, data binary, comment string").repartition(3)
+    M.write_audio(df, str(tmp_path / "w"))
+    M.write_audio(df.where("id = 'n'"), str(tmp_path / "w"))  # again: the same file
+    assert M.prepared(spark, str(tmp_path / "w")) and not list((tmp_path / "w").rglob("._*"))
+    back = spark.read.format("wav").option("content", "true").option("filesPerPartition", 2).load(str(tmp_path / "w"))
+    assert back.rdd.getNumPartitions() == 2
+    got = {r["path"].removeprefix(f"{tmp_path}/w/").removesuffix(".wav"): (r["sampling_rate"], r["channels"], r["bits"], bytes(r["data"]), r["error"]) for r in back.collect()}
+    assert got == {i: (rate, ch, bits, data or b"", None) for i, rate, ch, bits, data, _ in rows}
+    with wave.open(str(tmp_path / "w/a/y z.wav")) as w:
+        assert (w.getnchannels(), w.getframerate(), w.readframes(9)) == (2, 16000, b"\0\1\2\3" * 5)
+    M.write_audio(df.where("id = 'n'"), str(tmp_path / "w"), "overwrite")
+    assert [r["num_samples"] for r in M.audio_index(spark, str(tmp_path / "w"))[0].collect()] == [0]
+    with pytest.raises(Exception, match="needs columns"):
+        M.write_audio(df.drop("bits"), str(tmp_path / "v"))
+    (tmp_path / "none").mkdir()
+    assert M.audio_index(spark, str(tmp_path / "none"))[0].collect() == []
 
 
 def test_named_shards_round_trip(spark, tmp_path):
