@@ -68,30 +68,51 @@ def rescore_grid(nbest: DataFrame, form: str = "lm", scales: tuple[float, ...] =
     return rows.groupBy(F.col("g.setting").alias("setting"), "utt_id").agg(best.alias("b")).select("setting", "utt_id", (-F.col("b.m")).alias("hyp"), F.col("b.score").alias("score"))
 
 
+def _cost_row(above: np.ndarray, same: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The row of the cost table below ``above``; ``same``: whether the row's word equals each word of the other side."""
+    row = above + 1
+    np.minimum(row[1:], above[:-1] + ~same, out=row[1:])
+    return np.minimum.accumulate(row - steps) + steps  # insertions run along the row
+
+
 def edit_path(ref: list[str], hyp: list[str]) -> list[tuple[str | None, str | None]]:
-    """Aligned word pairs at unit costs; ties prefer substitution, then deletion, then insertion."""
+    """Aligned word pairs at unit costs; ties prefer substitution, then deletion, then insertion.
+
+    Of the cost table only each sqrt(len(ref))-th row is kept; the way back computes the rows between two of them again, block by block. So
+    memory is len(hyp) * sqrt(len(ref)) numbers, with the same path as the whole table gives. What both sides end in alike is paired beforehand.
+    """
     m, n = len(ref), len(hyp)
+    out: list[tuple[str | None, str | None]] = []
+    while m and n and ref[m - 1] == hyp[n - 1]:  # equal words are the first choice of the way back
+        m, n = m - 1, n - 1
+        out.append((ref[m], hyp[n]))
     number: dict[str, int] = {}
-    r, h = (np.array([number.setdefault(w, len(number)) for w in v], np.int64) for v in (ref, hyp))
-    cost = np.zeros((m + 1, n + 1), np.int32)
+    r, h = (np.array([number.setdefault(w, len(number)) for w in v], np.int64) for v in (ref[:m], hyp[:n]))
     steps = np.arange(n + 1, dtype=np.int32)
-    cost[0] = steps
-    for i in range(1, m + 1):
-        row = cost[i - 1] + 1
-        row[1:] = np.minimum(row[1:], cost[i - 1, :-1] + (h != r[i - 1]))
-        cost[i] = np.minimum.accumulate(row - steps) + steps  # insertions run along the row
-    out: list[tuple[str | None, str | None]] = []
+    every = math.isqrt(m) + 1
+    row, kept = steps.copy(), []
+    for i in range(m):
+        if i % every == 0:
+            kept.append(row)
+        row = _cost_row(row, h == r[i], steps)
     i, j = m, n
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((ref[i], hyp[j]))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            out.append((ref[i], None))
-        else:
-            j -= 1
-            out.append((None, hyp[j]))
+    while kept:
+        first = (len(kept) - 1) * every
+        rows = [kept.pop()]
+        while first + len(rows) <= i:
+            rows.append(_cost_row(rows[-1], h == r[first + len(rows) - 1], steps))
+        while i > first:
+            here, above = rows[i - first], rows[i - first - 1]
+            if j and here[j] == above[j - 1] + (r[i - 1] != h[j - 1]):
+                i, j = i - 1, j - 1
+                out.append((ref[i], hyp[j]))
+            elif here[j] == above[j] + 1:
+                i -= 1
+                out.append((ref[i], None))
+            else:
+                j -= 1
+                out.append((None, hyp[j]))
+    out += [(None, w) for w in reversed(hyp[:j])]
     return out[::-1]
 
 

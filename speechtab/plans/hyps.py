@@ -117,7 +117,26 @@ def oracle_hyp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.oracle_hyp(n.withColumn("hyp", F.col("hyp").cast("long")), p.select(F.col("cut_id").alias("utt_id"), "ref"))
 
 
-@query()
+#: The path of each pair of ``w``: K, S, D or I by word, carried along the rows of the cost table; of equal costs the diagonal, then the row above.
+PATHS = """h AS (SELECT id, j, CASE WHEN j > 0 THEN h[j] END AS y FROM (SELECT id, h, unnest(range(0, len(h) + 1)) AS j FROM w)),
+r AS (SELECT id, i, r[i] AS x FROM (SELECT id, r, unnest(range(1, len(r) + 1)) AS i FROM w)),
+d AS (SELECT id, 0 AS i, j, j AS c, repeat('I', j) AS s FROM h
+  UNION ALL SELECT id, i, j, c, CASE WHEN f IS NOT NULL THEN f ELSE last_value(f IGNORE NULLS) OVER z || repeat('I', CAST(j - last_value(CASE WHEN f IS NOT NULL THEN j END IGNORE NULLS) OVER z AS BIGINT)) END
+  FROM (SELECT id, i, j, c, CASE WHEN dc = c THEN ds || e WHEN uc = c THEN us || 'D' END AS f FROM (
+    SELECT *, min(least(uc, coalesce(dc, uc)) - j) OVER (PARTITION BY id ORDER BY j) + j AS c FROM (
+      SELECT d.id, r.i, d.j, d.c + 1 AS uc, d.s AS us, CASE WHEN h.y = r.x THEN 'K' ELSE 'S' END AS e, lag(d.c) OVER o + CASE WHEN h.y = r.x THEN 0 ELSE 1 END AS dc, lag(d.s) OVER o AS ds
+      FROM d JOIN r ON r.id = d.id AND r.i = d.i + 1 JOIN h ON h.id = d.id AND h.j = d.j WINDOW o AS (PARTITION BY d.id ORDER BY d.j))))
+  WINDOW z AS (PARTITION BY id ORDER BY j)),
+path AS (SELECT w.id, w.r, w.h, d.s FROM w JOIN d ON d.id = w.id AND d.i = len(w.r) AND d.j = len(w.h))"""
+PAIRED = f"""WITH RECURSIVE w AS (SELECT {{'s': setting, 'u': cut_id}} AS id, ref AS r, {HYP} AS h FROM pairs), {PATHS}"""
+#: One row per step of a path: its words.
+STEPPED = """step AS (SELECT id, p, e, CASE WHEN e <> 'I' THEN r[CAST(i AS BIGINT)] END AS x, CASE WHEN e <> 'D' THEN h[CAST(j AS BIGINT)] END AS y FROM (
+  SELECT id, r, h, p, e, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY p) AS i, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY p) AS j
+  FROM (SELECT id, r, h, unnest(string_split(s, '')) AS e, generate_subscripts(string_split(s, ''), 1) AS p FROM path WHERE s <> '')))"""
+
+
+@query(f"""{PAIRED} SELECT id.s AS setting, id.u AS cut_id, CAST(len(r) AS BIGINT) AS n_ref, CAST(len(s) - len(replace(s, 'K', '')) AS BIGINT) AS correct,
+  CAST(len(s) - len(replace(s, 'S', '')) AS BIGINT) AS substituted, CAST(len(s) - len(replace(s, 'D', '')) AS BIGINT) AS deleted, CAST(len(s) - len(replace(s, 'I', '')) AS BIGINT) AS inserted FROM path""", "pairs")
 def align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.align(V.pairs(spark, sf_dir)).drop("ref_words", "hyp_words")
 
@@ -128,7 +147,8 @@ def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.wer(H.align(V.pairs(spark, sf_dir))).withColumn("wer", F.round("wer", 6))
 
 
-@query()
+@query(f"""{PAIRED}, {STEPPED} SELECT id.s AS setting, coalesce(x, y) AS word, count(*) FILTER (e = 'K') AS correct, count(*) FILTER (e = 'S') AS substituted, count(*) FILTER (e = 'D') AS deleted,
+  count(*) FILTER (e = 'I') AS inserted FROM step GROUP BY ALL""", "pairs")
 def word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.word_errors(H.align(V.pairs(spark, sf_dir)))
 

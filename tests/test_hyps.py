@@ -32,6 +32,48 @@ def test_edit_path(a, b):
     assert H.edit_path(a, a) == list(zip(a, a))
 
 
+def table_path(ref, hyp):
+    """The same path from the whole cost table, cell by cell."""
+    m, n = len(ref), len(hyp)
+    c = [[i + j if not i or not j else 0 for j in range(n + 1)] for i in range(m + 1)]
+    for i in range(1, m + 1):
+        for j in range(1, n + 1):
+            c[i][j] = min(c[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]), c[i - 1][j] + 1, c[i][j - 1] + 1)
+    out, i, j = [], m, n
+    while i or j:
+        if i and j and c[i][j] == c[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((ref[i], hyp[j]))
+        elif i and c[i][j] == c[i - 1][j] + 1:
+            i -= 1
+            out.append((ref[i], None))
+        else:
+            j -= 1
+            out.append((None, hyp[j]))
+    return out[::-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.sampled_from("abc"), max_size=30))
+def test_path_equals_that_of_the_whole_table(ref, hyp):
+    assert H.edit_path(ref, hyp) == table_path(ref, hyp)
+
+
+def test_a_long_pair_needs_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    ref = [str(rng.randrange(2000)) for _ in range(20_000)]
+    hyp = [w for w in ref if rng.random() > 0.05] + ["end"]
+    tracemalloc.start()
+    path = H.edit_path(ref, hyp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and [x for x, _ in path if x] == ref and [y for _, y in path if y] == hyp
+    assert sum(x != y for x, y in path) == len(ref) - len(hyp) + 2
+
+
 def test_ties_prefer_substitution():
     assert H.edit_path(["a", "b"], ["b", "c"]) == [("a", "b"), ("b", "c")]
     assert H.edit_path([], ["x"]) == [(None, "x")] and H.edit_path(["x"], []) == [("x", None)]
