@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from speechtab.operators.patterns import NONE, Automaton, code_points, parts
 from speechtab.session import bounded
 
-#: Between the tokens of a window: no token holds it.
-SEPARATOR = "\u0001"
-#: Needles of ``exclude_source``.
-MAX_NEEDLES = 10_000
 #: Named duration bands in seconds, both ends included.
 BANDS = {"prep": (1.0, 20.0), "train": (1.0, 16.0), "decode": (0.0, 30.0)}
 
@@ -41,16 +46,32 @@ def filter_alignable(df: DataFrame, formula: str = "train", tokens: str = "n_tok
 
 
 def exclude_source(df: DataFrame, needles: DataFrame | str, path: str = "source_path") -> DataFrame:
-    """Rows whose path holds none of the needles: a string, or a table (needle) of at most ``MAX_NEEDLES`` rows (more raise ValueError).
+    """Rows whose path holds none of the needles: a string, or a table (needle) of any size.
 
-    Null paths hold nothing and stay; null needles are none.
+    A table of needles is searched for by automata of bounded size, each in one pass over the rows where they lie (no join, no shuffle).
+    Null paths hold nothing and stay; null needles are none; an empty needle is in every path that is not null. Repeated needles count once, and an empty table of them
+    removes nothing.
     """
     if isinstance(needles, str):
         return df.where(~F.coalesce(F.contains(F.col(path), F.lit(needles)), F.lit(False)))
     some = needles.select("needle").where("needle is not null").distinct()
-    if some.limit(MAX_NEEDLES + 1).count() > MAX_NEEDLES:
-        raise ValueError(f"more than {MAX_NEEDLES} needles: each row is compared with all of them")
-    return df.join(F.broadcast(some), F.contains(F.col(path), F.col("needle")), "left_anti")
+    at, names = df.columns.index(path), df.columns
+    if some.where("needle = ''").limit(1).count():
+        return df.where(F.col(f"`{path}`").isNull())
+    for part in parts(some, F.col("needle"), F.length("needle")):
+        symbols, offsets = code_points([r["needle"] for r in part])
+        shared = df.sparkSession.sparkContext.broadcast(Automaton(np.split(symbols, offsets[1:-1])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hits, _, _ = shared.value.find(*code_points(b.column(at).to_pylist()))
+                keep = np.ones(len(b), bool)
+                keep[hits] = False
+                yield b.filter(pa.array(keep))
+
+        plain = df.toDF(*[f"c{i}" for i in range(len(names))])  # names may clash
+        df = plain.mapInArrow(run, plain.schema).toDF(*names)
+    return df
 
 
 def common_ids(parts: list[DataFrame], key: str = "id") -> DataFrame:
@@ -107,10 +128,11 @@ def fix_manifests(recordings: DataFrame, supervisions: DataFrame) -> tuple[DataF
     return recordings.join(kept.select("recording_id").distinct(), "recording_id", "left_semi"), kept
 
 
-def validate(cuts: DataFrame, rate: int = 16_000, tolerance: float = 0.002) -> DataFrame:
+def validate(cuts: DataFrame, rate: int = 16_000, tolerance: float = 0.002, amplitude: float = 10.0) -> DataFrame:
     """(rule, id) of every violation: repeated ids, durations, rate, channels, supervisions outside their cut.
 
-    With a column ``samples`` also amplitude: no samples, one that is null or NaN, or one outside -1..1.
+    With a column ``samples`` also amplitude: no samples, one that is null or NaN, or one beyond +-``amplitude`` (samples of 16-bit files that nobody scaled lie far
+    beyond, clipped ones a little beyond 1 do not).
     """
     repeated = cuts.groupBy("cut_id").count().where("count > 1").select(F.lit("repeated id").alias("rule"), F.col("cut_id").alias("id"))
     outside = F.exists("supervisions", lambda s: (s["start"] < -tolerance) | (s["start"] + s["duration"] > F.col("duration") + tolerance))
@@ -121,7 +143,7 @@ def validate(cuts: DataFrame, rate: int = 16_000, tolerance: float = 0.002) -> D
         "supervision outside": F.coalesce(outside, F.lit(False)),
     }
     if "samples" in cuts.columns:
-        rules["amplitude"] = F.coalesce(F.exists("samples", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1)) | (F.size("samples") == 0), F.lit(True))
+        rules["amplitude"] = F.coalesce(F.exists("samples", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > amplitude)) | (F.size("samples") == 0), F.lit(True))
     tags = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]), lambda x: x.isNotNull())
     return cuts.select(F.explode(tags).alias("rule"), F.col("cut_id").alias("id")).unionByName(repeated)
 
@@ -162,42 +184,75 @@ def pair_results(ref: DataFrame, hyp: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where(ok).drop("__r", "__h"), both.where(~ok).select("setting", "cut_id", side.alias("missing"))
 
 
+def greedy_spots(spots: list[tuple]) -> Iterator[tuple]:
+    """Of (pos, length, phrase) those left to right, longest first, that do not overlap; equal ones by phrase."""
+    free = 0
+    for pos, n, phrase in sorted(spots, key=lambda x: (x[0], -x[1], x[2])):
+        if pos >= free:
+            free = pos + n
+            yield pos, n, phrase
+
+
 def spot_phrases(tokens: DataFrame, phrases: DataFrame, threshold: float = 0.0, blanks: int = -1) -> DataFrame:
     """(utt_id, pos, phrase): non-overlapping phrases over ``tokens`` (utt_id, ys, probs, trailing).
 
-    A phrase counts where the mean of its token probabilities reaches the threshold and more than
-    ``blanks`` blanks follow it (the utterance's end waives that). Left to right, longest first.
-    Windows of the lengths that ``phrases`` (phrase, tokens) has meet them by an equi-join, so a frequent first word costs nothing;
-    without ``probs`` and ``trailing`` both tests pass. Null and empty phrases are none; null ``ys`` hold none.
+    A phrase counts where the mean of its token probabilities reaches the threshold (the phrase's own, if ``phrases`` (phrase, tokens) has a column threshold that is
+    not null) and more than ``blanks`` blanks follow it (the utterance's end waives that). Left to right, longest first; of phrases with the same tokens the first by name among those that count.
+    All phrases are found in one pass by an automaton where the tokens lie. Where the phrases need several automata, their finds meet by utterance.
+    Without ``probs`` and ``trailing`` both tests pass; a missing probability or blank count fails. Null and empty phrases, and those with a null token, are none; null ``ys`` hold none; null tokens match nothing.
     """
-    p = phrases.select("phrase", F.array_join("tokens", SEPARATOR).alias("window"), F.size("tokens").alias("n")).where("n > 0")
-    lengths = sorted(r["n"] for r in p.select("n").distinct().collect())  # one row per length of a phrase
-    size = F.size("ys")
-
-    def windows(n: int) -> Column:
-        at = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-
-        def one(i: Column) -> Column:
-            ok = F.lit(True)
-            if "probs" in tokens.columns:
-                ok &= F.aggregate(F.slice("probs", i + 1, F.lit(n)), F.lit(0.0), lambda a, x: a + x) / n >= threshold
-            if "trailing" in tokens.columns:
-                ok &= (i + n == size) | (F.get("trailing", i + (n - 1)) > blanks)
-            return F.when(ok, F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("ys", i + 1, F.lit(n)), SEPARATOR).alias("window")))
-
-        return F.transform(at, one)
-
-    empty = F.array().cast("array<struct<pos:int,n:int,window:string>>")
-    spots = tokens.select("utt_id", F.explode(F.concat(empty, *map(windows, lengths))).alias("x")).where("x is not null").select("utt_id", "x.*")
-    hits = spots.join(bounded(p), ["window", "n"]).groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("m"), "phrase"))).alias("hits"))
-    kept = F.aggregate(
-        "hits",
-        F.struct(F.lit(0).alias("free"), F.array().cast("array<boolean>").alias("out")),
-        lambda acc, h: F.struct(F.when(h["pos"] >= acc["free"], h["pos"] - h["m"]).otherwise(acc["free"]).alias("free"), F.concat(acc["out"], F.array(h["pos"] >= acc["free"])).alias("out")),
-        lambda acc: acc["out"],
-    )
-    chosen = F.filter(F.arrays_zip(F.col("hits").alias("h"), kept.alias("k")), lambda x: x["k"])
-    return hits.select("utt_id", F.explode(chosen).alias("x")).select("utt_id", "x.h.pos", "x.h.phrase")
+    own = F.col("threshold").cast("double") if "threshold" in phrases.columns else F.lit(None).cast("double")
+    known = phrases.select("phrase", "tokens", F.coalesce(own, F.lit(float(threshold))).alias("least")).where((F.size("tokens") > 0) & ~F.exists("tokens", lambda t: t.isNull()) & F.col("phrase").isNotNull())
+    given = [c for c in ("probs", "trailing") if c in tokens.columns]
+    lists = list(parts(known.distinct(), F.col("tokens"), F.size("tokens")))
+    id_type, kind = tokens.schema["utt_id"].dataType.simpleString(), pa.string() if tokens.schema["ys"].dataType.elementType.typeName() == "string" else pa.int64()
+    out = f"utt_id {id_type}, pos int, n int, phrase string"
+    finds = []
+    for part in lists:
+        vocab = {t: i for i, t in enumerate(sorted({t for r in part for t in r["tokens"]}))}
+        named: dict[tuple, list] = {}
+        for r in part:
+            named.setdefault(tuple(r["tokens"]), []).append((r["phrase"], r["least"]))
+        machine = Automaton([np.array([vocab[t] for t in k], np.int64) for k in named])
+        shared = tokens.sparkSession.sparkContext.broadcast((machine, pa.array(list(vocab), kind), [sorted(v) for v in named.values()]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, whole=len(lists) == 1) -> Iterator[pa.RecordBatch]:
+            machine, words, names = shared.value
+            for b in batches:
+                ys = b.column(1)
+                offsets = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ys), 0).to_numpy())).astype(np.int64)
+                symbols = pc.fill_null(pc.index_in(ys.flatten().cast(kind), words), NONE).to_numpy()
+                row, pos, which = machine.find(symbols, offsets)
+                order = np.argsort(row, kind="stable")
+                rows: list[tuple] = []
+                cut = np.searchsorted(row[order], np.unique(row))
+                for group in np.split(order, cut[1:]) if len(order) else []:
+                    i = int(row[group[0]])
+                    extra = [b.column(2 + k)[i].as_py() for k in range(len(given))]
+                    probs, trailing = (extra[given.index(c)] or [] if c in given else None for c in ("probs", "trailing"))
+                    size, spots = int(offsets[i + 1] - offsets[i]), []
+                    for at, w in zip(pos[group].tolist(), which[group].tolist()):
+                        n = int(machine.sizes[w])
+                        end = at + n
+                        if trailing is not None and end < size and not (len(trailing) >= end and trailing[end - 1] is not None and trailing[end - 1] > blanks):
+                            continue
+                        mean = None if probs is None else sum(probs[at:end]) / n if len(probs) >= end and None not in probs[at:end] else -math.inf
+                        spots += [(at, n, name) for name, least in names[w] if mean is None or mean >= least]
+                    rows += [(i, *s) for s in (greedy_spots(spots) if whole else spots)]
+                cols = list(zip(*rows)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string())], ["utt_id", "pos", "n", "phrase"])
+
+        finds.append(tokens.select("utt_id", "ys", *given).mapInArrow(run, out))
+    if not finds:
+        return tokens.sparkSession.createDataFrame([], out).drop("n")
+    if len(finds) == 1:
+        return finds[0].drop("n")
+
+    def choose(found: pd.DataFrame) -> pd.DataFrame:
+        best = list(greedy_spots(list(zip(found["pos"], found["n"], found["phrase"]))))
+        return pd.DataFrame({"utt_id": found["utt_id"].iloc[: len(best)].to_numpy(), "pos": [x[0] for x in best], "n": [x[1] for x in best], "phrase": [x[2] for x in best]})
+
+    return reduce(DataFrame.unionByName, finds).groupBy("utt_id").applyInPandas(choose, out).drop("n")
 
 
 def noise_mix_plan(cuts: DataFrame, noise: DataFrame, p: float = 0.5, snr: tuple[float, float] = (10.0, 20.0), seed: int = 0) -> DataFrame:

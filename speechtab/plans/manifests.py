@@ -82,6 +82,16 @@ def filter_alignable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.recordings(spark, sf_dir).select("recording_id", ok("prep").alias("prep"), ok("train").alias("train"))
 
 
+@query("""WITH n AS (SELECT DISTINCT '/' || substr(doc_id::VARCHAR, 1, 2) AS needle FROM documents WHERE lang = 'de' UNION SELECT '/' || source || '/' || doc_id || '.' FROM documents WHERE doc_id % 7 = 0)
+SELECT recording_id FROM recordings r WHERE NOT EXISTS (SELECT 1 FROM n WHERE contains(r.source_path, n.needle))""", "recordings")
+def exclude_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths without any of a table of needles that grows with the documents."""
+    d = V.table(spark, sf_dir, "documents")
+    starts = d.where("lang = 'de'").select(F.concat(F.lit("/"), F.substring(F.col("doc_id").cast("string"), 1, 2)).alias("needle"))
+    whole = d.where("doc_id % 7 = 0").select(F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".")))
+    return C.exclude_source(V.recordings(spark, sf_dir), starts.union(whole)).select("recording_id")
+
+
 @query("SELECT recording_id FROM recordings WHERE NOT contains(source_path, '/src1')", "recordings")
 def exclude_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exclude_source(V.recordings(spark, sf_dir), "/src1").select("recording_id")
@@ -158,9 +168,12 @@ def fix_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT r.recording_id, r.duration, max(s.start + s.duration) AS last FROM recordings r LEFT JOIN supervisions s USING (recording_id) GROUP BY ALL)
-SELECT 'duration' AS rule, recording_id || '-0' AS id FROM c WHERE duration <= 0 UNION ALL SELECT 'supervision outside', recording_id || '-0' FROM c WHERE last > duration + 0.002""", "supervisions")
+SELECT 'duration' AS rule, recording_id || '-0' AS id FROM c WHERE duration <= 0 UNION ALL SELECT 'supervision outside', recording_id || '-0' FROM c WHERE last > duration + 0.002
+UNION ALL SELECT 'amplitude', recording_id || '-0' FROM recordings WHERE doc_id % 50 = 0 OR abs(doc_id % 29 - 14) > 10""", "supervisions")
 def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = V.recordings(spark, sf_dir).select("recording_id", "duration", "sampling_rate").withColumn("channels", F.lit(1))
+    """Samples from -14 to 14, some without any."""
+    samples = F.when(F.col("doc_id") % 100 == 50, F.array().cast("array<double>")).when(F.col("doc_id") % 50 != 0, F.array(F.lit(-0.5), (F.col("doc_id") % 29 - 14).cast("double")))
+    rec = V.recordings(spark, sf_dir).select("recording_id", "duration", "sampling_rate", samples.alias("samples")).withColumn("channels", F.lit(1))
     return C.validate(C.build_cuts(rec, V.supervisions(spark, sf_dir)))
 
 
@@ -208,6 +221,32 @@ def spot_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.spot_phrases(docs, phrases)
 
 
+def _spotted(n: int) -> str:
+    return f"""SELECT utt_id, i - 1 AS pos, {n} AS n, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS phrase, {" + ".join(f"pr[i + {k}]" for k in range(n))} AS total, bl[i + {n - 1}] AS after, len(w) AS size
+  FROM (SELECT *, unnest(range(1, len(w) - {n - 2})) AS i FROM d)"""
+
+
+@query(rf"""WITH RECURSIVE b AS (SELECT list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '') AS w FROM benchmark),
+p AS ({" UNION ALL ".join(f"SELECT DISTINCT array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS phrase, {n} AS n, {least}::DOUBLE AS least FROM (SELECT w, unnest(range(1, len(w) - {n - 2})) AS i FROM b)" for n, least in ((2, 0.25), (3, 0.5), (4, 0.375)))}),
+d AS (SELECT utt_id, w, list_transform(range(1, len(w) + 1), lambda i: ((i * 37 + utt_id) % 64) / 64.0::DOUBLE) AS pr, list_transform(range(1, len(w) + 1), lambda i: (i * 31 + utt_id) % 4) AS bl
+  FROM (SELECT doc_id AS utt_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda w: w <> '') AS w FROM documents)),
+x AS ({" UNION ALL ".join(map(_spotted, (2, 3, 4)))}),
+q AS (SELECT x.utt_id, x.pos, max(x.n) AS n FROM x JOIN p USING (phrase, n) WHERE total / x.n >= least AND (x.pos + x.n = size OR after > 0) GROUP BY x.utt_id, x.pos),
+h AS MATERIALIZED (SELECT q.utt_id, q.pos, q.n, x.phrase FROM q JOIN x ON x.utt_id = q.utt_id AND x.pos = q.pos AND x.n = q.n),
+s AS MATERIALIZED (SELECT a.utt_id, a.pos, min(b.pos) AS next FROM h a JOIN h b ON b.utt_id = a.utt_id AND b.pos >= a.pos + a.n GROUP BY ALL),
+g AS (SELECT utt_id, min(pos) AS pos FROM h GROUP BY utt_id UNION ALL SELECT s.utt_id, s.next FROM g JOIN s ON s.utt_id = g.utt_id AND s.pos = g.pos)
+SELECT h.utt_id, CAST(h.pos AS INTEGER) AS pos, h.phrase FROM g JOIN h ON h.utt_id = g.utt_id AND h.pos = g.pos""")
+def spot_phrases_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two, three and four words of the benchmark texts, each length with its own threshold, over probabilities and blank counts."""
+    b = V.table(spark, sf_dir, "benchmark").select(X.words(F.col("text")).alias("w"))
+    windows = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice("w", i, F.lit(n)))
+    some = [b.where(F.size("w") >= n).select(F.explode(windows(n)).alias("tokens")).distinct().withColumn("threshold", F.lit(least)) for n, least in ((2, 0.25), (3, 0.5), (4, 0.375))]
+    phrases = some[0].unionByName(some[1]).unionByName(some[2]).withColumn("phrase", F.array_join("tokens", " "))
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("utt_id"), X.words(F.col("text")).alias("ys"))
+    probs = F.transform("ys", lambda _, i: ((i + 1) * 37 + F.col("utt_id")) % 64 / 64.0)
+    return C.spot_phrases(docs.withColumn("probs", probs).withColumn("trailing", F.transform("ys", lambda _, i: (((i + 1) * 31 + F.col("utt_id")) % 4).cast("int"))), phrases, blanks=0)
+
+
 HASH = "CAST('0x' || substr(md5(recording_id || ':0:{}'), 1, 8) AS BIGINT)"
 
 

@@ -10,6 +10,7 @@ from speechtab.operators import batching as B
 from speechtab.operators import cluster as K
 from speechtab.operators import cuts as C
 from speechtab.operators import hyps as H
+from speechtab.operators import patterns
 
 WORDS = st.lists(st.sampled_from("abcd"), max_size=9)
 
@@ -200,19 +201,54 @@ def test_phrases_of_several_lengths_equal_a_loop(spark):
     assert C.spot_phrases(toks, spark.createDataFrame([], "phrase string, tokens array<string>")).count() == 0
 
 
-def test_needles_are_bounded(spark, monkeypatch):
-    import pytest
-
-    df = spark.createDataFrame([("/a/x",), ("/b/y",), (None,)], "source_path string")
-    needles = spark.createDataFrame([("/a",), (None,), ("/q",)], "needle string")
-    assert sorted(str(r[0]) for r in C.exclude_source(df, needles).collect()) == ["/b/y", "None"]
-    monkeypatch.setattr(C, "MAX_NEEDLES", 1)
-    with pytest.raises(ValueError, match="needles"):
-        C.exclude_source(df, needles)
+def test_needles_of_any_number(spark, monkeypatch):
+    df = spark.createDataFrame([("/a/x", 1), ("/b/y", 2), (None, 3), ("/b/y", 2), ("", 4), ("z" * 2000 + "/q" + "z" * 2000, 5), ("/é𝄞/w", 6)], "source_path string, needle long")
+    needles = spark.createDataFrame([("/a",), (None,), ("/q",), ("/q",), ("𝄞/",)], "needle string")
+    for size in (1 << 20, 3):  # one automaton, and several
+        monkeypatch.setattr(patterns, "PART_SYMBOLS", size)
+        assert sorted(r["needle"] for r in C.exclude_source(df, needles).collect()) == [2, 2, 3, 4]
+    assert C.exclude_source(df, needles.limit(0)).count() == 7 and C.exclude_source(df.limit(0), needles).count() == 0
+    assert [r["needle"] for r in C.exclude_source(df, spark.createDataFrame([("",)], "needle string")).collect()] == [3]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=5), max_size=8, unique=True), st.lists(st.text("abc", max_size=40), max_size=5), st.sampled_from([3, 7, 512]))
+def test_automaton_equals_comparing_everywhere(words, texts, piece):
+    old, patterns.PIECE = patterns.PIECE, piece
+    try:
+        machine = patterns.Automaton([patterns.code_points([w])[0] for w in words])
+        got = sorted(zip(*(x.tolist() for x in machine.find(*patterns.code_points(texts)))))
+    finally:
+        patterns.PIECE = old
+    assert got == sorted((i, at, k) for i, t in enumerate(texts) for k, w in enumerate(words) for at in range(len(t)) if t.startswith(w, at))
+
+
+def test_scored_phrases_equal_a_loop(spark, monkeypatch):
+    """Probabilities, blanks, own thresholds, several names for the same tokens; by one automaton and by several."""
+    rng = random.Random(9)
+    docs = [(i, ys, [rng.randrange(65) / 64 for _ in ys], [rng.randrange(4) for _ in ys]) for i in range(50) for ys in [[rng.randrange(3) for _ in range(rng.randrange(40))]]] + [(97, [0, None, 1], [1.0, 1.0, None], [3, None, 3]), (98, None, None, None)]
+    table = [(f"{p}-{k}", list(p), t) for p in {tuple(rng.randrange(3) for _ in range(n)) for n in (1, 2, 3, 4) for _ in range(2)} for k, t in enumerate((0.6, None, 0.25)[: rng.randrange(1, 4)])] + [("x", [0, None], None), (None, [1], None)]
+    want = []
+    for i, ys, probs, trailing in docs:
+        at = 0
+        while at < len(ys or []):
+            fit = []
+            for name, t, least in table:
+                n = len(t)
+                if name and None not in t and ys[at : at + n] == t and None not in probs[at : at + n] and sum(probs[at : at + n]) / n >= (0.5 if least is None else least) and (at + n == len(ys) or (trailing[at + n - 1] or 0) > 1):
+                    fit.append((-n, name))
+            if fit:
+                want.append((i, at, min(fit)[1]))
+            at += -min(fit)[0] if fit else 1
+    toks = spark.createDataFrame(docs, "utt_id long, ys array<int>, probs array<double>, trailing array<int>")
+    ph = spark.createDataFrame(table, "phrase string, tokens array<int>, threshold double")
+    for size in (1 << 20, 4):
+        monkeypatch.setattr(patterns, "PART_SYMBOLS", size)
+        assert sorted(map(tuple, C.spot_phrases(toks, ph, 0.5, 1).collect())) == sorted(want) and want
 
 
 def test_amplitudes_and_common_ids(spark):
-    rows = [("a", 1.0, 16000, 1, [], [0.5, -1.0]), ("b", 1.0, 16000, 1, [], [0.5, 1.5]), ("c", 1.0, 16000, 1, [], [float("nan")]), ("d", 1.0, 16000, 1, [], []), ("e", 1.0, 16000, 1, [], None)]
+    rows = [("a", 1.0, 16000, 1, [], [0.5, -1.0]), ("b", 1.0, 16000, 1, [], [0.5, -10.5]), ("f", 1.0, 16000, 1, [], [1.5, -10.0]), ("c", 1.0, 16000, 1, [], [float("nan")]), ("d", 1.0, 16000, 1, [], []), ("e", 1.0, 16000, 1, [], None)]
     cuts = spark.createDataFrame(rows, "cut_id string, duration double, sampling_rate int, channels int, supervisions array<struct<start:double,duration:double>>, samples array<double>")
     assert sorted((r["rule"], r["id"]) for r in C.validate(cuts).collect()) == [("amplitude", i) for i in "bcde"]
     ids = [spark.createDataFrame([(i,) for i in x], "id long") for x in ([1, 2, 3, 3, None], [3, 2, 2], [3, 9])]
