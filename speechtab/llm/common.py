@@ -35,13 +35,29 @@ def _delete(spark: SparkSession, path: str) -> None:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
-    Cuts lineage: a lost executor costs a reread, not a recomputation. Removed when the driver ends.
+    Cuts lineage: a lost executor costs a reread, not a recomputation. Removed by ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/speechtab-stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no plan still to run reads; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "staged_at", None):
+            _delete(t.sparkSession, path)
+
+
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers get at most ``rows`` rows at once, which bounds what a batch of long texts takes; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(rows, now) if now > 0 else rows))
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import U64, buffers, distinct_per_doc, mix, release, small, stage, words
+from speechtab.llm.common import U64, buffers, discard, distinct_per_doc, mix, release, small, stage, words
 
 BANDS, ROWS = 40, 6
 MINIMA = BANDS * ROWS
@@ -161,8 +161,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_ = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(small_.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        last, e = e, stage(small_.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         now = mark(e)
+        discard(last)
         if now == seen:
             break
         seen = now
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     row = info.select("doc_id", F.explode("bands").alias("band"))
     shared = row.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
     bucket = stage(row.join(shared, "band"), "buckets")
-    bands, info = info.select("doc_id", "bands"), info.drop("bands")
+    info_table, bands, info = info, info.select("doc_id", "bands"), info.drop("bands")
 
     pairs = bucket.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     judged = pairs.join(info.alias("x"), F.col("a") == F.col("x.doc_id")).join(info.alias("y"), F.col("b") == F.col("y.doc_id")).where(close("x", "y"))
@@ -233,7 +234,8 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     open_ = stage(open_.join(several, "band"), "open")
     ids = open_.select("doc_id").distinct()
     wide = sketch(docs.join(small(ids, BROADCAST_IDS), "doc_id", "left_semi"), width).join(bands, "doc_id")
-    open_ = stage(open_.join(wide, "doc_id"), "wide")
+    narrow, open_ = open_, stage(open_.join(wide, "doc_id"), "wide")
+    discard(narrow)
     x, y = open_.alias("x"), open_.alias("y")
     wider = differing("x", "y", WIDE_COLS) <= WIDE - WIDE_AGREE
     shared_band = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
@@ -245,6 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
         late = stage(confirm(more, texts_of(more), width), "links")
         if late.limit(1).count():
             found = components(links.unionByName(late))
+    discard(info_table, bucket, judged, best, second, open_, more)  # what follows reads the signatures, the classes and the components
     out = signed.select("doc_id", "n_shingles").join(member, "doc_id", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

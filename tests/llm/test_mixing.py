@@ -51,3 +51,12 @@ def test_edges(spark):
     want = levels({s: b[0] for s, b in by.items()})
     assert all(abs(b[2] - want[s]) < 1e-6 and abs(b[1] - b[2]) <= 1 for s, b in by.items())
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_rows_without_id_or_with_one_id_are_taken_alike_on_reruns(spark):
+    rows = [(None, f"w{i} x", "s", i) for i in range(40)] + [(7, f"v{i} y", "s", i) for i in range(40)] + [(8, "same text", "s", i % 3) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    taken = [sorted((str(r["row"]["doc_id"]), r["row"]["text"], r["row"]["n"], r["taken"]) for r in mixing.mix(docs.repartition(n, "n" if n == 7 else "text"), row=True).collect()) for n in (3, 7)]
+    assert taken[0] == taken[1] and len({t for *_, t in taken[0]}) > 1
+    keys = {r["key"] for r in mixing.sizes(docs.where("doc_id is null")).collect()}
+    assert len(keys) == 40  # rows without an id do not share one range
