@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechtab.llm import bpe, mixing, neardup, pii, toxicity
-from speechtab.llm.common import stage
+from speechtab.llm.common import discard, short_batches, stage
 
 ORACLE_SQL = None
 #: Words of a shingle in the near-duplicate stage.
@@ -26,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts score the model's bias and stay unless that alone rejects them. Repeated rows and ids, null ids and ties are
     scored each by itself. Empty tables stay empty; without labels nothing goes.
     """
+    short_batches(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -35,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null, empty and blank texts link with nothing and stay. Of rows with one id the one of smallest text stays (one of repeated rows);
     rows without an id stay. Empty tables stay empty.
     """
+    short_batches(spark)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
         one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.min_by(row, "text"), F.first(row)).alias("row")).select("row.*")
@@ -48,6 +50,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     All rows stay, null and empty texts, repeated rows and rows without an id as they are. Empty tables stay empty.
     """
+    short_batches(spark)
     return pii.redact(docs)
 
 
@@ -76,6 +79,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens. Repeated rows, null ids and further columns change nothing. Empty tables stay empty.
     """
+    short_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -91,5 +95,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        discard(before)  # the next stage reads only what this one kept
     return docs
