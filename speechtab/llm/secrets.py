@@ -2,11 +2,13 @@
 
 Base kinds are fixed patterns. The method adds spans of kind ``markov``: runs of at least ``MIN_TOKEN``
 key characters whose log-likelihood under a character Markov model of random strings exceeds that under
-a model of ordinary identifiers by more than ``MIN_LLR``, and that overlap no base span. Both models are
-first-order, over one alphabet, with additive smoothing, and are fitted to labelled samples from about ``SAMPLE_DOCS`` documents
-drawn by a hash of their id: the values that base patterns mark (random), and (ordinary) the other words of these documents
-and identifiers, which are words that stood together, written the ways identifiers are (with underscores, hyphens, slashes, in camel case, in
-capitals, numbered). Each distinct sample counts once. The model is a table of fixed size, so it travels as a literal.
+a model of ordinary identifiers by more than ``MIN_LLR`` and by more than ``MIN_RATE`` for each letter and digit, that hold at least ``MIN_DISTINCT`` different letters and digits, and that overlap no base span. Runs of the shape of
+a UUID are identifiers, and counting up (abcdef...) is no secret. All models are first-order over letters and digits; other characters, dates and runs of digits alone begin a new
+segment and say nothing. A history's row is smoothed towards its class's own letter frequencies, so a history that a class never saw falls back to these instead of to a uniform row.
+There are two models of random strings, and the likelier one counts: one of the values that base patterns mark in the whole table (as they stand, in capitals and in small letters), one
+of ``DRAWS`` strings drawn at random from all letters and digits. Ordinary are the other words of about ``SAMPLE_DOCS`` documents drawn by a hash (of the id, or of the text where there is
+none), and identifiers, which are words that stood together, written the ways identifiers are (with underscores, hyphens, slashes, in camel case, in capitals, numbered). Each distinct sample counts
+once. The models are tables of fixed size, so they travel as literals.
 
 Positions come from the pieces between matches: their lengths and those of the matches are summed, in blocks of matches, so that a text of very
 many matches takes no square of their number.
@@ -26,9 +28,16 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 TOKEN = "[A-Za-z0-9+/_=-]"
-MIN_TOKEN, MIN_LLR, SAMPLE_DOCS, SMOOTHING = 16, 40.0, 20_000, 0.1
+NUMBER = "(?<![A-Za-z0-9])([0-9]+|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt_-]?[0-9]{2}-?[0-9]{2}(-?[0-9]{2})?[Zz]?)(?![A-Za-z0-9])"
+UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+MIN_TOKEN, MIN_LLR, MIN_DISTINCT, SAMPLE_DOCS, DRAWS, SMOOTHING = 16, 25.0, 8, 20_000, 4096, 0.5
+ORDINARY, MARKED, DRAWN = range(3)
+#: Least ratio for each letter and digit: long identifiers of words that the corpus lacks gather some, random strings much.
+MIN_RATE = 2.2
+#: Observations that a class's letter frequencies count for in each history's row.
+BACK_OFF = 20.0
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 #: Matches summed together.
 BLOCK = 256
@@ -70,8 +79,8 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def codes(token: Column) -> Column:
-    """Places of a token's characters in the alphabet, from 1."""
-    return F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    """Places of a token's characters in the alphabet, from 1; 0 for others, and for numbers and dates, which end a segment."""
+    return F.transform(F.split(F.regexp_replace(token, NUMBER, "-"), ""), lambda c: F.position(c, F.lit(ALPHABET)))
 
 
 def identifiers(words: Column) -> Column:
@@ -92,42 +101,58 @@ def identifiers(words: Column) -> Column:
     return F.transform(places, lambda i: F.get(ways(i), F.pmod(F.xxhash64(at(i, 0), at(i, 1)), F.lit(8)).cast("int")))
 
 
-def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """token, random (boolean), each once: base values; words outside them and identifiers of such words."""
+def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, draws: int = DRAWS) -> DataFrame:
+    """token, class, each once: base values of all documents and random draws; words outside base spans and identifiers of such words, of a sample."""
     n = max(1, docs.count())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    rate = min(1.0, sample_docs / n)
-    some = docs.select("text", draw.alias("draw")).where((F.col("draw") < int(rate * 1_000_000) + 1) & F.col("text").isNotNull())
-    values = some.select(F.explode(F.flatten(F.array(*base_spans(F.col("text"))))).alias("span")).select(F.lit(True).alias("random"), F.col("span.value").alias("token"))
+    grain = 1 << 40
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), "text"), F.lit("sample")), F.lit(grain))
+    some = docs.where((draw < int(min(1.0, sample_docs / n) * grain) + 1) & F.col("text").isNotNull()).select("text")
+    values = docs.select(F.explode(F.flatten(F.array(*base_spans(F.col("text"))))).alias("span")).select(F.lit(MARKED).alias("class"), F.explode(F.array("span.value", F.upper("span.value"), F.lower("span.value"))).alias("token"))
     cleared = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = some.select(F.regexp_extract_all(cleared, F.lit(TOKEN + "{4,}"), F.lit(0)).alias("words"))
     words = words.withColumn("letters", F.filter("words", lambda w: w.rlike("^[A-Za-z]+$")))
-    plain = words.select(F.explode(F.concat("words", identifiers(F.col("letters")))).alias("token")).select(F.lit(False).alias("random"), "token")
-    return values.unionByName(plain).distinct()
+    plain = words.select(F.explode(F.concat("words", identifiers(F.col("letters")))).alias("token")).select(F.lit(ORDINARY).alias("class"), "token")
+    drawn = docs.sparkSession.range(draws).select(F.lit(DRAWN).alias("class"), F.base64(F.unhex(F.sha2(F.concat(F.lit("draw-"), "id").cast("binary"), 256))).alias("token"))
+    return values.unionByName(plain).distinct().unionByName(drawn)
 
 
-def fit(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
-    """Log-likelihood ratios of each (previous, next) character, row by row; previous 0 is the start."""
+def fit(samples: DataFrame, smoothing: float = SMOOTHING, back_off: float = BACK_OFF) -> list[list[float]]:
+    """For each model of random strings the log-likelihood ratios of each (previous, next) character, row by row; previous 0 is a segment's start, next 0 says nothing."""
     k = len(ALPHABET) + 1
-    c = F.filter(codes(F.col("token")), lambda x: x > 0)
-    counted = samples.select("random", c.alias("c")).select("random", F.explode(F.zip_with(F.concat(F.array(F.lit(0)), "c"), F.col("c"), lambda a, b: a * k + b)).alias("step")).where("step is not null").groupBy("random", "step").count()
-    counts = {(r["random"], r["step"]): r["count"] for r in counted.collect()}  # at most 2 * k * k rows
-    if not any(r for r, _ in counts) or all(r for r, _ in counts):
-        return [0.0] * (k * k)
-
-    def log_p(random: bool, prev: int) -> list[float]:
-        row = [counts.get((random, prev * k + x), 0) + smoothing for x in range(1, k)]
-        return [math.log(v / sum(row)) for v in row]
-
-    return [x for prev in range(k) for x in [0.0, *(a - b for a, b in zip(log_p(True, prev), log_p(False, prev)))]]
+    steps = F.zip_with(F.concat(F.array(F.lit(0)), "c"), F.col("c"), lambda a, b: F.when(b > 0, a * k + b))
+    counted = samples.select("class", codes(F.col("token")).alias("c")).select("class", F.explode(steps).alias("step")).where("step is not null").groupBy("class", "step").count()
+    counts = {(r["class"], r["step"]): r["count"] for r in counted.collect()}  # at most 3 * k * k rows
+
+    def rows(kind: int) -> list[list[float]]:
+        row = [[counts.get((kind, prev * k + x), 0) for x in range(1, k)] for prev in range(k)]
+        letters = [sum(r[x] for r in row) + smoothing for x in range(k - 1)]
+        share = [v / sum(letters) for v in letters]
+        return [[math.log((c + back_off * q) / (sum(r) + back_off)) for c, q in zip(r, share)] for r in row]
+
+    kinds = sorted({kind for kind, _ in counts})
+    if kinds[:1] != [ORDINARY]:
+        return []
+    plain = rows(ORDINARY)
+    return [[x for a, b in zip(rows(kind), plain) for x in [0.0, *(p - q for p, q in zip(a, b))]] for kind in kinds[1:]]
+
+
+def llr(token: Column, models: list[list[float]]) -> Column:
+    """Log-likelihood ratio of a token: the likelier model of random strings against ordinary ones; 0 without models."""
+    if not models:
+        return F.lit(0.0)
+    k = len(ALPHABET) + 1
+    tables = [F.split(F.lit(",".join(f"{x:.4f}" for x in m)), ",").cast("array<double>") for m in models]  # each folded to one literal
+    sums = [f"s{i}" for i in range(len(models))]
+    start = F.struct(F.lit(0).alias("prev"), *(F.lit(0.0).alias(s) for s in sums))
+    step = lambda acc, x: F.struct(x.alias("prev"), *((acc[s] + F.get(t, acc["prev"] * k + x)).alias(s) for s, t in zip(sums, tables)))
+    return F.aggregate(codes(token), start, step, lambda acc: F.array_max(F.array(*(acc[s] for s in sums))))
 
 
-def llr(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a token of alphabet characters: random against ordinary."""
-    k = len(ALPHABET) + 1
-    table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")  # folded to one literal
-    start = F.struct(F.lit(0).alias("prev"), F.lit(0.0).alias("sum"))
-    return F.aggregate(codes(token), start, lambda acc, x: F.struct(x.alias("prev"), (acc["sum"] + F.get(table, acc["prev"] * k + x)).alias("sum")), lambda acc: acc["sum"])
+def varied(token: Column) -> Column:
+    """Whether a token holds enough different letters and digits, seldom counts up or down by one, and is no UUID."""
+    plain = F.split(F.regexp_replace(token, "[^A-Za-z0-9]", ""), "")
+    counting = lambda v: F.size(F.filter(F.zip_with(v, F.slice(v, 2, F.size(v)), lambda a, b: F.abs(F.ascii(a) - F.ascii(b)) == 1), lambda x: x)) * 2 >= F.size(v)
+    return (F.size(F.array_distinct(plain)) >= MIN_DISTINCT) & ~let(plain, counting) & ~token.rlike(UUID)
 
 
 def joined(spans: Column) -> Column:
@@ -135,13 +160,13 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, model: list[float], min_llr: float = MIN_LLR) -> DataFrame:
+def scan(docs: DataFrame, models: list[list[float]], min_llr: float = MIN_LLR) -> DataFrame:
     """doc_id, base, added: arrays of spans (start, kind, end, value), base spans by start then kind."""
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     a, b, c = base_spans(F.col("text"))
     t = t.select("doc_id", F.array_sort(F.concat(a, b, c)).alias("base"), located(F.col("text"), TOKEN + f"{{{MIN_TOKEN},}}", 3).alias("runs"))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
-    return t.select("doc_id", "base", F.filter(free, lambda r: llr(r["value"], model) > min_llr).alias("added"))
+    return t.select("doc_id", "base", F.filter(free, lambda r: varied(r["value"]) & (llr(r["value"], models) > F.greatest(F.lit(min_llr), MIN_RATE * F.length(F.regexp_replace(r["value"], "[^A-Za-z0-9]", ""))))).alias("added"))
 
 
 def find_secrets(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_llr: float = MIN_LLR) -> DataFrame:

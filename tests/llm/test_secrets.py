@@ -38,38 +38,63 @@ def test_base_spans_equal_brute_force(spark, sf_dir):
         assert set(as_text(want).split(",")) <= set(got[i]["spans"].split(","))
 
 
+def loop_models(samples):
+    """The tables by loops over characters."""
+    k, counts = len(secrets.ALPHABET) + 1, {}
+    for kind, token in samples:
+        last = 0
+        for c in re.sub(secrets.NUMBER, "-", token):
+            now = secrets.ALPHABET.find(c) + 1
+            if now:
+                counts[kind, last, now] = counts.get((kind, last, now), 0) + 1
+            last = now
+
+    def p(kind, a, b):
+        total = lambda x: sum(counts.get((kind, h, x), 0) for h in range(k)) + secrets.SMOOTHING
+        row = sum(counts.get((kind, a, x), 0) for x in range(1, k))
+        return (counts.get((kind, a, b), 0) + secrets.BACK_OFF * total(b) / sum(map(total, range(1, k)))) / (row + secrets.BACK_OFF)
+
+    return lambda kind, a, b: math.log(p(kind, a, b) / p(secrets.ORDINARY, a, b))
+
+
 def test_model_adds_random_runs_and_equals_a_loop(spark):
-    words = "the gradient_descent_optimizer of international communication ResponseEntityBuilder and transformation".split()
+    words = "the gradient_descent_optimizer of international communication ResponseEntityBuilder and 2024 transformation x86".split() * 10
     keys = [hashlib.sha256(str(i).encode()).hexdigest()[: 30 + i % 8] for i in range(40)]
-    samples = spark.createDataFrame([(True, k) for k in keys] + [(False, w) for w in words * 10], "random boolean, token string")
-    model = secrets.fit(samples)
-    k = len(secrets.ALPHABET) + 1
-    counts = {}
-    for flag, tokens in ((True, keys), (False, words * 10)):
-        for t in tokens:
-            for a, b in zip([0, *(secrets.ALPHABET.index(c) + 1 for c in t)], [secrets.ALPHABET.index(c) + 1 for c in t]):
-                counts[flag, a, b] = counts.get((flag, a, b), 0) + 1
-    p = lambda f, a, b: (counts.get((f, a, b), 0) + 0.1) / sum(counts.get((f, a, x), 0) + 0.1 for x in range(1, k))
-    for a, b in ((0, 5), (53, 54), (1, 1), (60, 30)):
-        assert math.isclose(model[a * k + b], math.log(p(True, a, b) / p(False, a, b)), abs_tol=1e-9)
-    text = "internationalcommunication " + hashlib.md5(b"q").hexdigest()[:20].upper() + " " + hashlib.md5(b"z").hexdigest()[:22]
-    rows = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, 12.0).select(F.transform("added", lambda s: s["start"]).alias("at")).first()
-    assert rows["at"] == [48] and text[48:] == hashlib.md5(b"z").hexdigest()[:22]
+    rows = [(secrets.MARKED, k) for k in keys] + [(secrets.DRAWN, "aZ9+Qx/20240115-4") for _ in range(3)] + [(secrets.ORDINARY, w) for w in words]
+    models = secrets.fit(spark.createDataFrame(rows, "class int, token string"))
+    want, k = loop_models(rows), len(secrets.ALPHABET) + 1
+    for m, kind in zip(models, (secrets.MARKED, secrets.DRAWN)):
+        for a, b in ((0, 5), (53, 54), (1, 1), (60, 30), (26, 62)):
+            assert math.isclose(m[a * k + b], want(kind, a, b), abs_tol=1e-9)
+    text = "internationalcommunication " + hashlib.md5(b"z").hexdigest()[:22]
+    rows = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), models, 12.0).select(F.transform("added", lambda s: s["start"]).alias("at")).first()
+    assert rows["at"] == [27]
 
 
 IDENTIFIERS = """gradient_descent_optimizer ResponseEntityBuilder user-profile-settings getElementsByClassName internal/server/handlers MAX_RETRY_ATTEMPTS
 AbstractSingletonProxyFactoryBean test_open_buckets_lose_no_link application-configuration-2024 transformWithStateInPandas src/main/resources/templates
-documentation_version_12 internationalization 1234567890123456 5543404633219280 2024-11-28-release-notes""".split()
+documentation_version_12 internationalization 1234567890123456 5543404633219280 2024-11-28-release-notes MyVeryLongClassNameFactoryImpl2 utf-8-sig-encoding-x86_64""".split()
+ORDERLY = ["-" * 32, "=" * 16, "_" * 40, "/" * 20, "-=" * 20, "a" * 30, "xX" * 20, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "2024-01-15T10-30-00-000000", "20240115T103000Z-backup-01", "550e8400-e29b-41d4-a716-446655440000", "+49-30-1234567-8901234"]
 
 
-def test_identifiers_stay_and_random_strings_go(spark):
-    """Trained on the corpus, through the query's own path."""
+def test_identifiers_rules_and_dates_stay_and_random_strings_go(spark):
+    """Trained on either corpus, through the query's own path."""
     rng = random.Random(2)
-    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(20, 40))) for _ in range(40)]
-    model = secrets.fit(secrets.labelled_samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")))
-    own = spark.createDataFrame([(1, " ".join(IDENTIFIERS)), (2, " ".join(keys))], "doc_id long, text string")
-    got = {r["doc_id"]: r["n"] for r in secrets.scan(own, model).select("doc_id", F.size("added").alias("n")).collect()}
-    assert got == {1: 0, 2: 40}
+    draw = lambda letters, *sizes: ["".join(rng.choice(letters) for _ in range(rng.choice(sizes))) for _ in range(200)]
+    kinds = [draw("0123456789ABCDEF", 24), draw("0123456789ABCDEF", 20), draw(string.ascii_letters + string.digits, 20, 25, 40), draw(string.ascii_uppercase + string.digits, 20), draw(string.ascii_letters + string.digits + "+/", 32, 44)]
+    for sf in ("sf0.01", "sf0.1"):
+        models = secrets.fit(secrets.labelled_samples(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")))
+        rows = [(0, " ".join(IDENTIFIERS)), (1, "\n".join(ORDERLY))] + [(2 + i, " ".join(k)) for i, k in enumerate(kinds)]
+        got = {r["doc_id"]: r["n"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), models).select("doc_id", F.size("added").alias("n")).collect()}
+        assert got[0] == got[1] == 0
+        assert all(got[2 + i] >= least * 200 for i, least in enumerate((0.95, 0.9, 0.98, 0.98, 0.98))), got
+
+
+def test_small_hexadecimal_of_24_is_a_base_kind_and_shorter_is_added(spark):
+    rng = random.Random(3)
+    short = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(22)) for _ in range(200))
+    models = secrets.fit(secrets.labelled_samples(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")))
+    assert secrets.scan(spark.createDataFrame([(1, short)], "doc_id long, text string"), models).select(F.size("added")).first()[0] > 160
 
 
 def test_identifiers_are_made_of_neighbouring_words(spark):
