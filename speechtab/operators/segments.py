@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from speechtab.operators.scan import segmented_scan
+
 
 def assemble_segments(events: DataFrame) -> DataFrame:
     """(recording_id, seg_idx, start_ms, end_ms) of chunk events (recording_id, chunk, item, start_ms, end_ms).
@@ -21,33 +23,43 @@ def assemble_segments(events: DataFrame) -> DataFrame:
     return rows.withColumn("end_ms", F.when(F.col("end_ms") != -1, F.col("end_ms"))).withColumn("seg_idx", F.col("seg_idx").cast("long"))
 
 
+class Merge:
+    """The greedy merge as a fold; the state is the open segment (none: -1 as its number)."""
+
+    start = (-1, 0, 0)
+
+    def __init__(self, merge_ms: int, min_ms: int, blank_ms: int):
+        self.merge_ms, self.min_ms, self.blank_ms = merge_ms, min_ms, blank_ms
+
+    def step(self, state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        none, s, e = state
+        start, end = row
+        if none == -1:
+            return (0, start, end), []
+        if e - s > self.merge_ms:
+            return (0, start, end), [(s, e)]
+        if start - e > self.blank_ms:
+            return (0, start, end), self.finish(state)
+        return (0, s, end), []
+
+    def finish(self, state: tuple) -> list[tuple]:
+        _, s, e = state
+        return [(s, e)] if e - s > self.min_ms else []
+
+
 def merge_segments(df: DataFrame, merge_ms: int | None = 10_000, min_ms: int = 2_000, blank_ms: int = 5_000) -> DataFrame:
-    """Greedy merge per recording, a fold over its segments in order.
+    """Greedy merge per recording, a fold over its segments in order, whatever their number.
 
     A segment longer than ``merge_ms`` is closed whatever its length; one before a gap over ``blank_ms``
     is closed, and kept only if longer than ``min_ms``; else the next extends it. The last is kept
-    only if longer than ``min_ms``. Without ``merge_ms`` segments stay as they are.
+    only if longer than ``min_ms``. Without ``merge_ms`` segments stay as they are. Segments without a start or an end are left out; a null recording is one of its own;
+    an empty table gives no rows.
     """
-    seg = "array<struct<start_ms:bigint,end_ms:bigint>>"
     if merge_ms is None:
         return df.select("recording_id", (F.row_number().over(W.partitionBy("recording_id").orderBy("start_ms", "end_ms")) - 1).cast("long").alias("seg_idx"), "start_ms", "end_ms")
-    lists = df.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start_ms").cast("long").alias("s"), F.col("end_ms").cast("long").alias("e")))).alias("v"))
-    start = F.struct(F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"), F.array().cast(seg).alias("out"))
-    own = lambda acc: F.array(F.struct(acc["s"].alias("start_ms"), acc["e"].alias("end_ms")))
-    state = lambda s, e, out: F.struct(s.alias("s"), e.alias("e"), out.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        keep = F.when(acc["e"] - acc["s"] > min_ms, F.concat(acc["out"], own(acc))).otherwise(acc["out"])
-        return (
-            F.when(acc["s"].isNull(), state(x["s"], x["e"], acc["out"]))
-            .when(acc["e"] - acc["s"] > merge_ms, state(x["s"], x["e"], F.concat(acc["out"], own(acc))))
-            .when(x["s"] - acc["e"] > blank_ms, state(x["s"], x["e"], keep))
-            .otherwise(state(acc["s"], x["e"], acc["out"]))
-        )
-
-    done = lambda acc: F.when(acc["e"] - acc["s"] > min_ms, F.concat(acc["out"], own(acc))).otherwise(acc["out"])
-    out = lists.select("recording_id", F.posexplode(F.aggregate("v", start, step, done)).alias("seg_idx", "x"))
-    return out.select("recording_id", F.col("seg_idx").cast("long").alias("seg_idx"), "x.start_ms", "x.end_ms")
+    rows = df.select("recording_id", F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms")).where("start_ms is not null and end_ms is not null")
+    merged = segmented_scan(rows, "recording_id", ["start_ms", "end_ms"], ["start_ms", "end_ms"], Merge(merge_ms, min_ms, blank_ms), "start_ms long, end_ms long", "seg_idx")
+    return merged.select("recording_id", "seg_idx", "start_ms", "end_ms")
 
 
 def split_segments(df: DataFrame, max_s: float = 30.0, rate: int = 16_000) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from speechtab.functions import text as X
 from speechtab.operators import cuts as C
 from speechtab.operators import segments as S
+from speechtab.operators.scan import collapse_rows
 from speechtab.plans import fixtures as V
 from speechtab.plans.fixtures import sql
 from speechtab.session import shared_path
@@ -141,6 +142,13 @@ def collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.select("user_id", F.array_join(X.collapse_repeats(F.col("v")), " ").alias("labels"))
 
 
+@query("""WITH r AS (SELECT user_id, event_type, ts, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, event_type FROM r WHERE p IS NULL OR p <> event_type""")
+def collapse_repeats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same labels, one row each: no user's labels are gathered."""
+    return collapse_rows(V.label_seq(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type")
+
+
 @query("""WITH s AS (SELECT recording_id, least(start + s.duration, r.duration) - start AS d, start, s.text, s.id FROM supervisions s JOIN (SELECT recording_id, duration FROM recordings) r USING (recording_id)),
 g AS (SELECT recording_id, count(*) AS n, sum(d) AS total FROM s WHERE d > 0 GROUP BY recording_id)
 SELECT r.recording_id || '-0' AS cut_id, coalesce(n, 0) AS n_supervisions, round(r.duration, 6) AS duration, round(coalesce(total, 0), 6) AS supervised FROM recordings r JOIN g USING (recording_id)""", "supervisions")
