@@ -174,11 +174,7 @@ def kn_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {grams_sql(3)} SELECT n, hist, w, round(f, 6) AS f, round(bow, 6) AS bow FROM bo", "lines")
 def kn_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from speechtab.session import checkpointed
-
-    c = checkpointed(L.ngram_counts(V.lines(spark, sf_dir), 3))
-    p = checkpointed(L.kn_probs(c, L.kn_discounts(c), 3))
-    return L.kn_backoff(p, 3).select("n", F.array_join("hist", " ").alias("hist"), "w", F.round("f", 6).alias("f"), F.round("bow", 6).alias("bow"))
+    return L.kn_table(V.lines(spark, sf_dir), 3).select("n", F.array_join("hist", " ").alias("hist"), "w", F.round("f", 6).alias("f"), F.round("bow", 6).alias("bow"))
 
 
 def model(spark: SparkSession, sf_dir: str) -> DataFrame:
