@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def sort_by_duration(df: DataFrame, key: str = "cut_id") -> DataFrame:
@@ -98,11 +99,23 @@ def pessimistic_batches(batches: DataFrame) -> DataFrame:
     return per.select("batch_id", criteria.alias("x")).select("batch_id", "x.*").withColumn("r", rank).where("r = 1").select("criterion", "batch_id", "value")
 
 
+def pad_edges(frames: Column, target: Column) -> Column:
+    """An array of at least ``target`` items: half of what lacks (the smaller half) stands before as copies of the first item, the rest behind as copies of the last.
+
+    Longer arrays stay; null and empty ones have nothing to repeat and stay too.
+    """
+    lack = F.greatest(target - F.size(frames), F.lit(0)).cast("int")
+    left = F.floor(lack / 2).cast("int")
+    padded = F.concat(F.array_repeat(F.get(frames, F.lit(0)), left), frames, F.array_repeat(F.element_at(frames, -1), lack - left))
+    return F.when(F.size(frames) > 0, padded).otherwise(frames)
+
+
 def collate(batches: DataFrame, pad: bool = False, cap: int = 10_000, seed: int | None = None, key: str = "cut_id", edge: bool = False) -> DataFrame:
     """(batch_id, key, size, start, length, padding) and, given ``feats``, the cropped and padded arrays.
 
     The batch's size is its least (or, with ``pad``, largest) length, capped; longer rows are cropped at a
-    seeded start (0 without seed), shorter ones padded with zeros that the mask marks; ``edge`` repeats the last frame instead.
+    seeded start (0 without seed), shorter ones padded with zeros that the mask marks. With ``edge`` they are padded as ``pad_edges`` does it: on both sides, by their own first
+    and last frames, which the mask does not mark.
     """
     w = W.partitionBy("batch_id")
     size = F.least((F.max if pad else F.min)("num_frames").over(w), F.lit(cap)).cast("long")
@@ -112,8 +125,12 @@ def collate(batches: DataFrame, pad: bool = False, cap: int = 10_000, seed: int
     rows = rows.withColumn("start", F.when(over > 0, start).otherwise(0).cast("long")).withColumn("length", F.least("num_frames", "size").cast("long")).withColumn("padding", F.col("size") - F.col("length"))
     if "feats" in batches.columns:
         kept = F.slice("feats", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
-        filler = F.element_at("feats", -1) if edge else F.transform(F.col("feats")[0], lambda x: x * 0)
-        rows = rows.withColumn("feats", F.concat(kept, F.array_repeat(filler, F.col("padding").cast("int")))).withColumn("mask", F.concat(F.array_repeat(F.lit(False), F.col("length").cast("int")), F.array_repeat(F.lit(True), F.col("padding").cast("int"))))
+        rows = rows.withColumn("feats", kept)
+        own, more = F.col("length").cast("int"), F.col("padding").cast("int")
+        if edge:
+            return rows.withColumn("feats", pad_edges(F.col("feats"), F.col("size"))).withColumn("mask", F.array_repeat(F.lit(False), F.col("size").cast("int")))
+        filler = F.transform(F.col("feats")[0], lambda x: x * 0)
+        rows = rows.withColumn("feats", F.concat("feats", F.array_repeat(filler, more))).withColumn("mask", F.concat(F.array_repeat(F.lit(False), own), F.array_repeat(F.lit(True), more)))
     return rows
 
 
@@ -130,36 +147,81 @@ def collate_labels(batches: DataFrame, ratio: float, classes: int, pad: bool = F
     return rows.withColumn("label_length", F.size("labels").cast("long")).withColumn("labels", padded).drop("__s", "__rest", "__n", "__w")
 
 
-def resample_labels(df: DataFrame, ratio: float, frames: str = "num_frames", size: str | None = None) -> DataFrame:
+def resample_labels(df: DataFrame, ratio: float, frames: str = "num_frames", size: str | None = None, mask_rate: float | None = None) -> DataFrame:
     """``df`` with one label per feature frame, the one at floor(i * ratio); frames without labels go.
 
-    With ``size`` (a batch's padded length, in frames) also ``mask``: true at each frame past the row's own.
+    With ``size`` (a batch's padded length, in frames) also ``mask``: true at each frame past the row's own. With ``mask_rate`` a column ``mask`` is read at floor(i * mask_rate).
+    Null labels give none; frames whose mask is missing get null.
     """
     t = F.when(F.col(frames) * ratio > F.size("labels"), F.floor(F.size("labels") / ratio)).otherwise(F.col(frames)).cast("int")
     steps = F.when(t > 0, F.sequence(F.lit(0), t - 1)).otherwise(F.array().cast("array<int>"))
     rows = df.withColumn("num_frames", t.cast("long")).withColumn("labels", F.transform(steps, lambda i: F.get("labels", F.floor(i * ratio).cast("int"))))
+    if mask_rate is not None:
+        places = F.when(F.size("labels") > 0, F.sequence(F.lit(0), F.greatest(F.size("labels") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return rows.withColumn("mask", F.transform(places, lambda i: F.get("mask", F.floor(i * mask_rate).cast("int"))))
     if size is None:
         return rows
     own = F.least("num_frames", F.col(size)).cast("int")
     return rows.withColumn("mask", F.concat(F.array_repeat(F.lit(False), own), F.array_repeat(F.lit(True), F.col(size).cast("int") - own)))
 
 
+def shrink_mask(mask: Column, to: Column) -> Column:
+    """A padding mask at the rate of ``to`` feature frames: what does not divide is cut off the end, then each group of equal size is true where all of it is.
+
+    Each item is read once. A mask shorter than ``to`` leaves empty groups, which are true; ``to`` of 0 gives none; a null mask stays null.
+    """
+    to = to.cast("int")
+
+    def shrunk(m: Column) -> Column:
+        group = F.floor(F.size(m) / to).cast("int")
+        whole = lambda i: F.forall(F.transform(F.sequence(F.lit(0), group - 1), lambda j: F.get(m, i * group + j)), lambda x: x)
+        return F.when(group > 0, F.transform(F.sequence(F.lit(0), F.greatest(to - 1, F.lit(0))), whole)).otherwise(F.array_repeat(F.lit(True), to))
+
+    once = F.get(F.transform(F.array(mask), shrunk), F.lit(0))  # the mask is worked out once, not for each item
+    return F.when(mask.isNull(), F.lit(None)).when(to > 0, once).otherwise(F.array().cast("array<boolean>"))
+
+
+class FirstFit:
+    """Groups by their ends in a tree of minima: the first group with room is found by one way down."""
+
+    def __init__(self, most: int):
+        self.size = 1 << max(0, most - 1).bit_length()
+        self.least = [float("inf")] * (2 * self.size)
+        self.used = 0
+
+    def first(self, fits) -> int | None:
+        """The first group whose end ``fits``; what an end fits, each smaller one does."""
+        if not fits(self.least[1]):
+            return None
+        at = 1
+        while at < self.size:
+            at = 2 * at if fits(self.least[2 * at]) else 2 * at + 1
+        return at - self.size
+
+    def put(self, group: int, end: float) -> None:
+        at = group + self.size
+        self.least[at] = end
+        while at > 1:
+            at //= 2
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+        self.used = max(self.used, group + 1)
+
+
 def concat_plan(batches: DataFrame, factor: float = 1.0, gap: float = 1.0, key: str = "cut_id") -> DataFrame:
-    """(batch_id, key, group, offset): first-fit of cuts, longest first, into groups of up to factor times the longest."""
+    """(batch_id, key, group, offset): first-fit of cuts, longest first, into groups of up to factor times the longest.
+
+    A batch is packed in one task in n log n steps; batches of ``simple_batches`` or ``bucket_batches`` have a bounded duration. Null durations count as 0, a null batch is a batch;
+    ties go by key. Empty tables give no rows.
+    """
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["duration", key], ascending=[False, True])
-        room = factor * part["duration"].max()
-        ends: list[float] = []
-        rows = []
-        for own, d in zip(part[key], part["duration"]):
-            g = next((i for i, e in enumerate(ends) if e + gap + d <= room + 1e-9), len(ends))
-            if g == len(ends):
-                ends.append(d)
-                at = 0.0
-            else:
-                at = ends[g] + gap
-                ends[g] = at + d
+        part = part.assign(duration=part["duration"].fillna(0.0)).sort_values(["duration", key], ascending=[False, True])
+        room, groups, rows = factor * part["duration"].max(), FirstFit(len(part)), []
+        for own, d in zip(part[key], part["duration"].tolist()):
+            g = groups.first(lambda e: e + gap + d <= room + 1e-9)
+            at = 0.0 if g is None else groups.least[g + groups.size] + gap
+            g = groups.used if g is None else g
+            groups.put(g, at + d)
             rows.append((part["batch_id"].iloc[0], own, g, at))
         return pd.DataFrame(rows, columns=["batch_id", key, "group", "offset"])
 
@@ -198,22 +260,69 @@ def spans(rng: np.random.Generator, size: int, p: float, length: int, min_masks:
     return marks[:-1] if len(marks) >= size else marks
 
 
-def span_masks(df: DataFrame, p: float = 0.65, length: int = 10, min_masks: int = 2, kind: str = "static", other: float = 0.0, no_overlap: bool = False, min_space: int = 1, seed: int = 0, epoch: int = 0, same: bool = True, key: str = "cut_id", size: str = "num_frames") -> DataFrame:
-    """``df`` with ``masked``: sorted masked frames, seeded by (seed, epoch, id); with ``same`` every row of a batch keeps as many as the fewest."""
-    seeded = df.withColumn("__seed", F.xxhash64(key, F.lit(seed), F.lit(epoch)))
-    schema = df.withColumn("masked", F.array().cast("array<bigint>")).withColumn("__seed", F.lit(0).cast("long")).schema
+def as_spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs in sorted distinct positions."""
+    first = np.flatnonzero(np.diff(marks, prepend=-2) > 1)
+    return marks[first], np.diff(np.append(first, len(marks)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (part for whole in batches for _, part in whole.groupby(whole[size].cumsum() // 500_000, sort=False)):  # long rows come together
-            masks = [spans(np.random.default_rng(int(s) & (2**63 - 1)), int(n), p, length, min_masks, kind, other, no_overlap, min_space) for s, n in zip(b["__seed"], b[size])]
-            yield b.assign(masked=masks)[[f.name for f in schema.fields]]
 
-    out = seeded.mapInPandas(run, schema)
+def positions(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions that the spans cover, in order."""
+    lengths = np.asarray(lengths, np.int64)
+    return np.repeat(np.asarray(starts, np.int64) - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def equalised(rng: np.random.Generator, marks: np.ndarray, size: int, target: int | None, dropout: float) -> np.ndarray:
+    """``marks`` thinned or filled up, at random, to ``target`` (None: as they are), then without round(share * dropout) of them."""
+    if target is not None and len(marks) > target:
+        marks = np.sort(rng.choice(marks, target, replace=False))
+    elif target is not None and len(marks) < min(target, size):
+        free = np.setdiff1d(np.arange(size), marks, assume_unique=True)
+        marks = np.sort(np.append(marks, rng.choice(free, min(target, size) - len(marks), replace=False)))
+    holes = int(np.rint(len(marks) * dropout))
+    return np.sort(rng.permutation(marks)[holes:]) if holes else marks
+
+
+def span_masks(df: DataFrame, p: float = 0.65, length: int = 10, min_masks: int = 2, kind: str = "static", other: float = 0.0, no_overlap: bool = False, min_space: int = 1, seed: int = 0, epoch: int = 0, same: bool = True, add: bool = False, dropout: float = 0.0, rate: int = 1, key: str = "cut_id", size: str = "num_frames") -> DataFrame:
+    """``df`` with ``starts`` and ``lengths`` of its masked spans and ``n_masked``, seeded by (seed, epoch, id).
+
+    With ``same`` every row of a batch keeps as many positions as the fewest, or (``add``) is filled up to the most; ``dropout`` then takes that share of each row's away. With a ``rate``
+    over 1 all this happens on every rate-th frame, and each position stands for the ``rate`` frames from there, as far as the row goes. A row of null length counts as empty. Masks are runs
+    from one step to the next, so a batch of long rows is small; rows of 500,000 frames together are worked on at once.
+    """
+    rows = df.withColumn("__seed", F.xxhash64(key, F.lit(seed), F.lit(epoch))).withColumn("__size", F.ceil(F.coalesce(F.col(size), F.lit(0)) / rate).cast("long"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("n_masked", T.LongType())])
+    rng = lambda s, step: np.random.default_rng([int(s) & (2**63 - 1), step])
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            yield from (part for _, part in whole.groupby(whole["__size"].cumsum() // 500_000, sort=False))
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in pieces(batches):
+            runs = [as_spans(spans(rng(s, 0), int(n), p, length, min_masks, kind, other, no_overlap, min_space)) for s, n in zip(b["__seed"], b["__size"])]
+            yield b.assign(starts=[x for x, _ in runs], lengths=[n for _, n in runs], n_masked=[int(n.sum()) for _, n in runs])
+
+    out = rows.mapInPandas(plan, schema)
     if same and "batch_id" in df.columns:
-        fewest = F.min(F.size("masked")).over(W.partitionBy("batch_id"))
-        keyed = F.array_sort(F.transform("masked", lambda x: F.struct(F.xxhash64(x, F.col("__seed")).alias("o"), x.alias("x"))))
-        out = out.withColumn("__n", fewest).withColumn("masked", F.array_sort(F.transform(F.slice(keyed, F.lit(1), F.col("__n")), lambda y: y["x"]))).drop("__n")
-    return out.drop("__seed")
+        out = out.withColumn("__target", (F.max if add else F.min)("n_masked").over(W.partitionBy("batch_id")))
+    else:
+        out = out.withColumn("__target", F.lit(None).cast("long"))
+    if not dropout and rate == 1 and "batch_id" not in df.columns:
+        return out.drop("__seed", "__size", "__target")
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in pieces(batches):
+            runs = []
+            for s, n, target, x, k, frames in zip(b["__seed"], b["__size"], b["__target"], b["starts"], b["lengths"], b[size].fillna(0)):
+                marks = equalised(rng(s, 1), positions(x, k), int(n), None if pd.isna(target) else int(target), dropout)
+                if rate > 1:
+                    marks = (marks[:, None] * rate + np.arange(rate)).ravel()
+                    marks = marks[marks < int(frames)]
+                runs.append(as_spans(marks))
+            yield b.assign(starts=[x for x, _ in runs], lengths=[n for _, n in runs], n_masked=[int(n.sum()) for _, n in runs])
+
+    return out.mapInPandas(finish, out.schema).drop("__seed", "__size", "__target")
 
 
 def specaug_plan(df: DataFrame, time_masks: int = 2, max_time: int = 100, bins: int = 80, freq_masks: int = 2, max_freq: int = 27, seed: int = 0, key: str = "cut_id", size: str = "num_frames") -> DataFrame:

@@ -10,6 +10,7 @@ from speechtab.operators import cluster as K
 from speechtab.operators import hyps as H
 from speechtab.plans import fixtures as V
 from speechtab.plans.fixtures import sql
+from speechtab.session import checkpointed
 
 Q: dict = {}
 
@@ -161,10 +162,14 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUTS = "cuts AS (SELECT recording_id AS cut_id, duration, num_frames, 'b' || (doc_id % 97) AS batch_id FROM recordings)"
 
 
-@query(f"WITH {CUTS} SELECT cut_id, row_number() OVER (PARTITION BY batch_id ORDER BY duration DESC, cut_id) AS place FROM cuts", "recordings")
+@query("SELECT cut_id, row_number() OVER (ORDER BY duration DESC, cut_id) - 1 AS place FROM (SELECT recording_id AS cut_id, duration FROM recordings)", "recordings")
 def sort_by_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.array_sort(F.collect_list(F.struct((-F.col("duration")).alias("d"), "cut_id")))
-    return cuts(spark, sf_dir).groupBy("batch_id").agg(v.alias("v")).select(F.posexplode("v").alias("place", "x")).select("x.cut_id", (F.col("place") + 1).cast("long").alias("place"))
+    """Places of all cuts in the operator's order, as its range-sorted partitions hold them."""
+    rows = B.sort_by_duration(cuts(spark, sf_dir)).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33))
+    rows = checkpointed(rows.select("cut_id", "part", "at"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return rows.join(before, "part").select("cut_id", (F.col("at") + F.col("before")).alias("place"))
 
 
 #: Batches of rows ``o`` (lane, k: place in the lane) by a fold per lane.
@@ -222,17 +227,50 @@ def resample_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.resample_labels(labelled(spark, sf_dir), 0.75).select("cut_id", "num_frames", F.array_join("labels", " ").alias("labels"))
 
 
-@query()
+@query("""WITH c AS (SELECT cut_id, feat, t, max(t) OVER (PARTITION BY cut_id) AS top, min(t) OVER (PARTITION BY cut_id) AS low, count(*) OVER (PARTITION BY cut_id) AS n FROM frames),
+x AS (SELECT cut_id, n, n * 2 + 7 AS size, (n + 7) // 2 AS lead, list(feat ORDER BY t) AS v FROM c GROUP BY cut_id, n)
+SELECT cut_id, size, i AS t, round(list_sum(list_transform(v[greatest(1, least(n, i - lead + 1))], lambda y: y::DOUBLE)), 4) AS energy FROM (SELECT *, unnest(range(size)) AS i FROM x)""", "frames")
+def pad_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cut's frames repeated at both edges up to twice their number and seven."""
+    v = F.transform(F.array_sort(F.collect_list(F.struct("t", "feat"))), lambda x: x["feat"])  # a cut's frames
+    f = V.frames(spark, sf_dir).groupBy("cut_id").agg(v.alias("feats")).withColumn("size", (F.size("feats") * 2 + 7).cast("long"))
+    out = f.select("cut_id", "size", F.posexplode(B.pad_edges(F.col("feats"), F.col("size"))).alias("t", "feat"))
+    return out.select("cut_id", "size", F.col("t").cast("long").alias("t"), F.round(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 4).alias("energy"))
+
+
+@query(f"""WITH {CUTS}, s AS (SELECT cut_id, least(num_frames, 1000) AS n, least(max(num_frames) OVER (PARTITION BY batch_id), 1000) AS size FROM cuts),
+g AS (SELECT *, size * 3 // 7 AS dst, size // greatest(size * 3 // 7, 1) AS r FROM s),
+m AS (SELECT cut_id, dst, list_transform(range(0, dst), lambda i: i * r >= n) AS mask FROM g)
+SELECT cut_id, CAST(dst AS BIGINT) AS frames, CAST(len(list_filter(mask, lambda x: x)) AS BIGINT) AS padded, md5(array_to_string(list_transform(mask, lambda x: CASE WHEN x THEN '1' ELSE '0' END), '')) AS mask FROM m""", "recordings")
+def shrink_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The padding mask of collated cuts at three sevenths of their rate, where the last frames do not divide."""
+    c = B.collate(cuts(spark, sf_dir), pad=True, cap=1000).withColumn("to", F.floor(F.col("size") * 3 / 7).cast("long"))
+    mask = F.concat(F.array_repeat(F.lit(False), F.col("length").cast("int")), F.array_repeat(F.lit(True), F.col("padding").cast("int")))
+    c = c.withColumn("mask", B.shrink_mask(mask, F.col("to")))
+    bits = F.array_join(F.transform("mask", lambda x: F.when(x, "1").otherwise("0")), "")
+    return c.select("cut_id", F.col("to").alias("frames"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("padded"), F.md5(bits.cast("binary")).alias("mask"))
+
+
+@query(f"""WITH RECURSIVE {CUTS}, o AS (SELECT *, 0 AS lane, row_number() OVER (ORDER BY cut_id) AS k FROM cuts), {FOLD},
+b AS (SELECT '0-' || number AS batch_id, cut_id, o.duration AS d, max(o.duration) OVER (PARTITION BY number) AS room, row_number() OVER (PARTITION BY number ORDER BY o.duration DESC, cut_id) AS i FROM o JOIN f USING (lane, k)),
+g AS (SELECT batch_id, i, 1 AS grp, 0.0::DOUBLE AS offs, [d] AS ends FROM b WHERE i = 1
+  UNION ALL SELECT batch_id, i, coalesce(hit, len(ends) + 1), CASE WHEN hit IS NULL THEN 0.0 ELSE ends[hit] + 1.0 END,
+    CASE WHEN hit IS NULL THEN list_append(ends, d) ELSE list_concat(list_append(list_slice(ends, 1, hit - 1), ends[hit] + 1.0 + d), list_slice(ends, hit + 1, len(ends))) END
+  FROM (SELECT b.batch_id, b.i, b.d, g.ends, list_position(list_transform(g.ends, lambda e: e + 1.0 + b.d <= b.room + 1e-9), true) AS hit FROM g JOIN b ON b.batch_id = g.batch_id AND b.i = g.i + 1))
+SELECT batch_id, cut_id, CAST(grp - 1 AS BIGINT) AS "group", round(offs, 6) AS "offset" FROM g JOIN b USING (batch_id, i)""", "recordings")
 def concat_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.concat_plan(cuts(spark, sf_dir))
+    """Batches of at most 100 pooled seconds, each packed."""
+    batches = B.simple_batches(cuts(spark, sf_dir).drop("batch_id"), 100.0, ["cut_id"])
+    return B.concat_plan(batches).withColumn("offset", F.round("offset", 6))
 
 
 @query()
 def span_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cut, in batches of like length; without a length it counts as empty."""
+    """Every cut, in batches of like length; without a length it counts as empty. Planned on every second frame and filled up to each batch's largest count, a tenth dropped."""
     c = cuts(spark, sf_dir).drop("batch_id").withColumns({x: F.coalesce(x, F.lit(0).cast(t)) for x, t in (("duration", "double"), ("num_frames", "long"))})
-    m = B.span_masks(B.bucket_batches(c, drop_last=False))
-    return m.select("cut_id", "batch_id", F.size("masked").cast("long").alias("n"), F.array_join("masked", " ").alias("masked"))
+    m = B.span_masks(B.bucket_batches(c, drop_last=False), add=True, dropout=0.1, rate=2)
+    runs = F.zip_with("starts", "lengths", lambda s, n: F.concat_ws("+", s.cast("string"), n.cast("string")))
+    return m.select("cut_id", "batch_id", F.col("n_masked").alias("n"), F.array_join(runs, " ").alias("masked"))
 
 
 @query(f"""WITH {CUTS}, s AS (SELECT cut_id, axis, i, least(most, CASE WHEN axis = 'time' THEN num_frames ELSE 80 END) AS most, CASE WHEN axis = 'time' THEN num_frames ELSE 80 END AS whole

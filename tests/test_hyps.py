@@ -140,7 +140,9 @@ def test_null_durations_and_ties(spark):
 def test_edge_padding_and_padding_mask(spark):
     df = spark.createDataFrame([("b", "x", 2, [[1.0], [2.0]], [1, 2, 3, 4]), ("b", "y", 4, [[3.0]] * 4, list(range(8)))], "batch_id string, cut_id string, num_frames long, feats array<array<double>>, labels array<int>")
     got = {r["cut_id"]: r for r in B.collate(df, pad=True, edge=True).collect()}
-    assert got["x"]["feats"] == [[1.0], [2.0], [2.0], [2.0]] and got["x"]["mask"] == [False, False, True, True]
+    assert got["x"]["feats"] == [[1.0], [1.0], [2.0], [2.0]] and got["x"]["mask"] == [False] * 4  # half before, half behind
+    odd = spark.createDataFrame([([1, 2], 7), ([5], 4), ([], 3), (None, 3), ([1, 2, 3], 2)], "v array<int>, n long")
+    assert [r[0] for r in odd.select(B.pad_edges(F.col("v"), F.col("n"))).collect()] == [[1, 1, 1, 2, 2, 2, 2], [5, 5, 5, 5], [], None, [1, 2, 3]]
     got = {r["cut_id"]: r for r in B.resample_labels(df.withColumn("size", F.lit(5)), 2.0, size="size").collect()}
     assert got["x"]["labels"] == [1, 3] and got["x"]["mask"] == [False, False, True, True, True] and got["y"]["mask"] == [False] * 4 + [True]
 
@@ -157,23 +159,88 @@ def test_collate_masks_and_labels(spark):
     assert half["num_frames"] == 12 and half["labels"] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6]
 
 
+def covered(r):
+    return B.positions(r["starts"], r["lengths"]).tolist()
+
+
 def test_span_masks(spark):
     df = spark.createDataFrame([(f"c{i}", "b", 40 + 7 * i) for i in range(8)], "cut_id string, batch_id string, num_frames long")
     for kind, other, apart in (("static", 0, False), ("uniform", 2, False), ("normal", 3, False), ("poisson", 0, False), ("static", 0, True)):
-        rows = B.span_masks(df, 0.4, 6, 2, kind, float(other), apart).collect()
-        assert len({len(r["masked"]) for r in rows}) == 1 and all(r["masked"] == sorted(set(r["masked"])) and (not r["masked"] or r["masked"][-1] < r["num_frames"]) for r in rows)
-    again = [r["masked"] for r in B.span_masks(df).orderBy("cut_id").collect()]
-    assert again == [r["masked"] for r in B.span_masks(df.repartition(3)).orderBy("cut_id").collect()]
+        alone = {r["cut_id"]: covered(r) for r in B.span_masks(df.drop("batch_id"), 0.4, 6, 2, kind, float(other), apart).collect()}
+        counts = [len(v) for v in alone.values()]
+        for add in (False, True):
+            rows = B.span_masks(df, 0.4, 6, 2, kind, float(other), apart, add=add).collect()
+            target = max(counts) if add else min(counts)
+            for r in rows:
+                own = covered(r)
+                assert own == sorted(set(own)) and (not own or 0 <= own[0] and own[-1] < r["num_frames"])
+                assert len(own) == r["n_masked"] == min(target, r["num_frames"])  # thinned, or filled up, at random
+                assert set(own) >= set(alone[r["cut_id"]]) if add else set(own) <= set(alone[r["cut_id"]])
+                assert all(n > 0 for n in r["lengths"]) and all(a + n < b for a, n, b in zip(r["starts"], r["lengths"], r["starts"][1:]))  # runs are as long as can be
+    again = [covered(r) for r in B.span_masks(df).orderBy("cut_id").collect()]
+    assert again == [covered(r) for r in B.span_masks(df.repartition(3)).orderBy("cut_id").collect()]
     plan = B.specaug_plan(df).collect()
     assert all(0 <= r["start"] and r["start"] + r["length"] <= (80 if r["axis"] == "freq" else 100) for r in plan)
 
 
+def test_span_masks_drop_out_and_compressed_time(spark):
+    df = spark.createDataFrame([("a", "b", 101), ("c", "b", 62), ("d", "b", None), ("e", "e", 1)], "cut_id string, batch_id string, num_frames long")
+    plain = {r["cut_id"]: r for r in B.span_masks(df, 0.5, 5).collect()}
+    assert plain["d"]["n_masked"] == 0  # which empties its batch, as the fewest
+    df = df.where("num_frames > 1")
+    plain, holes = ({r["cut_id"]: covered(r) for r in B.span_masks(df, 0.5, 5, dropout=d).collect()} for d in (0.0, 0.3))
+    assert all(set(holes[k]) < set(plain[k]) and len(holes[k]) == len(plain[k]) - round(len(plain[k]) * 0.3) for k in plain)
+    third = df.withColumn("num_frames", F.ceil(F.col("num_frames") / 3).cast("long"))
+    slow = {r["cut_id"]: covered(r) for r in B.span_masks(third, 0.5, 5, dropout=0.3).collect()}
+    fast = {r["cut_id"]: r for r in B.span_masks(df, 0.5, 5, dropout=0.3, rate=3).collect()}
+    for k, r in fast.items():  # the same plan on every third frame, each position three frames wide
+        assert covered(r) == [x for m in slow[k] for x in range(3 * m, 3 * m + 3) if x < r["num_frames"]]
+    assert B.span_masks(df.limit(0)).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 60)), st.integers(0, 70), st.floats(0, 1))
+def test_equalised_marks(marks, target, dropout):
+    got = B.equalised(np.random.default_rng(1), np.array(sorted(marks), np.int64), 61, target, dropout)
+    full = min(61, target)
+    assert len(got) == full - int(np.rint(full * dropout)) and sorted(set(got.tolist())) == got.tolist() and all(0 <= x < 61 for x in got)
+    starts, lengths = B.as_spans(got)
+    assert B.positions(starts, lengths).tolist() == got.tolist()
+
+
+def test_shrunk_masks(spark):
+    rows = [([True] * 7 + [False] * 3, 3), ([False, True] * 5, 2), ([True, True, True, False, True, True, True], 2), ([True], 3), ([], 2), ([True], 0), (None, 2)]
+    df = spark.createDataFrame(rows, "m array<boolean>, n int")
+
+    def rule(m, n):
+        if m is None or n == 0:
+            return None if m is None else []
+        m = m[: len(m) - len(m) % n]
+        return [all(m[i * (len(m) // n) : (i + 1) * (len(m) // n)]) for i in range(n)]
+
+    assert [r[0] for r in df.select(B.shrink_mask(F.col("m"), F.col("n"))).collect()] == [rule(m, n) for m, n in rows]
+
+
 def test_concat_plan(spark):
     df = spark.createDataFrame([("b", "l", 10.0), ("b", "m", 5.0), ("b", "s", 4.0), ("b", "t", 4.0)], "batch_id string, cut_id string, duration double")
     got = {r["cut_id"]: (r["group"], r["offset"]) for r in B.concat_plan(df, 1.0, 1.0).collect()}
     assert got == {"l": (0, 0.0), "m": (1, 0.0), "s": (1, 6.0), "t": (2, 0.0)}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=40), st.sampled_from([1.0, 1.7, 3.0]))
+def test_first_fit_equals_trying_each_group(durations, factor):
+    durations = sorted((d / 4 for d in durations), reverse=True)
+    room, ends, tree = factor * durations[0], [], B.FirstFit(len(durations))
+    for d in durations:
+        fits = lambda e, d=d: e + 1.0 + d <= room + 1e-9
+        want = next((i for i, e in enumerate(ends) if fits(e)), None)
+        assert tree.first(fits) == want
+        end = d if want is None else ends[want] + 1.0 + d
+        ends[len(ends) if want is None else want : len(ends) if want is None else want + 1] = [end]
+        tree.put(tree.used if want is None else want, end)
+
+
 def test_phrases_longest_first_without_overlap(spark):
     toks = spark.createDataFrame([("u", list("abcabd"), [0.9] * 5 + [0.1], [0, 0, 3, 0, 0, 0])], "utt_id string, ys array<string>, probs array<double>, trailing array<int>")
     ph = spark.createDataFrame([("ab", ["a", "b"]), ("abc", ["a", "b", "c"]), ("bd", ["b", "d"])], "phrase string, tokens array<string>")
@@ -291,4 +358,4 @@ def test_span_masks_query_keeps_every_document(spark, tmp_path):
     got = plans.span_masks(spark, str(tmp_path)).collect()
     assert len(got) == len(rows) and len({r["cut_id"] for r in got}) == len(rows)
     kept = {int(r["cut_id"].split("-")[1]): r["n"] for r in got}
-    assert all(kept[i] == 0 for i in range(3)) and sum(kept[i] > 100 for i in range(8, len(rows))) > 150  # one short row does not empty the long ones
+    assert all(kept[i] == 0 for i in range(2)) and sum(kept[i] > 100 for i in range(8, len(rows))) > 150  # one short row does not empty the long ones
