@@ -10,7 +10,8 @@ from speechtab.operators import cluster as K
 from speechtab.operators import hyps as H
 from speechtab.plans import fixtures as V
 from speechtab.plans.fixtures import sql
-from speechtab.session import checkpointed
+from speechtab.session import checkpointed, shared_path
+from speechtab.sources import manifests as M
 
 Q: dict = {}
 
@@ -154,6 +155,22 @@ def word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.word_errors(H.align(V.pairs(spark, sf_dir)))
 
 
+@query(f"""{PAIRED}, {STEPPED}, n AS (SELECT id.s AS setting, count(*) FILTER (e = 'K') AS k, count(*) FILTER (e = 'S') AS s, count(*) FILTER (e = 'D') AS d, count(*) FILTER (e = 'I') AS i FROM step GROUP BY ALL),
+v AS (SELECT *, CAST(round(100 * (s + d + i) / (k + s + d), 4) AS VARCHAR) AS wer FROM n),
+x AS (SELECT id.s AS setting, e, x, y, count(*) AS c FROM step WHERE e <> 'K' GROUP BY ALL)
+SELECT '' AS setting, 'settings' || chr(9) || 'WER' AS value UNION ALL SELECT '', setting || chr(9) || wer FROM v
+UNION ALL SELECT setting, '%WER = ' || wer FROM v
+UNION ALL SELECT setting, 'Errors: ' || i || ' insertions, ' || d || ' deletions, ' || s || ' substitutions, over ' || (k + s + d) || ' reference words (' || k || ' correct)' FROM v
+UNION ALL SELECT path.id.s, path.id.u || ':' || chr(9) || coalesce(string_agg(CASE WHEN e = 'K' THEN x ELSE '(' || coalesce(x, '*') || '->' || coalesce(y, '*') || ')' END, ' ' ORDER BY p), '') FROM path LEFT JOIN step USING (id) GROUP BY path.id
+UNION ALL SELECT setting, c || ' ' || CASE WHEN e = 'S' THEN x || ' -> ' || y ELSE coalesce(x, y) END FROM x
+UNION ALL SELECT id.s, concat_ws(chr(9), coalesce(x, y), count(*) FILTER (e = 'K'), count(*) FILTER (e = 'S'), count(*) FILTER (e = 'D'), count(*) FILTER (e = 'I')) FROM step GROUP BY id.s, coalesce(x, y)""", "pairs")
+def result_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error reports of every setting and the summary (setting ''), written and read back."""
+    path = shared_path(spark, "reports")
+    M.write_results(V.pairs(spark, sf_dir), path)
+    return spark.read.text(f"{path}/errs").select(F.col("setting").cast("string").alias("setting"), "value").unionByName(spark.read.text(f"{path}/wer-summary").select(F.lit("").alias("setting"), "value"))
+
+
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = V.recordings(spark, sf_dir)
     return r.select(F.col("recording_id").alias("cut_id"), "duration", "num_frames", F.concat(F.lit("b"), (F.col("doc_id") % 97).cast("string")).alias("batch_id"))

@@ -191,7 +191,7 @@ SCORED = """z AS (SELECT q.*, coalesce(CASE WHEN a IS NOT NULL THEN tri.p END, C
   FROM q LEFT JOIN tri ON tri.h = a || ' ' || q.h AND tri.w = q.w LEFT JOIN bi bh ON bh.h = a AND bh.w = q.h LEFT JOIN bi ON bi.h = q.h AND bi.w = q.w LEFT JOIN u AS hu ON hu.w = q.h LEFT JOIN u ON u.w = q.w)"""
 
 
-@query(f"""WITH {grams_sql(3)}, {LG}, {BENCH}, q AS (SELECT DISTINCT words[i] AS a, words[i + 1] AS h, words[i + 2] AS w FROM (SELECT words, unnest(range(1, len(words) - 1)) AS i FROM bench)), {SCORED}
+@query(f"""WITH {grams_sql(3)}, {BENCH}, need AS MATERIALIZED (SELECT DISTINCT unnest(words) AS w FROM bench), {LG.replace("FROM bo)", "FROM bo SEMI JOIN need USING (w))")}, q AS MATERIALIZED (SELECT DISTINCT words[i] AS a, words[i + 1] AS h, words[i + 2] AS w FROM (SELECT words, unnest(range(1, len(words) - 1)) AS i FROM bench)), {SCORED}
 SELECT a, h, w, round(s, 6) AS log_p FROM z""", "lines")
 def lm_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct word triples of the benchmark texts under the corpus model."""
@@ -218,7 +218,32 @@ def lm_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lm_joint(h, m, ORDER).select(F.array_join("hist", " ").alias("hist"), F.round("log_joint", 6).alias("log_joint"))
 
 
-@query()
+def _lg(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN log10({x}) END"
+
+
+def _dropped(rows: str) -> str:
+    """Rows (h, w, p, low, bow, lj) of one order with what their removal costs."""
+    return f"""(SELECT *, -pow(10, lj) * (pow(10, p) * (low + ne - p) + num * (ne - coalesce(bow, 0))) AS delta FROM (SELECT *, {_lg("num + pow(10, p)")} - {_lg("den + pow(10, low)")} AS ne FROM (
+  SELECT *, 1 - sum(pow(10, p)) OVER (PARTITION BY h) AS num, 1 - sum(pow(10, low)) OVER (PARTITION BY h) AS den FROM ({rows}))))"""
+
+
+#: One order at a time, each a table: trigrams, then bigrams that are no live histories, then back-off weights from low to high.
+PRUNED = f"""e AS (SELECT p FROM u WHERE w = '</s>'),
+r3 AS MATERIALIZED (SELECT tri.h, tri.w, tri.p, bi.p AS low, hb.b AS bow, CASE WHEN hb.h = '<s>' THEN (SELECT p FROM e) ELSE hu.p END + hb.p AS lj
+  FROM tri JOIN bi hb ON hb.g = tri.h LEFT JOIN u hu ON hu.w = hb.h JOIN bi ON bi.h = hb.w AND bi.w = tri.w),
+k3 AS MATERIALIZED (SELECT h, w, p FROM {_dropped("SELECT * FROM r3")} WHERE NOT coalesce(pow(10, delta) - 1 < 1e-7, false)),
+r2 AS MATERIALIZED (SELECT bi.h, bi.w, bi.g, bi.p, u.p AS low, hu.b AS bow, hu.p AS lj FROM bi JOIN u ON u.w = bi.w JOIN u hu ON hu.w = bi.h),
+k2 AS MATERIALIZED (SELECT h, w, g, p FROM {_dropped("SELECT * FROM r2")} WHERE NOT coalesce(pow(10, delta) - 1 < 1e-7, false) OR g IN (SELECT h FROM k3)),
+b1 AS MATERIALIZED (SELECT k2.h, 1 - sum(pow(10, k2.p)) AS num, 1 - sum(pow(10, u.p)) AS den FROM k2 JOIN u ON u.w = k2.w GROUP BY k2.h),
+k1 AS MATERIALIZED (SELECT u.w, u.p, {_lg("num")} - {_lg("den")} AS b FROM u LEFT JOIN b1 ON b1.h = u.w),
+b2 AS MATERIALIZED (SELECT k3.h, 1 - sum(pow(10, k3.p)) AS num, 1 - sum(pow(10, coalesce(k2.p, coalesce(hu.b, 0) + u.p))) AS den
+  FROM k3 LEFT JOIN k2 ON k2.h = split_part(k3.h, ' ', 2) AND k2.w = k3.w JOIN k1 u ON u.w = k3.w JOIN k1 hu ON hu.w = split_part(k3.h, ' ', 2) GROUP BY k3.h)"""
+
+
+@query(f"""WITH {grams_sql(3)}, {LG}, {PRUNED}
+SELECT 1 AS n, '' AS hist, w, round(p, 6) AS log_p, round(b, 6) AS log_bo FROM k1 UNION ALL
+SELECT 2, k2.h, k2.w, round(p, 6), round({_lg("num")} - {_lg("den")}, 6) FROM k2 LEFT JOIN b2 ON b2.h = k2.g UNION ALL SELECT 3, h, w, round(p, 6), NULL FROM k3""", "lines")
 def prune_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = L.prune_lm(model(spark, sf_dir), ORDER, 1e-7)
     return p.select("n", F.array_join("hist", " ").alias("hist"), "w", F.round("log_p", 6).alias("log_p"), F.round("log_bo", 6).alias("log_bo"))
@@ -234,9 +259,12 @@ def validate_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.array_join("hist", " ").alias("hist"), F.round("total", 6).alias("total"), "ok")
 
 
-@query()
+@query(f"WITH {grams_sql(3)}, {LG} SELECT n, hist, w, round(greatest(p, -99), 7) AS log_p, round(greatest(b, -99), 7) AS log_bo FROM lg", "lines")
 def arpa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus model written as ARPA lines and parsed again."""
-    from speechtab.sources.arpa import arpa_lines, parse_arpa
+    """The corpus model written as an ARPA file and read again: seven decimals are kept."""
+    from speechtab.session import shared_path
+    from speechtab.sources.arpa import read_arpa, write_arpa
 
-    return parse_arpa(arpa_lines(model(spark, sf_dir)).select("value")).withColumn("hist", F.array_join("hist", " "))
+    path = shared_path(spark, "arpa")
+    write_arpa(model(spark, sf_dir), path)
+    return read_arpa(spark, path).select("n", F.array_join("hist", " ").alias("hist"), "w", F.round("log_p", 7).alias("log_p"), F.round("log_bo", 7).alias("log_bo"))

@@ -133,10 +133,38 @@ def write_lexicon(lexicon: DataFrame, path: str) -> None:
     lexicon.orderBy("ord").select(F.concat_ws(" ", "word", F.array_join("tokens", " "))).write.text(path)
 
 
+def error_report(aligned: DataFrame) -> DataFrame:
+    """setting, section, place, value: the lines of each setting's error report from ``hyps.align``'s rows.
+
+    Section 0 is the head, 1 each cut's aligned pairs by cut id (``(ref->hyp)`` where they differ, ``*`` for none), 2 substitutions, 3 deletions and 4 insertions by falling count, 5 each
+    word's counts by falling errors. ``place`` orders a section's lines.
+    """
+    from speechtab.operators import hyps
+
+    pair = F.arrays_zip(F.col("ref_words").alias("r"), F.col("hyp_words").alias("h"))
+    shown = lambda p: F.when(p["r"].eqNullSafe(p["h"]), p["r"]).otherwise(F.concat(F.lit("("), F.coalesce(p["r"], F.lit("*")), F.lit("->"), F.coalesce(p["h"], F.lit("*")), F.lit(")")))
+    line = lambda rows, section, place, value: rows.select("setting", F.lit(section).alias("section"), place.alias("place"), value.alias("value"))
+    total = hyps.wer(aligned).select("setting", F.round("wer", 4).cast("string").alias("wer"))
+    kinds = aligned.groupBy("setting").agg(*[F.sum(c).alias(c) for c in ("inserted", "deleted", "substituted", "n_ref", "correct")]).join(total, "setting")
+    first = F.concat(F.lit("%WER = "), F.coalesce("wer", F.lit("-")))
+    second = F.format_string("Errors: %d insertions, %d deletions, %d substitutions, over %d reference words (%d correct)", "inserted", "deleted", "substituted", "n_ref", "correct")
+    heads = line(kinds, 0, F.lit("0"), first).unionByName(line(kinds, 0, F.lit("1"), second))
+    cuts = line(aligned, 1, F.coalesce("cut_id", F.lit("")), F.concat(F.coalesce("cut_id", F.lit("")), F.lit(":\t"), F.array_join(F.transform(pair, shown), " ")))
+    errors = aligned.select("setting", F.explode(pair).alias("p")).where(~F.col("p.r").eqNullSafe(F.col("p.h"))).groupBy("setting", "p").agg(F.count("*").alias("n"))
+    falling = lambda n, text: F.concat(F.lpad((F.lit(10**15) - n).cast("string"), 16, "0"), F.lit(" "), text)
+    kind = F.when(F.col("p.h").isNull(), 3).when(F.col("p.r").isNull(), 4).otherwise(2)
+    text = F.when(kind == 2, F.concat_ws(" -> ", "p.r", "p.h")).otherwise(F.coalesce("p.r", "p.h"))
+    listed = errors.select("setting", kind.alias("section"), falling(F.col("n"), text).alias("place"), F.concat(F.col("n").cast("string"), F.lit(" "), text).alias("value"))
+    bad = F.col("substituted") + F.col("deleted") + F.col("inserted")
+    words = hyps.word_errors(aligned)
+    words = line(words, 5, falling(bad, F.col("word")), F.concat_ws("\t", "word", *[F.col(c).cast("string") for c in ("correct", "substituted", "deleted", "inserted")]))
+    return heads.unionByName(cuts).unionByName(listed).unionByName(words)
+
+
 def write_results(results: DataFrame, path: str) -> None:
-    """recogs (ref and hyp lines by cut id), error counts and a WER summary (tab separated), per setting.
+    """For each setting its recogs (ref and hyp lines by cut id) and error report, and a summary: ``settings<TAB>WER``, then the settings from best to worst.
 
-    Lines of a setting are range-sorted over as many files as they need; file names keep the order.
+    ``recogs`` and ``errs`` have a folder per setting (``setting=...``); their lines are range-sorted over as many files as they need, and file names keep the order.
     """
     from speechtab.operators import hyps
     from speechtab.session import checkpointed
@@ -144,8 +172,10 @@ def write_results(results: DataFrame, path: str) -> None:
     lines = F.explode(F.array(F.concat_ws("", "cut_id", F.lit(":\tref="), F.to_json("ref")), F.concat_ws("", "cut_id", F.lit(":\thyp="), F.to_json("hyp"))))
     results.select("setting", "cut_id", lines.alias("value")).orderBy("setting", "cut_id", F.desc("value")).select("setting", "value").write.partitionBy("setting").text(f"{path}/recogs")
     aligned = checkpointed(hyps.align(results))
-    hyps.wer(aligned).select(F.concat_ws("\t", "setting", F.round("wer", 4).cast("string"))).coalesce(1).write.text(f"{path}/wer-summary")  # a row per setting
-    hyps.word_errors(aligned).select(F.concat_ws("\t", "setting", "word", *[F.col(c).cast("string") for c in ("correct", "substituted", "deleted", "inserted")]).alias("value")).write.text(f"{path}/errs")
+    error_report(aligned).orderBy("setting", "section", "place").select("setting", "value").write.partitionBy("setting").text(f"{path}/errs")
+    best = hyps.wer(aligned).select(F.lit(1).alias("k"), "wer", "setting", F.concat_ws("\t", "setting", F.coalesce(F.round("wer", 4).cast("string"), F.lit("-"))).alias("value"))
+    head = results.sparkSession.createDataFrame([(0, None, None, "settings\tWER")], best.schema)
+    head.unionByName(best).coalesce(1).sortWithinPartitions("k", "wer", "setting").select("value").write.text(f"{path}/wer-summary")  # a row per setting
 
 
 def write_named_shards(df: DataFrame, root: str, pool: str = "pool", shard: str = "shard", suffix: str = "") -> None:

@@ -141,7 +141,14 @@ def test_symbols_lexicon_and_results(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "lex")).first()[0] == "w x y"
     res = spark.createDataFrame([("s1", "c1", ["a", "b"], ["a", "c"]), ("s2", "c1", ["a", "b"], ["a", "b"])], "setting string, cut_id string, ref array<string>, hyp array<string>")
     M.write_results(res, str(tmp_path / "res"))
-    assert [r[0] for r in spark.read.text(str(tmp_path / "res/wer-summary")).collect()] == ["s2\t0.0", "s1\t50.0"]
+    assert [r[0] for r in spark.read.text(str(tmp_path / "res/wer-summary")).collect()] == ["settings\tWER", "s2\t0.0", "s1\t50.0"]
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "res/errs/setting=s1")).collect()]
+    assert lines == ["%WER = 50.0", "Errors: 0 insertions, 0 deletions, 1 substitutions, over 2 reference words (1 correct)", "c1:\ta (b->c)", "1 b -> c", "b\t0\t1\t0\t0", "a\t1\t0\t0\t0"]
+    odd = spark.createDataFrame([("s", "2", ["x"], None), ("s", "1", None, ["y", "y"]), ("t", "1", None, None)], "setting string, cut_id string, ref array<string>, hyp array<string>")
+    M.write_results(odd, str(tmp_path / "odd"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "odd/errs/setting=s")).collect()]
+    assert lines[2:] == ["1:\t(*->y) (*->y)", "2:\t(x->*)", "1 x", "2 y", "y\t0\t0\t0\t2", "x\t0\t0\t1\t0"]
+    assert [r[0] for r in spark.read.text(str(tmp_path / "odd/wer-summary")).collect()] == ["settings\tWER", "t\t-", "s\t300.0"]
     assert spark.read.text(str(tmp_path / "res/recogs/setting=s1")).count() == 2
 
 
