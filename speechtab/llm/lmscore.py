@@ -11,8 +11,10 @@ that labelled and other documents are scored alike. The score is the mean over t
 How it runs. Documents are packed into groups of about ``GROUP`` tokens (token numbers and a word list), staged
 as rows. Each group sends its distinct words and bigrams, as sorted 64-bit ids cut into hash ranges, to the range's
 task; ranges are as many as keep one at about ``RANGE_IDS`` ids. The task sums counts over groups and
-sends each group the totals of its own ids, in its own order, so ids travel once and totals (mostly 0 and 1) take
-next to no space. A frequent word or bigram is one id a group, so no task is hot. Nothing is collected or broadcast.
+sends each group the totals of its own ids, in its own order, so totals (mostly 0 and 1) take next to no space. A group is cut into at most ``FAN_OUT`` parts; where there are more
+ranges, the parts of many groups in one coarse range are merged into runs of about ``RANGE_IDS`` ids first, and the runs are cut again, level by level. So each row
+holds thousands of ids and the number of rows grows with the tokens, not with groups x ranges; totals come back the same way.
+A frequent word or bigram is one id a group, so no task is hot. Nothing is collected or broadcast.
 
 A document starts from a start mark as history. Null and empty texts have no tokens and null losses and score.
 Without target documents the target model is uniform. Repeated rows and ids are documents each by itself (copies leave
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from speechtab.llm.common import U64, mix, release, small, stage, words
 
 MU = 2.0
-GROUP, RANGE_IDS = 1 << 20, 2_000_000
+GROUP, RANGE_IDS, FAN_OUT = 1 << 20, 2_000_000, 256
 BROADCAST_IDS = 5_000_000
 WORD, BIGRAM = 0, 1
 DOC = "key long, doc_id long, n long, target boolean, background boolean, before long"
@@ -188,11 +190,72 @@ def _totals(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kind": part["kind"].iloc[0], "range": part["range"].iloc[0], **out})
 
 
-def totals(groups: DataFrame, ids: int, range_ids: int = RANGE_IDS) -> DataFrame:
-    """kind, range, group, distinct, background, target: the totals that come back to each group. ``ids``: about how many there are."""
+RUNS = "kind long, range long, block long, group long, ids binary, background binary, target binary"
+
+
+def _merge(part: pd.DataFrame) -> pd.DataFrame:
+    """A coarse range's parts of some groups as one run: a row of group -1 has all their ids and summed counts, a row of each group the places of its ids in the run."""
+    part = part.sort_values("group")
+    ids = [unpack(x, np.uint64) for x in part["ids"]]
+    every, at = np.unique(np.concatenate(ids), return_inverse=True)
+    ends = np.cumsum([len(x) for x in ids])
+    sums = [pack(np.bincount(at, np.concatenate([unpack(x, np.uint64) for x in part[c]]), len(every)).astype(np.uint64)) for c in ("background", "target")]
+    places = [pack(x) for x in np.split(at.astype(np.uint32), ends[:-1])]
+    none = [b""] * len(part)
+    release()
+    return pd.DataFrame({"kind": part["kind"].iloc[0], "range": part["range"].iloc[0], "block": part["block"].iloc[0], "group": [-1, *part["group"]], "ids": [pack(every), *places], "background": [sums[0], *none], "target": [sums[1], *none]})
+
+
+def _cut_again(runs: DataFrame, children: int, divisions: int) -> DataFrame:
+    """Runs cut into the ``children`` finer ranges of theirs (of ``divisions`` in all): kind, range, group (the run's block), ids, background, target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                ids, *counts = (unpack(row[c], np.uint64) for c in ("ids", "background", "target"))
+                first = row["range"] * children
+                edges = np.array([-(-(k << 64) // divisions) for k in range(first + 1, first + children)], dtype=np.uint64)
+                cut = np.concatenate([[0], np.searchsorted(ids, edges), [len(ids)]])
+                own = [r for r in range(children) if cut[r] < cut[r + 1]]
+                packed = [pa.array([pack(x[cut[r] : cut[r + 1]]) for r in own], pa.binary()) for x in (ids, *counts)]
+                longs = [pa.array(x, pa.int64()) for x in ([row["kind"]] * len(own), [first + r for r in own], [row["block"]] * len(own))]
+                yield pa.RecordBatch.from_arrays([*longs, *packed], ["kind", "range", "group", "ids", "background", "target"])
+        release()
+
+    return runs.select("kind", "range", "block", "ids", "background", "target").mapInArrow(run, "kind long, range long, group long, ids binary, background binary, target binary")
+
+
+TOTALS = "kind long, range long, group long, distinct long, background binary, target binary"
+
+
+def _hand_back(places: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+    """The totals of a run, from those of its finer ranges, to each group that it was merged of."""
+    parts = parts.sort_values("range")
+    whole = [np.concatenate([unpack(x, np.uint64) for x in parts[c]]) for c in ("background", "target")]
+    back = [[pack(t[unpack(x, np.uint32)]) for x in places["ids"]] for t in whole]
+    release()
+    return pd.DataFrame({"kind": places["kind"], "range": places["range"], "group": places["group"], "distinct": 0, "background": back[0], "target": back[1]})
+
+
+def _summed(sent: DataFrame, ids: int, ranges: int, divisions: int, range_ids: int, fan_out: int) -> DataFrame:
+    """``TOTALS`` of the parts ``sent`` to ``divisions`` ranges: at once where these are as many as needed, else by way of merged runs."""
+    if divisions >= ranges:
+        return sent.repartition(2 * divisions, "kind", "range").groupBy("kind", "range").applyInPandas(_totals, TOTALS)
+    blocks = max(1, -(-ids // (divisions * range_ids)))
+    keyed = sent.withColumn("block", F.pmod(F.xxhash64("group"), F.lit(blocks)).cast("long"))
+    merged = stage(keyed.repartition(2 * divisions * blocks, "kind", "range", "block").groupBy("kind", "range", "block").applyInPandas(_merge, RUNS), "lm-runs")
+    children = min(fan_out, -(-ranges // divisions))
+    finer = stage(_summed(_cut_again(merged.where("group = -1"), children, divisions * children), ids, ranges, divisions * children, range_ids, fan_out), "lm-finer")
+    parts = finer.where("group >= 0").select("kind", F.floor(F.col("range") / children).cast("long").alias("above"), F.col("group").alias("block"), "range", "background", "target")
+    back = merged.where("group >= 0").groupBy("kind", "range", "block").cogroup(parts.groupBy("kind", "above", "block")).applyInPandas(_hand_back, TOTALS)
+    return back.unionByName(finer.where("group = -1"))
+
+
+def totals(groups: DataFrame, ids: int, range_ids: int = RANGE_IDS, fan_out: int = FAN_OUT) -> DataFrame:
+    """``TOTALS``: the totals that come back to each group, and rows of group -1 with the distinct ids of each finest range. ``ids``: about how many there are."""
     ranges = max(1, -(-ids // range_ids))
-    sent = shares(groups, ranges).repartition(2 * ranges, "kind", "range")
-    return sent.groupBy("kind", "range").applyInPandas(_totals, "kind long, range long, group long, distinct long, background binary, target binary")
+    first = min(ranges, fan_out)
+    return _summed(shares(groups, first), ids, ranges, first, range_ids, fan_out)
 
 
 # ---------------------------------------------------------------- scores
@@ -215,7 +278,7 @@ def losses(t: Tokens, totals_: list[list[np.ndarray]], tokens: list[int], texts:
     return out
 
 
-def score(docs: DataFrame, group_tokens: int = GROUP, range_ids: int = RANGE_IDS) -> DataFrame:
+def score(docs: DataFrame, group_tokens: int = GROUP, range_ids: int = RANGE_IDS, fan_out: int = FAN_OUT) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (bits a token) of ``docs`` (doc_id, text, target, background).
 
     The flags tell which models count a document; one in neither is only scored.
@@ -226,7 +289,7 @@ def score(docs: DataFrame, group_tokens: int = GROUP, range_ids: int = RANGE_IDS
     begins = (d["n"] > 0).cast("int") * (d["before"] == 0).cast("int")
     sums = groups.select(F.explode("docs").alias("d")).agg(F.coalesce(F.sum(d["n"]), F.lit(0)), *[held(f, x) for x in (d["n"], begins) for f in ("background", "target")]).first()
     tokens, texts = list(sums[1:3]), list(sums[3:5])
-    found = stage(totals(groups, sums[0], range_ids), "lm-totals")
+    found = stage(totals(groups, sums[0], range_ids, fan_out), "lm-totals")
     width = found.where(f"group = -1 and kind = {WORD}").agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
     back = found.where("group >= 0").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("kind", "range", "background", "target"))).alias("found"))
 

@@ -54,15 +54,15 @@ def test_equals_brute_force(spark):
         equal(got[i], want)
 
 
-@pytest.mark.parametrize("group, ranges", [(40, 30), (1 << 20, 2_000_000)])
-def test_any_grouping_gives_the_same(spark, group, ranges):
-    """Many small groups and ranges, long texts in pieces (their own counts are left out piece by piece, so here they are in no model)."""
+@pytest.mark.parametrize("group, ranges, fan_out", [(40, 30, 256), (40, 30, 3), (1 << 20, 2_000_000, 256)])
+def test_any_grouping_gives_the_same(spark, group, ranges, fan_out):
+    """By one level of ranges and by several; many small groups and ranges, long texts in pieces (their own counts are left out piece by piece, so here they are in no model)."""
     rng = random.Random(3)
     rows = [(i, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(30))), i % 5 == 0, True) for i in range(120)]
     rows += [(500, " ".join(f"w{rng.randrange(60)}" for _ in range(500)), False, False), (501, rows[3][1], False, True), (501, rows[3][1], False, True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean, background boolean").repartition(3)
     assert (lmscore.grouped(docs, group).count() > 30) == (group == 40)
-    got = sorted(lmscore.score(docs, group, ranges).collect(), key=lambda r: (r["doc_id"], r["n_tokens"]))
+    got = sorted(lmscore.score(docs, group, ranges, fan_out).collect(), key=lambda r: (r["doc_id"], r["n_tokens"]))
     assert len(got) == len(rows)
     for r, want in zip(got, brute([x[1:] for x in rows])):
         equal(r, want)
@@ -121,3 +121,29 @@ def test_words_of_long_texts_in_pieces():
 def test_packed_arrays():
     for x in (np.zeros(0, np.uint64), np.array([0, 1, 2**64 - 1], np.uint64), np.arange(5, dtype=np.uint32)):
         assert (lmscore.unpack(lmscore.pack(x), x.dtype.type) == x).all()
+
+
+def test_rows_grow_with_the_tokens_and_not_with_groups_times_ranges(spark, monkeypatch):
+    """Ids of a row stay, as the table grows: each level sends at most ``fan_out`` rows a run, and a run holds a range's worth of ids."""
+    sent = {}
+
+    def counted(df, name, plain=lmscore.stage):
+        out = plain(df, name)
+        if name == "lm-runs":
+            sent["runs"] = sent.get("runs", 0) + out.where("group = -1").count()
+            sent["rows"] = sent.get("rows", 0) + out.where("group >= 0").count()
+            sent["levels"] = sent.get("levels", 0) + 1
+        return out
+
+    monkeypatch.setattr(lmscore, "stage", counted)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(100_000)]
+    seen = []
+    for n in (60, 240):
+        docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(100)), i % 5 == 0, True) for i in range(n)], "doc_id long, text string, target boolean, background boolean").repartition(4)
+        sent.clear()
+        assert lmscore.score(docs, 400, 500, 4).where("score is not null").count() == n
+        seen.append(dict(sent))
+    few, many = ({k: v[k] / v["levels"] for k in ("rows", "runs")} for v in seen)
+    assert 2.5 < many["rows"] / few["rows"] < 6 and 2.5 < many["runs"] / few["runs"] < 6  # of a level: four times the tokens, but sixteen times groups x ranges
+    assert seen[1]["levels"] <= seen[0]["levels"] + 1
