@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from speechtab.llm.common import LETTERS, distinct_per_doc, map_rows, release, small, words
 
 DIM, RANK, TRAIN_ROWS, EPOCHS, BATCH = 1 << 17, 8, 20_000, 12, 256
-Z_TOP, Z_LEAST, RATE, UPDATES, PAIR_RATE, PAIR_L2 = 10, 0.01, 0.3, 300, 0.09, 1e-4
+Z_TOP, Z_LEAST, RATE, UPDATES, PAIR_RATE, PAIR_L2 = 10, 0.01, 0.3, 300, 0.03, 1e-4
 THRESHOLD = 0.3
 BROADCAST_IDS = 2_000_000
 
