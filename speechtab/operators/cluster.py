@@ -54,8 +54,10 @@ def frame_features(audio: DataFrame, bins: int = 80) -> DataFrame:
     return audio.select("cut_id", "sampling_rate", "samples").mapInPandas(run, "cut_id string, t int, feat array<float>")
 
 
-def fit_kmeans(frames: DataFrame, k: int = 500, seed: int = 0, max_iter: int = 100) -> tuple[list[list[float]], float]:
-    """Centres (k lists) and inertia per frame: full-batch, k-means|| start, on the executors."""
+def fit_kmeans(frames: DataFrame, k: int = 500, seed: int = 0, max_iter: int = 100, start: list[list[float]] | None = None) -> tuple[list[list[float]], float]:
+    """Centres (k lists) and inertia per frame: full-batch, on the executors; from a k-means|| start, or from the centres ``start`` by ``refine_kmeans``."""
+    if start is not None:
+        return refine_kmeans(frames, start, max_iter)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -64,6 +66,45 @@ def fit_kmeans(frames: DataFrame, k: int = 500, seed: int = 0, max_iter: int = 1
     return [list(map(float, c)) for c in model.clusterCenters()], model.summary.trainingCost / max(1, data.count())
 
 
+def refine_kmeans(frames: DataFrame, centres: list[list[float]], rounds: int) -> tuple[list[list[float]], float]:
+    """Centres after at most ``rounds`` rounds of assignment and means, and the inertia per frame under the last ones; a centre without frames stays.
+
+    A task sends one row per centre it met: sums and counts, which are added up by centre. Null vectors take no part; without frames the inertia is 0.
+    """
+    c, inertia = np.asarray(centres, np.float64), 0.0
+
+    def sums(c: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, count, cost = np.zeros_like(c), np.zeros(len(c), np.int64), 0.0
+            for b in batches:
+                if len(b):
+                    x = np.stack(b["feat"].to_list()).astype(np.float64)
+                    d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+                    label = d.argmin(1)
+                    np.add.at(total, label, x)
+                    count += np.bincount(label, minlength=len(c))
+                    cost += float(np.maximum(d.min(1), 0).sum())
+            met = np.flatnonzero(count)
+            yield pd.DataFrame({"id": met, "n": count[met], "total": list(total[met]), "cost": [cost] + [0.0] * (len(met) - 1) if len(met) else []})
+
+        return run
+
+    rows = frames.select("feat").where("feat is not null")
+    for last in [*[False] * rounds, True]:
+        part = rows.mapInPandas(sums(c), "id int, n long, total array<double>, cost double")
+        whole = part.groupBy("id").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(F.get("total", F.lit(d))).alias(f"t{d}") for d in range(c.shape[1])]).orderBy("id").collect()  # a row a centre
+        inertia = sum(r["cost"] for r in whole) / max(1, sum(r["n"] for r in whole))
+        if last:
+            break
+        moved = c.copy()
+        for r in whole:
+            moved[r["id"]] = [r[f"t{d}"] / r["n"] for d in range(c.shape[1])]
+        if (moved == c).all():
+            break
+        c = moved
+    return [list(map(float, x)) for x in c], inertia
+
+
 def centres_of(table: DataFrame, id_col: str = "id", feat_col: str = "feat") -> list[list[float]]:
     """A bounded centre table as lists, by id."""
     return [list(map(float, r[0])) for r in table.orderBy(id_col).select(feat_col).collect()]

@@ -306,6 +306,24 @@ def fit_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.labels_per_cut(K.assign_kmeans(f, centres))
 
 
+def _round(i: int) -> str:
+    return f"""a{i} AS MATERIALIZED (SELECT cut_id, t, f.feat, arg_min(id, list_sum(list_transform(list_zip(f.feat, c.feat), lambda z: (z[1]::DOUBLE - z[2]) ** 2))) AS label FROM frames f, c{i} c GROUP BY cut_id, t, f.feat),
+m{i} AS (SELECT label AS id, list(x ORDER BY d) AS feat FROM (SELECT label, d, avg(y) AS x FROM (SELECT label, unnest(feat)::DOUBLE AS y, generate_subscripts(feat, 1) AS d FROM a{i}) GROUP BY label, d) GROUP BY label),
+c{i + 1} AS MATERIALIZED (SELECT c.id, coalesce(m.feat, c.feat) AS feat FROM c{i} c LEFT JOIN m{i} m USING (id))"""
+
+
+@query(f"""WITH c0 AS (SELECT label AS id, list_transform(feat, lambda x: x::DOUBLE) AS feat FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM frames) WHERE k = 1), {_round(0)}, {_round(1)}, {_round(2)}
+SELECT id, d AS dim, round(x, 6) AS value FROM (SELECT id, unnest(feat) AS x, generate_subscripts(feat, 1) - 1 AS d FROM c3)""", "frames")
+def refine_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres after three rounds from the first vector of each label."""
+    f = V.frames(spark, sf_dir)
+    fixed = f.groupBy(F.col("label").alias("id")).agg(F.min_by("feat", "vec_id").alias("feat"))
+    ids = [r["id"] for r in fixed.select("id").orderBy("id").collect()]  # one row a label
+    centres, _ = K.fit_kmeans(f.drop("label"), start=K.centres_of(fixed), max_iter=3)
+    rows = spark.createDataFrame(list(zip(ids, centres)), "id int, feat array<double>")
+    return rows.select("id", F.posexplode("feat").alias("dim", "x")).select("id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("value"))
+
+
 @query("""WITH c AS (SELECT label AS id, feat FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM frames) WHERE k = 1),
 d AS (SELECT cut_id, t, id, list_sum(list_transform(list_zip(f.feat, c.feat), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS x FROM frames f, c),
 a AS (SELECT cut_id, t, arg_min(id, x) AS label FROM d GROUP BY cut_id, t) SELECT cut_id, string_agg(label, ' ' ORDER BY t) AS labels FROM a GROUP BY cut_id""", "frames")

@@ -328,6 +328,14 @@ def test_kmeans(spark):
     df = spark.createDataFrame([("c", i, [float(v) for v in r]) for i, r in enumerate(x)], "cut_id string, t int, feat array<float>")
     few, some = (K.fit_kmeans(df, k, seed=1, max_iter=20) for k in (2, 3))
     assert some[1] < few[1]
+    x = x.astype(np.float32).astype(float)  # as the table holds them
+    start, want = [[0.1] * 3, [0.2] * 3, [9.0] * 3, [99.0] * 3], np.array([[0.1] * 3, [0.2] * 3, [9.0] * 3, [99.0] * 3])
+    for _ in range(4):
+        own = ((x[:, None] - want) ** 2).sum(2).argmin(1)
+        want = np.array([x[own == i].mean(0) if (own == i).any() else want[i] for i in range(4)])
+    centres, inertia = K.fit_kmeans(df.repartition(5), start=start, max_iter=4)
+    assert np.allclose(centres, want) and abs(inertia - ((x[:, None] - want) ** 2).sum(2).min(1).mean()) < 1e-9  # the far centre has no frames and stays
+    assert K.fit_kmeans(df.limit(0), start=start, max_iter=4) == (start, 0.0)
     labels = K.labels_per_cut(K.assign_kmeans(df, some[0])).first()["labels"].split()
     assert all(len(set(labels[i : i + 50])) == 1 for i in (0, 50, 100)) and len(set(labels)) == 3
     tie = K.assign_kmeans(df.limit(1), [[1.0, 1.0, 1.0], [1.0, 1.0, 1.0]]).first()["label"]
