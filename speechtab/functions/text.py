@@ -16,12 +16,21 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+#: A character that NFKC may change, alone or with its neighbours: all but ASCII and the accented Latin letters from U+00C0 to U+0131.
+UNSTABLE = r"[^\x00-\x7F\x{00C0}-\x{0131}]"
+
+
+def composed(col: Column) -> Column:
+    """NFKC of a text; only texts with a character that it may change travel to a Python worker, nulls stand for the others there."""
+    return F.coalesce(nfkc(F.when(col.rlike(UNSTABLE), col)), col)
+
+
 def normalize_text(col: Column, compose: bool = True) -> Column:
     """NFKC, bracketed parts and ? ! - , to blanks, outer dots off, inner dots and white space to single blanks, upper case.
 
     ``compose=False`` leaves out NFKC for texts known to be stable under it, and so stays in the JVM.
     """
-    t = F.regexp_replace(nfkc(col) if compose else col, r"\([^\)]*\)", " ")
+    t = F.regexp_replace(composed(col) if compose else col, r"\([^\)]*\)", " ")
     t = F.regexp_replace(t, r"^\.+|\.+$", "")
     t = F.regexp_replace(t, r"(?U)[?!\-,.\s]+", " ")
     return F.upper(F.trim(t))

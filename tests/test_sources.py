@@ -178,3 +178,15 @@ def test_small_functions(spark):
     assert (r["c"], r["a"], r["b"], r["i"], r["s"]) == (["a", "b", "a"], "y", "noblank", "sp-1-u.tar", "sp")
     with pytest.raises(Exception, match="outside the prefix"):
         df.select(X.remap_prefix(F.col("p"), "/other", "/n")).collect()
+
+
+def test_only_texts_that_may_change_are_composed(spark):
+    import re
+    import unicodedata
+
+    stable = [chr(c) for c in range(0x0132) if not re.match("[^\x00-\x7f\u00c0-\u0131]", chr(c))]
+    assert len(stable) > 230 and unicodedata.normalize("NFKC", "".join(stable)) == "".join(stable) and unicodedata.normalize("NFKC", "".join(stable[::-1])) == "".join(stable[::-1])
+    texts = ["plain", "Stra\u00dfe \u00e9\u00f1", "e\u0301 x", "\uff21 \u00a0 \ufb01", "\u1112\u1161\u11ab", "\u00b2", "𝐀", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(X.composed(F.col("t"))).collect()]
+    assert got == [t and unicodedata.normalize("NFKC", t) for t in texts]
