@@ -259,7 +259,7 @@ def validate_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.array_join("hist", " ").alias("hist"), F.round("total", 6).alias("total"), "ok")
 
 
-@query(f"WITH {grams_sql(3)}, {LG} SELECT n, hist, w, round(greatest(p, -99), 7) AS log_p, round(greatest(b, -99), 7) AS log_bo FROM lg", "lines")
+@query(f"WITH {grams_sql(3)}, {LG} SELECT n, hist, w, round(p, 7) AS log_p, round(b, 7) AS log_bo FROM lg", "lines")
 def arpa_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus model written as an ARPA file and read again: seven decimals are kept."""
     from speechtab.session import shared_path
