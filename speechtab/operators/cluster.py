@@ -85,7 +85,8 @@ def refine_kmeans(frames: DataFrame, centres: list[list[float]], rounds: int) ->
                     count += np.bincount(label, minlength=len(c))
                     cost += float(np.maximum(d.min(1), 0).sum())
             met = np.flatnonzero(count)
-            yield pd.DataFrame({"id": met, "n": count[met], "total": list(total[met]), "cost": [cost] + [0.0] * (len(met) - 1) if len(met) else []})
+            if len(met):  # a partition without rows sends none: columns without items have no types
+                yield pd.DataFrame({"id": met, "n": count[met], "total": list(total[met]), "cost": [cost] + [0.0] * (len(met) - 1)})
 
         return run
 

@@ -367,3 +367,12 @@ def test_span_masks_query_keeps_every_document(spark, tmp_path):
     assert len(got) == len(rows) and len({r["cut_id"] for r in got}) == len(rows)
     kept = {int(r["cut_id"].split("-")[1]): r["n"] for r in got}
     assert all(kept[i] == 0 for i in range(2)) and sum(kept[i] > 100 for i in range(8, len(rows))) > 150  # one short row does not empty the long ones
+
+
+def test_refine_kmeans_with_empty_partitions(spark):
+    """Tasks without rows send no sums."""
+    from speechtab.operators import cluster as K
+
+    df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "feat array<float>").repartition(6)
+    centres, inertia = K.refine_kmeans(df, [[0.0, 0.0], [5.0, 5.0]], 3)
+    assert centres == [[1.0, 2.0], [3.0, 4.0]] and inertia == 0
