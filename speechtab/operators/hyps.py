@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,11 +21,17 @@ def greedy_labels(frames: DataFrame, blank: int = 0, unk: int = 2, penalty: floa
     return lists.select("utt_id", F.col("v.y").alias("ys"), F.col("v.t").alias("ts"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once: a lambda's body would work it out again for each item."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def log_softmax(arr: Column, temperature: float = 1.0) -> Column:
-    scaled = F.transform(arr, lambda x: x / temperature)
-    top = F.array_max(scaled)
-    total = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(scaled, lambda x: x - top - F.log(total))
+    def less_total(v: Column, top: Column) -> Column:
+        total = F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+        return _once(total, lambda z: F.transform(v, lambda x: x - top - z))
+
+    return _once(F.transform(arr, lambda x: x / temperature), lambda v: _once(F.array_max(v), lambda top: less_total(v, top)))
 
 
 def ensemble_mean(frames: DataFrame, form: str = "logits", temperature: float = 1.0) -> DataFrame:

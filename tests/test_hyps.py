@@ -376,3 +376,16 @@ def test_refine_kmeans_with_empty_partitions(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "feat array<float>").repartition(6)
     centres, inertia = K.refine_kmeans(df, [[0.0, 0.0], [5.0, 5.0]], 3)
     assert centres == [[1.0, 2.0], [3.0, 4.0]] and inertia == 0
+
+
+def test_log_softmax_grows_with_its_items(spark):
+    """Largest item and total are worked out once an array: at 4,096 items, once an item took minutes."""
+    import time
+
+    df = spark.range(8, numPartitions=4).select(F.transform(F.sequence(F.lit(1), F.lit(4096)), lambda i: (i % 7).cast("double") + F.col("id")).alias("v"))
+    t = time.perf_counter()
+    rows = df.select("v", H.log_softmax(F.col("v"), 2.0).alias("p"), H.log_softmax(F.lit(None).cast("array<double>")).alias("none")).collect()
+    assert time.perf_counter() - t < 20
+    for r in rows:
+        z = math.log(sum(math.exp(x / 2) for x in r["v"]))
+        assert all(math.isclose(p, x / 2 - z, abs_tol=1e-9) for p, x in zip(r["p"], r["v"])) and r["none"] is None
