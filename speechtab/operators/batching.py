@@ -11,12 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from speechtab.session import staged
+
 
 def sort_by_duration(df: DataFrame, key: str = "cut_id") -> DataFrame:
     return df.orderBy(F.desc("duration"), key)
 
 
-#: Rows of a lane: what one task folds in order.
+#: Rows of a part of the order: what one task folds.
 LANE_ROWS = 1 << 16
 
 
@@ -26,69 +28,167 @@ def seeded(key: str, *salt: object) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def simple_batches(df: DataFrame, max_duration: float, order: list[str], lanes: int | None = None, key: str = "cut_id") -> DataFrame:
+def simple_batches(df: DataFrame, max_duration: float, order: list[str], lanes: int = 1, key: str = "cut_id") -> DataFrame:
     """``df`` with lane, batch_id: consecutive rows of a lane (hash of the id) up to a pooled duration.
 
-    Without ``lanes`` there are as many as keep one at about ``LANE_ROWS`` rows. Null durations count as 0; a row longer than the limit is a
-    batch of its own. Ties in ``order`` should be broken by it. Empty tables give no batches.
+    However long a lane is, it is folded by parts of about ``LANE_ROWS`` rows. Null durations count as 0, negative ones are refused where they matter; a row longer than the limit
+    is a batch of its own. Ties in ``order`` should be broken by it. Empty tables give no batches.
     """
-    lanes = lanes or max(1, -(-df.count() // LANE_ROWS))
     return _fold(df.withColumn("lane", F.pmod(seeded(key, "lane"), F.lit(lanes)).cast("long")), max_duration, order)
 
 
+class Entries:
+    """A part's fold for every state that may come in: the rows at which the first new batch may begin, and for each the state at the part's end.
+
+    Without an incoming total the first reset comes last, so only the rows up to it can be the first to reset, and of these only those that add something. Chains that reset
+    at the same row are one from there on.
+    """
+
+    def __init__(self, most: float):
+        self.most, self.slow, self.closed = most, 0.0, False
+        self.durations: list[float] = []  # of the rows that may be the first to reset
+        self.chains: list[list] = []  # total, number, and for each such row in it: place, batches ahead of the number
+
+    def step(self, d: float, after_long: bool) -> None:
+        met = []
+        for c in self.chains:
+            if c[0] > 0 and c[0] + d > self.most:
+                c[0], c[1] = 0.0, c[1] + 1
+                met.append(c)
+            c[0] += d
+        if not self.closed and (d != 0 or after_long or not self.durations):
+            met.append([0.0 + d, 1, [(len(self.durations), 0)]])
+            self.chains.append(met[-1])
+            self.durations.append(d)
+            self.closed = self.slow > 0 and self.slow + d > self.most
+            self.slow += d
+        for c in met[1:]:
+            met[0][2] += [(i, ahead + c[1] - met[0][1]) for i, ahead in c[2]]
+        if len(met) > 1:
+            gone = {id(c) for c in met[1:]}
+            self.chains = [c for c in self.chains if id(c) not in gone]
+
+    def ends(self) -> tuple[list[int], list[float]]:
+        """Batches begun and the open batch's total at the end, by the row that was the first to reset."""
+        at = sorted((i, c[1] + ahead, c[0]) for c in self.chains for i, ahead in c[2])
+        return [n for _, n, _ in at], [t for _, _, t in at]
+
+
+def _left(part, number: int, total: float, most: float) -> tuple[int, float]:
+    """The state that a part of one lane leaves to the next, given the one that comes in."""
+    for i, d in enumerate(part["durations"]):
+        if total > 0 and total + d > most:
+            return number + part["begun"][i], part["totals"][i]
+        total += d
+    if part["closed"]:
+        raise ValueError("batches need durations of at least 0")
+    return number, total
+
+
 def _fold(rows: DataFrame, max_duration: float, order: list[str]) -> DataFrame:
-    """Resetting running sums per lane over sorted partitions, streamed batch by batch: a lane's rows never sit together in memory."""
-    schema = rows.withColumn("batch_id", F.lit("")).schema
+    """Resetting running sums per lane over range-sorted parts: a lane's rows never sit together in memory, nor in one task.
+
+    A first pass sums each part up for every state that may come in (``Entries``, about a batch's rows for each part), the driver goes from border to border, and a second pass numbers the batches.
+    """
+    by = ["lane", *order, "duration"]
+    cut = staged(rows.repartitionByRange(max(1, -(-rows.count() // LANE_ROWS)), *by).withColumn("__part", F.spark_partition_id()))
+    placed = cut.repartition("__part").sortWithinPartitions("__part", *by)
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = first = lane = entries = None
+        total, number, before = 0.0, 0, 0.0
+
+        def done() -> pd.DataFrame:
+            begun, totals = entries.ends() if entries else ([], [])
+            one = {"part": part, "first": first, "last": lane, "whole": entries is not None, "closed": bool(entries and entries.closed), "number": number, "total": total}
+            return pd.DataFrame([one | {"durations": entries.durations if entries else [], "begun": begun, "totals": totals}])
+
+        for b in batches:
+            for p, own, d in zip(b["__part"].tolist(), b["lane"].tolist(), b["duration"].fillna(0.0).tolist()):
+                if p != part:
+                    if part is not None:
+                        yield done()
+                    part, first, lane, entries = p, own, own, Entries(max_duration)
+                if own != lane:
+                    lane, entries, total, number = own, None, 0.0, 0
+                if entries:
+                    entries.step(d, before > max_duration)
+                else:
+                    if total > 0 and total + d > max_duration:
+                        number, total = number + 1, 0.0
+                    total += d
+                before = d
+        if part is not None:
+            yield done()
+
+    border = placed.select("__part", "lane", F.col("duration").cast("double").alias("duration")).mapInPandas(summed, "part int, first long, last long, whole boolean, closed boolean, number long, total double, durations array<double>, begun array<long>, totals array<double>")
+    incoming: dict[int, tuple[int, float]] = {}
+    last, state = None, (0, 0.0)
+    for r in sorted(border.collect(), key=lambda r: r["part"]):  # a row a part
+        if r["first"] == last:
+            incoming[r["part"]] = state
+        state = _left(r, *incoming.get(r["part"], (0, 0.0)), max_duration) if r["whole"] else (r["number"], r["total"])
+        last = r["last"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lane, total, number = None, 0.0, 0
+        part = lane = None
+        total, number = 0.0, 0
         for b in batches:
             ids = []
-            for own, d in zip(b["lane"].tolist(), b["duration"].fillna(0.0).tolist()):
+            for p, own, d in zip(b["__part"].tolist(), b["lane"].tolist(), b["duration"].fillna(0.0).tolist()):
+                if p != part:
+                    part, lane = p, own if p in incoming else None
+                    number, total = incoming.get(p, (0, 0.0))
                 if own != lane:
                     lane, total, number = own, 0.0, 0
                 elif total > 0 and total + d > max_duration:
                     number, total = number + 1, 0.0
                 total += d
                 ids.append(f"{lane}-{number}")
-            yield b.assign(batch_id=ids)
+            yield b.drop(columns="__part").assign(batch_id=ids)
 
-    return rows.repartition("lane").sortWithinPartitions("lane", *order).mapInPandas(run, schema)
+    return placed.mapInPandas(run, rows.withColumn("batch_id", F.lit("")).schema)
+
+
+def quantile_edges(df: DataFrame, value: str, parts: int) -> list[float]:
+    """The exact 1/parts, 2/parts, ... quantiles of the values that are not null: the least value with at least that share of rows up to it.
+
+    Distinct values are counted and sorted by range; each range's counts are summed up within it.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counts = staged(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sizes = counts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row a range
+    rows = sum(r["n"] for r in sizes)
+    if not rows:
+        return []
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["part"], before))
+        before += r["n"]
+    start = F.broadcast(df.sparkSession.createDataFrame(starts, "part int, start long"))
+    upto = F.col("start") + F.sum("n").over(W.partitionBy("part").orderBy("v"))
+    places = counts.join(start, "part").withColumn("upto", upto)
+    return list(places.agg(*[F.min(F.when(F.col("upto") >= -(-rows * i // parts), F.col("v"))).alias(f"q{i}") for i in range(1, parts)]).first()) if parts > 1 else []
 
 
 def bucket_batches(df: DataFrame, buckets: int = 30, max_duration: float = 600.0, seed: int = 0, epoch: int = 0, drop_last: bool = True, key: str = "cut_id") -> DataFrame:
     """``df`` with bucket (equal-count duration quantiles), lane and batch_id; order within a bucket by seeded hash.
 
-    A bucket of more than ``LANE_ROWS`` rows is folded in several lanes, so that no task holds it whole; the last batches of its lanes
-    are folded once more, together. ``drop_last``: of each bucket its one last batch goes, unless it is full (a further row as long as its longest
+    A bucket is one lane, 2 * bucket, folded by parts as in ``simple_batches``. ``drop_last``: of each bucket its one last batch goes, unless it is full (a further row as long as its longest
     would not fit). Null durations count as 0 and are in the first bucket. Empty tables give no batches.
     """
-    from speechtab.session import checkpointed
-
-    edges = df.agg(F.percentile_approx("duration", [i / buckets for i in range(1, buckets)], 10_000).alias("e")).first()["e"] or []
-    bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in sorted(set(edges))]), lambda e: e < F.col("duration"))) if edges else F.lit(0)
-    lanes = max(1, -(-df.count() // (buckets * LANE_ROWS)))
-    rows = df.withColumn("bucket", F.greatest(bucket, F.lit(0)).cast("long")).withColumn("__o", seeded(key, seed, epoch))
-    rows = rows.withColumn("lane", F.col("bucket") * (lanes + 1) + F.pmod("__o", F.lit(lanes)))
-    out = checkpointed(_fold(rows, max_duration, ["__o", key]))
-    if lanes > 1:
-        ends = _ends(out)
-        loose = out.join(ends.where("__last"), ["lane", "batch_id"], "left_semi").drop("batch_id").withColumn("lane", F.col("bucket") * (lanes + 1) + lanes)
-        out = checkpointed(out.join(ends.where("not __last"), ["lane", "batch_id"], "left_semi").unionByName(_fold(loose, max_duration, ["__o", key])))
-    out = out.drop("__o")
+    edges = sorted(set(quantile_edges(df, "duration", buckets)))
+    bucket = F.size(F.filter(F.array(*[F.lit(float(x)) for x in edges]), lambda e: e < F.col("duration"))) if edges else F.lit(0)
+    rows = df.withColumn("bucket", F.greatest(bucket, F.lit(0)).cast("long")).withColumn("__o", seeded(key, seed, epoch)).withColumn("lane", F.col("bucket") * 2)
+    out = _fold(rows, max_duration, ["__o", key]).drop("__o")
     if not drop_last:
         return out
-    final = F.col("lane") == F.col("bucket") * (lanes + 1) + (lanes if lanes > 1 else 0)
-    gone = _ends(out.where(final)).where(F.col("__last") & (F.col("__total") + F.col("__longest") <= max_duration))
-    return out.join(gone, ["lane", "batch_id"], "left_anti").select(out.columns)
-
-
-def _ends(batches: DataFrame) -> DataFrame:
-    """lane, batch_id, total, longest, and whether it is the lane's last batch."""
-    d = F.coalesce("duration", F.lit(0.0))
-    per = batches.groupBy("lane", "batch_id").agg(F.sum(d).alias("__total"), F.max(d).alias("__longest"))
-    number = F.element_at(F.split("batch_id", "-"), -1).cast("long")
-    return per.withColumn("__last", F.max(number).over(W.partitionBy("lane")) == number)
+    out = staged(out)
+    number, d = F.split("batch_id", "-")[1].cast("long"), F.coalesce("duration", F.lit(0.0))
+    last = out.groupBy("lane").agg(F.max(number).alias("__last"))  # a row a bucket
+    ends = out.join(F.broadcast(last), "lane").where(number == F.col("__last")).groupBy("lane", "batch_id").agg(F.sum(d).alias("__total"), F.max(d).alias("__longest"))
+    gone = ends.where(F.col("__total") + F.col("__longest") <= max_duration).select("lane", "batch_id")
+    return out.join(F.broadcast(gone), ["lane", "batch_id"], "left_anti").select(out.columns)
 
 
 def pessimistic_batches(batches: DataFrame) -> DataFrame:

@@ -389,3 +389,28 @@ def test_log_softmax_grows_with_its_items(spark):
     for r in rows:
         z = math.log(sum(math.exp(x / 2) for x in r["v"]))
         assert all(math.isclose(p, x / 2 - z, abs_tol=1e-9) for p, x in zip(r["p"], r["v"])) and r["none"] is None
+
+
+def test_bucket_edges_are_exact(spark):
+    """More distinct lengths than an approximate quantile keeps."""
+    df = spark.range(30_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 100.0).alias("duration"))
+    values = sorted(r[0] for r in df.collect())
+    assert B.quantile_edges(df, "duration", 7) == [values[-(-30_000 * i // 7) - 1] for i in range(1, 7)]
+    assert B.quantile_edges(df.limit(0), "duration", 7) == [] == B.quantile_edges(df.limit(5), "duration", 1)
+
+
+def test_one_lane_in_many_parts_is_one_fold(spark, monkeypatch):
+    """Batches of a lane that lies in many parts are those of a loop over it, with zeros, nulls, long rows and even lengths."""
+    for kind, lane_rows in ((0, 7), (1, 7), (2, 3), (3, 5)):
+        rng = random.Random(kind)
+        draw = [lambda: rng.choice([0.1, 0.7, 3.3, 9.9, 25.0]) * rng.random(), lambda: rng.choice([None, 0.0, 0.0, 12.5, 30.0, 1.1]), lambda: 1.0, lambda: rng.choice([0.0, 0.0, 0.0, 40.0])][kind]
+        rows = [(f"c{i:04}", draw()) for i in range(300)]
+        monkeypatch.setattr(B, "LANE_ROWS", lane_rows)
+        got = {r["cut_id"]: r["batch_id"] for r in B.simple_batches(spark.createDataFrame(rows, "cut_id string, duration double"), 20.0, ["cut_id"]).collect()}
+        total, number, want = 0.0, 0, {}
+        for i, d in rows:
+            if total > 0 and total + (d or 0.0) > 20.0:
+                total, number = 0.0, number + 1
+            total += d or 0.0
+            want[i] = f"0-{number}"
+        assert got == want and number > 3
