@@ -62,16 +62,17 @@ def filter_hyps(df: DataFrame, threshold: float) -> DataFrame:
 def rescore_grid(nbest: DataFrame, form: str = "lm", scales: tuple[float, ...] = (0.1, 0.3, 0.5), second: tuple[float, ...] = (0.05, 0.1)) -> DataFrame:
     """setting, utt_id, hyp, score: best hypothesis per utterance and setting; ties go to the earlier.
 
-    ``lm``: am + s lm. ``lodr``: am / s + lm - d ng ln 10. ``ngram_rnn``: am + s ng + d lm. The grid is a
-    literal array of a few settings, so each row becomes one aggregate buffer a setting.
+    ``lm``: am + s lm. ``lodr``: am / s + lm - d ng ln 10. ``ngram_rnn``: am + s ng + d lm. An utterance's row holds one best pair of
+    numbers a setting of the grid; settings become rows only when the best are known.
     """
-    pairs = [(s, d) for s in scales for d in (second if form != "lm" else (0.0,))]
-    grid = F.array(*[F.struct(F.lit(float(s)).alias("s"), F.lit(float(d)).alias("d"), F.lit(f"nnlm_scale_{s:.2f}" if form == "lm" else f"nnlm_scale_{s:.2f}_lodr_scale_{d:.2f}" if form == "lodr" else f"ngram_lm_scale_{s}_nnlm_scale_{d}").alias("setting")) for s, d in pairs])
-    rows = nbest.select("utt_id", "hyp", "am", "lm", "ng", F.explode(grid).alias("g"))
-    s, d = F.col("g.s"), F.col("g.d")
-    score = {"lm": F.col("am") + s * F.col("lm"), "lodr": F.col("am") / s + F.col("lm") - d * F.col("ng") * math.log(10), "ngram_rnn": F.col("am") + s * F.col("ng") + d * F.col("lm")}[form]
-    best = F.max(F.struct(score.alias("score"), (-F.col("hyp")).alias("m")))
-    return rows.groupBy(F.col("g.setting").alias("setting"), "utt_id").agg(best.alias("b")).select("setting", "utt_id", (-F.col("b.m")).alias("hyp"), F.col("b.score").alias("score"))
+    pairs = [(float(s), float(d)) for s in scales for d in (second if form != "lm" else (0.0,))]
+    am, lm, ng = F.col("am"), F.col("lm"), F.col("ng")
+    score = {"lm": lambda s, d: am + s * lm, "lodr": lambda s, d: am / s + lm - d * ng * math.log(10), "ngram_rnn": lambda s, d: am + s * ng + d * lm}[form]
+    name = {"lm": lambda s, d: f"nnlm_scale_{s:.2f}", "lodr": lambda s, d: f"nnlm_scale_{s:.2f}_lodr_scale_{d:.2f}", "ngram_rnn": lambda s, d: f"ngram_lm_scale_{s}_nnlm_scale_{d}"}[form]
+    best = [F.max(F.struct(score(F.lit(s), F.lit(d)).alias("score"), (-F.col("hyp")).alias("m"))).alias(f"b{i}") for i, (s, d) in enumerate(pairs)]
+    per = nbest.groupBy("utt_id").agg(*best)
+    settings = F.explode(F.array(*[F.struct(F.lit(name(s, d)).alias("setting"), F.col(f"b{i}").alias("b")) for i, (s, d) in enumerate(pairs)]))
+    return per.select("utt_id", settings.alias("x")).select("x.setting", "utt_id", (-F.col("x.b.m")).alias("hyp"), F.col("x.b.score").alias("score"))
 
 
 def _cost_row(above: np.ndarray, same: np.ndarray, steps: np.ndarray) -> np.ndarray:

@@ -414,3 +414,13 @@ def test_one_lane_in_many_parts_is_one_fold(spark, monkeypatch):
             total += d or 0.0
             want[i] = f"0-{number}"
         assert got == want and number > 3
+
+
+def test_rescoring_keeps_a_row_an_utterance(spark):
+    """Settings become rows after the best hypotheses are known, not before."""
+    df = spark.createDataFrame([(1, 1, -2.0, -1.0, -3.0), (1, 2, -2.0, -1.0, -3.0), (2, 1, -5.0, 0.0, -1.0), (2, 2, -4.0, -9.0, -1.0)], "utt_id long, hyp long, am double, lm double, ng double")
+    for form in ("lm", "lodr", "ngram_rnn"):
+        plan = H.rescore_grid(df, form)
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.index("Generate") < text.index("Aggregate")  # the root comes first
+        assert {(r["utt_id"], r["hyp"]) for r in plan.collect()} >= {(1, 1)} and plan.where("utt_id = 1 and hyp = 2").count() == 0
