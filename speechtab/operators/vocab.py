@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from speechtab.session import bounded
+from speechtab.session import bounded, staged
+
+#: Rows of a table that travel to every task; the rest of a larger one is joined.
+HEAD = 1 << 19
 
 
 def char_vocab(lines: DataFrame, reserved: tuple[str, ...] = ("<blk>", "<sos/eos>", "<unk>")) -> DataFrame:
@@ -124,17 +132,90 @@ def add_self_loops(arcs: DataFrame, token: int, word: int) -> DataFrame:
     return arcs.unionByName(states.select("src", F.col("src").alias("dst"), lit(token).alias("ilabel"), lit(word).alias("olabel"), F.lit(0.0).alias("score")))
 
 
+def looked_up(rows: DataFrame, col: str, table: DataFrame, source: str, target: str, other: int | str | None = None) -> DataFrame:
+    """``rows`` with each item of array ``col`` replaced by ``target`` of the row of ``table`` whose ``source`` it is, ``other`` where there is none. ``source`` is unique.
+
+    At most ``HEAD`` rows of the table travel to every task: all of them, or those of most uses (column ``n``; uses are counted where it is absent). Items that
+    they lack, rare ones, meet the rest of the table in a join and come back by row, so neither all items nor the whole table are moved.
+    """
+    kind = table.schema[target].dataType
+    head = table.select(source, target).limit(HEAD + 1).toArrow()
+    whole = head.num_rows <= HEAD
+    if not whole:
+        if "n" not in table.columns:
+            uses = rows.select(F.explode(col).alias(source)).groupBy(source).agg(F.count("*").alias("n"))
+            table = staged(table.select(source, target).join(uses, source, "left"))
+        level = F.floor(4 * F.log2(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))))
+        low = math.inf
+        for r in table.groupBy(level.alias("k")).count().orderBy(F.desc("k")).collect():  # four rows for each doubling of uses
+            if (whole := whole + r["count"]) > HEAD:
+                break
+            low = r["k"]
+        head = table.where(level >= low).select(source, target).toArrow()
+        others = table.where(level < low).select(F.col(source).alias("__item"), F.col(target).alias("__to"))
+        whole = False
+    known, meant = (head.column(i).combine_chunks() for i in (0, 1))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.schema.get_field_index(col)
+            lists = b.column(i)
+            at, items = _flat(lists)
+            code = items.dictionary_encode()
+            found = meant.take(pc.index_in(code.dictionary, value_set=known.cast(items.type))).take(code.indices)
+            columns = [*b.columns[:i], _lists(at, found, lists), *b.columns[i + 1 :]]
+            if whole and other is not None:
+                columns[i] = _lists(at, pc.fill_null(found, other), lists)
+            if not whole:
+                lost = pc.is_null(found).to_numpy(zero_copy_only=False)
+                columns.append(_lists(np.append(0, np.cumsum(lost))[at], items.filter(pa.array(lost)), lists))
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, *([] if whole else ["__rest"])])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, j = b.schema.get_field_index(col), b.schema.get_field_index("__late")
+            lists = b.column(i)
+            at, items = _flat(lists)
+            items = pc.replace_with_mask(items, pc.is_null(items), _flat(b.column(j))[1])
+            items = items if other is None else pc.fill_null(items, other)
+            columns = [_lists(at, items, lists) if k == i else c for k, c in enumerate(b.columns) if k != j]
+            yield pa.RecordBatch.from_arrays(columns, [n for k, n in enumerate(b.schema.names) if k != j])
+
+    items = rows.schema[col].dataType
+    fields = [T.StructField(f.name, T.ArrayType(kind)) if f.name == col else f for f in rows.schema.fields]
+    if whole:
+        return rows.mapInArrow(first, T.StructType(fields))
+    row = T.StructField("__row", T.LongType())
+    mapped = staged(rows.withColumn("__row", F.monotonically_increasing_id()).mapInArrow(first, T.StructType([*fields, row, T.StructField("__rest", items)])))
+    rare = mapped.select("__row", F.posexplode("__rest").alias("__pos", "__item")).join(others, "__item", "left")
+    late = F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__to"))), lambda x: x["__to"])
+    late = rare.groupBy("__row").agg(late.alias("__late"))  # a row's rare items
+    return mapped.drop("__rest").join(late, "__row", "left").drop("__row").mapInArrow(second, T.StructType(fields))
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each list begins, and the end; and the items of all. Null lists are empty."""
+    return np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))), lists.flatten()
+
+
+def _lists(at: np.ndarray, items: pa.Array, like: pa.ListArray) -> pa.ListArray:
+    """Lists of ``items`` that begin at ``at``, null where those of ``like`` are."""
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), items, mask=pc.is_null(like) if like.null_count else None)
+
+
 def to_ids(rows: DataFrame, symbols: DataFrame, oov: str = "<unk>", token: str = "token") -> DataFrame:
-    """``rows`` with ``id`` of each token, that of ``oov`` where it is not in the table."""
+    """``rows`` with ``id`` of each token, that of ``oov`` where it is not in the table; where ``token`` is an array, ``id`` is one in its place."""
+    unknown = _id(symbols, oov)
+    if isinstance(rows.schema[token].dataType, T.ArrayType):
+        return looked_up(rows.withColumnRenamed(token, "id"), "id", symbols, "symbol", "id", unknown)
     table = bounded(symbols.select(F.col("symbol").alias(token), "id"))
-    return rows.join(table, token, "left").withColumn("id", F.coalesce("id", F.lit(_id(symbols, oov))))
+    return rows.join(table, token, "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
 
 
 def detokenize(ids: DataFrame, symbols: DataFrame) -> DataFrame:
-    """key, text of (key, ids): pieces joined, word marks to blanks, trimmed."""
-    piece = ids.select("key", F.posexplode("ids").alias("pos", "id")).join(bounded(symbols.select("id", "symbol")), "id")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "symbol"))), lambda x: x["symbol"]), "")
-    return piece.groupBy("key").agg(F.trim(F.replace(text, F.lit("▁"), F.lit(" "))).alias("text"))
+    """key, text of (key, ids): pieces joined, word marks to blanks, trimmed; a row each. Ids without a symbol are left out, and so are rows of no others."""
+    pieces = looked_up(ids.select("key", "ids"), "ids", symbols, "id", "symbol").withColumn("ids", F.array_compact("ids")).where(F.size("ids") > 0)
+    return pieces.select("key", F.trim(F.replace(F.array_join("ids", ""), F.lit("▁"), F.lit(" "))).alias("text"))
 
 
 def encode_pieces(df: DataFrame, text: str = "text", model: str | None = None, by: str = "word") -> DataFrame:
@@ -144,8 +225,6 @@ def encode_pieces(df: DataFrame, text: str = "text", model: str | None = None, b
 
         pieces: Column = split_words(F.col(text)) if by == "word" else F.filter(F.split(text, ""), lambda c: c != "")
         return df.withColumn("pieces", pieces)
-    from collections.abc import Iterator
-
     import pandas as pd
     from pyspark import SparkFiles
     from pyspark.sql.functions import pandas_udf
