@@ -424,3 +424,38 @@ def test_rescoring_keeps_a_row_an_utterance(spark):
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert text.index("Generate") < text.index("Aggregate")  # the root comes first
         assert {(r["utt_id"], r["hyp"]) for r in plan.collect()} >= {(1, 1)} and plan.where("utt_id = 1 and hyp = 2").count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.none() | st.lists(st.sampled_from("abc") | st.none(), max_size=12), st.none() | st.lists(st.sampled_from("abc") | st.none(), max_size=12)), max_size=30), st.sampled_from([(1 << 23, 1000), (100, 6)]))
+def test_pairs_aligned_together_keep_their_paths(pairs, bounds):
+    """In one group, in several, and the long ones each by itself."""
+    import pyarrow as pa
+
+    old, (H.CELLS, H.LONG) = (H.CELLS, H.LONG), bounds
+    try:
+        counts, left, right = H._aligned(*(pa.array([p[side] for p in pairs], pa.list_(pa.string())) for side in (0, 1)))
+    finally:
+        H.CELLS, H.LONG = old
+    for k, (ref, hyp) in enumerate(pairs):
+        path = H.edit_path(ref or [], hyp or [])
+        assert list(zip(left[k].as_py(), right[k].as_py())) == path
+        gone, new, same = sum(y is None for _, y in path), sum(x is None for x, _ in path), sum(x == y for x, y in path)
+        assert [int(c[k]) for c in counts] == [len(path) - new, same, len(path) - same - gone - new, gone, new]
+
+
+def test_many_pairs_need_little_memory():
+    """As many as are aligned at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    ref = [[str(rng.randrange(900)) for _ in range(rng.randrange(150, 250))] for _ in range(H.SLICE)]
+    hyp = [[w for w in v if rng.random() > 0.1] for v in ref]
+    lists = [pa.array(v, pa.list_(pa.string())) for v in (ref, hyp)]
+    tracemalloc.start()
+    H._aligned(*lists)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
