@@ -8,50 +8,108 @@ mean removed, pre-emphasis 0.97, window (0.5 - 0.5 cos(2 pi n / (N - 1)))^0.85,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def log_mel(samples: np.ndarray, rate: int = 16_000, bins: int = 80) -> np.ndarray:
-    """(frames, bins) of one channel of samples in -1..1."""
+#: Frames that are transformed at once.
+FRAMES = 1024
+
+
+@functools.cache
+def _filters(rate: int, bins: int) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """Window's size, step, transform's points, window and triangular filters."""
     size, step = int(0.025 * rate), int(0.010 * rate)
     fft = 1 << (size - 1).bit_length()
-    count = (len(samples) + step // 2) // step
-    if count == 0:
-        return np.zeros((0, bins), np.float32)
-    at = np.arange(count)[:, None] * step + step // 2 - size // 2 + np.arange(size)
-    period = 2 * len(samples)
-    at = np.mod(at, period)
-    at = np.where(at >= len(samples), period - 1 - at, at)
-    x = samples[at].astype(np.float64)
-    x -= x.mean(1, keepdims=True)
-    x = np.concatenate([x[:, :1] * (1 - 0.97), x[:, 1:] - 0.97 * x[:, :-1]], 1)
-    x *= (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))) ** 0.85
-    power = np.abs(np.fft.rfft(x, fft)) ** 2
     mel = lambda f: 1127 * np.log1p(f / 700)
     edges = np.linspace(mel(20.0), mel(rate / 2 - 400.0), bins + 2)
     freq = mel(np.arange(fft // 2 + 1) * rate / fft)
     up = (freq - edges[:-2, None]) / np.diff(edges)[:-1, None]
     down = (edges[2:, None] - freq) / np.diff(edges)[1:, None]
-    bank = np.maximum(0, np.minimum(up, down))
+    return size, step, fft, (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))) ** 0.85, np.maximum(0, np.minimum(up, down))
+
+
+def framed(samples: np.ndarray, rate: int) -> np.ndarray:
+    """(frames, window's size) of one channel, centred, the ends mirrored."""
+    size, step = int(0.025 * rate), int(0.010 * rate)
+    count = (len(samples) + step // 2) // step
+    if count == 0:
+        return np.zeros((0, size))
+    at = step // 2 - size // 2 + np.arange((count - 1) * step + size)  # places of all frames, each once
+    period = 2 * len(samples)
+    edge = (at < 0) | (at >= len(samples))
+    turned = np.mod(at[edge], period)
+    at[edge] = np.where(turned >= len(samples), period - 1 - turned, turned)
+    return np.lib.stride_tricks.sliding_window_view(samples[at], size)[::step]
+
+
+def _log_mel(x: np.ndarray, rate: int, bins: int) -> np.ndarray:
+    """(frames, bins) of frames, worked out in the array itself."""
+    _, _, fft, window, bank = _filters(rate, bins)
+    x -= x.mean(1, keepdims=True)
+    x[:, 1:] -= 0.97 * x[:, :-1]
+    x[:, 0] *= 1 - 0.97
+    x *= window
+    z = np.fft.rfft(x, fft)
+    power = z.real**2 + z.imag**2
     return np.log(np.maximum(power @ bank.T, 1e-10)).astype(np.float32)
 
 
-def frame_features(audio: DataFrame, bins: int = 80) -> DataFrame:
-    """cut_id, t, feat of (cut_id, sampling_rate, samples array<float>): one row in memory at a time."""
+def log_mel(samples: np.ndarray, rate: int = 16_000, bins: int = 80) -> np.ndarray:
+    """(frames, bins) of one channel of samples in -1..1."""
+    x = framed(np.asarray(samples, np.float64), rate)
+    parts = [_log_mel(x[lo : lo + FRAMES].copy(), rate, bins) for lo in range(0, len(x), FRAMES)]
+    return np.concatenate([np.zeros((0, bins), np.float32), *parts])
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for cut, rate, samples in zip(b["cut_id"], b["sampling_rate"], b["samples"]):
-                feats = log_mel(np.asarray(samples if samples is not None else [], np.float64), int(rate), bins)
-                if len(feats):
-                    yield pd.DataFrame({"cut_id": cut, "t": np.arange(len(feats)), "feat": list(feats)})
+def frame_features(audio: DataFrame, bins: int = 80, decode: Callable[[Any], np.ndarray] | None = None) -> DataFrame:
+    """cut_id, t, feat of (cut_id, sampling_rate, samples array<float>).
 
-    return audio.select("cut_id", "sampling_rate", "samples").mapInPandas(run, "cut_id string, t int, feat array<float>")
+    ``decode`` gives the samples of a value where the column holds another form (bytes, a text). Frames of many rows are transformed together, ``FRAMES`` at once.
+    """
+
+    def samples_of(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        rates, col = b.column(1).to_pylist(), b.column(2)
+        for k, rate in enumerate(rates):
+            v = col[k]
+            if v.is_valid:
+                yield k, int(rate), np.asarray(decode(v.as_py()) if decode else v.values.to_numpy(zero_copy_only=False), np.float64)
+
+    def rows(cuts: pa.Array, held: list[tuple[int, int, np.ndarray]], rate: int) -> pa.RecordBatch:
+        """Held frames (row, number of the first, frames) of one rate."""
+        feats = _log_mel(np.concatenate([x for _, _, x in held]), rate, bins)
+        n = [len(x) for _, _, x in held]
+        at = pa.array(np.arange(len(feats) + 1, dtype=np.int32) * bins)
+        t = np.concatenate([np.arange(first, first + k, dtype=np.int32) for (_, first, _), k in zip(held, n)])
+        cut = cuts.take(pa.array(np.repeat([k for k, _, _ in held], n)))
+        return pa.RecordBatch.from_arrays([cut, pa.array(t), pa.ListArray.from_arrays(at, pa.array(feats.ravel()))], ["cut_id", "t", "feat"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, size, now = [], 0, None
+            for k, rate, samples in samples_of(b):
+                if held and rate != now:
+                    yield rows(b.column(0), held, now)
+                    held, size = [], 0
+                x, lo, now = framed(samples, rate), 0, rate
+                while lo < len(x):
+                    part = x[lo : lo + FRAMES - size]
+                    held.append((k, lo, part))
+                    lo, size = lo + len(part), size + len(part)
+                    if size == FRAMES:
+                        yield rows(b.column(0), held, now)
+                        held, size = [], 0
+            if held:
+                yield rows(b.column(0), held, now)
+
+    return audio.select("cut_id", "sampling_rate", "samples").mapInArrow(run, "cut_id string, t int, feat array<float>")
 
 
 def fit_kmeans(frames: DataFrame, k: int = 500, seed: int = 0, max_iter: int = 100, start: list[list[float]] | None = None) -> tuple[list[list[float]], float]:

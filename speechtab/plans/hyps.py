@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -338,9 +341,14 @@ def assign_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a tone per document whose samples are its text's bytes."""
     d = V.table(spark, sf_dir, "documents")
-    codes = F.transform(F.split("text", ""), lambda c: ((F.ascii(c) % 128 - 64) / 64.0).cast("float"))
-    audio = d.select(F.col("doc_id").cast("string").alias("cut_id"), F.lit(16000).alias("sampling_rate"), codes.alias("samples"))
-    return K.frame_features(audio).select("cut_id", "t", F.round(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x), 3).alias("energy"))
+    audio = d.select(F.col("doc_id").cast("string").alias("cut_id"), F.lit(16000).alias("sampling_rate"), F.col("text").cast("binary").alias("samples"))
+    total = functools.reduce(lambda a, k: a + F.get("feat", F.lit(k)), range(80), F.lit(0.0))
+    return K.frame_features(audio, decode=tone).select("cut_id", "t", F.round(total, 3).alias("energy"))
+
+
+def tone(text: bytes) -> np.ndarray:
+    """A sample for each character."""
+    return (np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) % 128 - 64.0) / 64.0
 
 
 def _streamed(spark: SparkSession, df: DataFrame, plan, name: str) -> DataFrame:

@@ -459,3 +459,18 @@ def test_many_pairs_need_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6
+
+
+def test_rows_whose_frames_meet_keep_their_features(spark, monkeypatch):
+    """Rows without frames, of several rates, and longer than what is transformed at once; samples as bytes give the same."""
+    monkeypatch.setattr(K, "FRAMES", 7)
+    rng = random.Random(5)
+    rows = [(str(i), rng.choice([8000, 16000]), None if i == 3 else bytes(rng.randrange(128) for _ in range(n))) for i, n in enumerate([500, 0, 79, 900, 3000, 80, 1500, 240, 2000])]
+    decode = lambda v: (np.frombuffer(v, np.uint8) - 64.0) / 64.0
+    plain = [(c, r, None if v is None else decode(v).tolist()) for c, r, v in rows]
+    want = {(c, t): f.tolist() for c, r, v in plain for t, f in enumerate(K.log_mel(np.array(v or []), r))}
+    byte = K.frame_features(spark.createDataFrame(rows, "cut_id string, sampling_rate int, samples binary").coalesce(1), decode=decode)
+    array = K.frame_features(spark.createDataFrame(plain, "cut_id string, sampling_rate int, samples array<float>").coalesce(1))
+    for df in (byte, array):
+        got = {(r["cut_id"], r["t"]): r["feat"] for r in df.collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
