@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed pattern of an entry: log10 probability, words, optional back-off.
@@ -28,18 +28,33 @@ def read_arpa(spark: SparkSession, path: str) -> DataFrame:
     return parse_arpa(lines.crossJoin(F.broadcast(end)).where(F.col("end").isNull() | (place < F.col("end"))).select("value"))
 
 
+def _lines(lm: DataFrame) -> DataFrame:
+    """section, rank and key, by which a file's lines are sorted, and what makes up a line: an entry's numbers p and b, its words being the key, or a finished head."""
+    number = lambda c: F.greatest(F.col(c), F.lit(-99.0))
+    gram, none = F.array_join(F.concat("hist", F.array("w")), " "), F.lit(None).cast("double")
+    rows = lm.select(F.col("n").alias("section"), F.lit(1).alias("rank"), gram.alias("key"), F.coalesce(number("log_p"), F.lit(-99.0)).alias("p"), F.when(F.col("log_bo").isNotNull(), number("log_bo")).alias("b"), F.lit(None).cast("string").alias("head"))
+    orders = lm.groupBy("n").count()
+    fixed = lambda section, rank, head: orders.select(section.alias("section"), rank.alias("rank"), F.lit("").alias("key"), none.alias("p"), none.alias("b"), head.alias("head"))
+    heads = fixed(F.col("n"), F.lit(0), F.format_string("\\%d-grams:", "n"))
+    blanks = fixed(F.col("n"), F.lit(2), F.lit(""))
+    counts = fixed(F.lit(0), F.col("n").cast("int"), F.format_string("ngram %d=%d", "n", "count"))
+    ends = [(0, -1, "", None, None, "\\data\\"), (0, 99, "", None, None, ""), (99, 0, "", None, None, "\\end\\")]
+    return lm.sparkSession.createDataFrame(ends, "section int, rank int, key string, p double, b double, head string").unionByName(counts).unionByName(heads).unionByName(rows).unionByName(blanks)
+
+
+def _value() -> Column:
+    entry = F.concat_ws("\t", F.format_string("%.7f", "p"), "key", F.when(F.col("b").isNotNull(), F.format_string("%.7f", "b")))
+    return F.coalesce("head", entry).alias("value")
+
+
 def arpa_lines(lm: DataFrame) -> DataFrame:
     """section, line order and value of the file's lines; log_p null or of probability 0 is written as -99."""
-    entry = F.concat_ws("\t", F.format_string("%.7f", F.greatest(F.coalesce("log_p", F.lit(-99.0)), F.lit(-99.0))), F.array_join(F.concat("hist", F.array("w")), " "), F.when(F.col("log_bo").isNotNull(), F.format_string("%.7f", F.greatest("log_bo", F.lit(-99.0)))))
-    rows = lm.select(F.col("n").alias("section"), F.lit(1).alias("rank"), F.array_join(F.concat("hist", F.array("w")), " ").alias("key"), entry.alias("value"))
-    orders = lm.groupBy("n").count()
-    heads = orders.select(F.col("n").alias("section"), F.lit(0).alias("rank"), F.lit("").alias("key"), F.format_string("\\%d-grams:", "n").alias("value"))
-    blanks = orders.select(F.col("n").alias("section"), F.lit(2).alias("rank"), F.lit("").alias("key"), F.lit("").alias("value"))
-    counts = orders.select(F.lit(0).alias("section"), F.col("n").cast("int").alias("rank"), F.lit("").alias("key"), F.format_string("ngram %d=%d", "n", "count").alias("value"))
-    ends = lm.sparkSession.createDataFrame([(0, -1, "", "\\data\\"), (0, 99, "", ""), (99, 0, "", "\\end\\")], "section int, rank int, key string, value string")
-    return ends.unionByName(counts).unionByName(heads).unionByName(rows).unionByName(blanks)
+    return _lines(lm).select("section", "rank", "key", _value())
 
 
-def write_arpa(lm: DataFrame, path: str) -> None:
-    """Range-sorted text: the part files in name order are the ARPA file."""
-    arpa_lines(lm).orderBy("section", "rank", "key").select("value").write.text(path)
+def write_arpa(lm: DataFrame, path: str, compression: str = "none") -> None:
+    """Range-sorted text: the part files in name order are the ARPA file, with ``compression="gzip"`` each one packed (as a whole they are one gzip file).
+
+    Numbers are sorted and made text only as they are written, so an n-gram's words move once.
+    """
+    _lines(lm).orderBy("section", "rank", "key").select(_value()).write.option("compression", compression).text(path)

@@ -190,3 +190,19 @@ def test_only_texts_that_may_change_are_composed(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(X.composed(F.col("t"))).collect()]
     assert got == [t and unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_packed_arpa_is_the_same_file(spark, tmp_path):
+    """Also: what is sorted holds an n-gram's words once and no finished lines."""
+    import gzip
+
+    lm = spark.createDataFrame([(1, [], "a", -1.0, None), (1, [], "b", -99.5, -0.25), (1, [], "c", None, 0.0), (2, ["b"], "a", -0.125, None)], "n int, hist array<string>, w string, log_p double, log_bo double")
+    arpa.write_arpa(lm, str(tmp_path / "plain"))
+    arpa.write_arpa(lm, str(tmp_path / "packed"), compression="gzip")
+    plain = b"".join(p.read_bytes() for p in sorted((tmp_path / "plain").glob("part-*")))
+    packed = b"".join(p.read_bytes() for p in sorted((tmp_path / "packed").glob("part-*.gz")))
+    assert gzip.decompress(packed) == plain
+    assert plain.decode() == "\\data\\\nngram 1=3\nngram 2=1\n\n\\1-grams:\n-1.0000000\ta\n-99.0000000\tb\t-0.2500000\n-99.0000000\tc\t0.0000000\n\n\\2-grams:\n-0.1250000\tb a\n\n\\end\\\n"
+    rows = lambda path: sorted(map(str, arpa.read_arpa(spark, str(path)).collect()))
+    assert rows(tmp_path / "packed") == rows(tmp_path / "plain") and len(rows(tmp_path / "plain")) == 4
+    assert all(r["head"] is None and r["key"] in ("a", "b", "c", "b a") for r in arpa._lines(lm).where("p is not null").collect())
